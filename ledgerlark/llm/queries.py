@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlark.llm.decontaminate import contamination
 from ledgerlark.llm.ngram_join import jaccard_components
 from ledgerlark.llm.packing import pack
+from ledgerlark.llm.rp_forest import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +69,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_best_fit_packing"] = op10
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op7_embedding_near_dedup"] = op7
