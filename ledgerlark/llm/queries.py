@@ -10,6 +10,8 @@ from ledgerlark.llm.decontaminate import contamination
 from ledgerlark.llm.ngram_join import jaccard_components
 from ledgerlark.llm.packing import pack
 from ledgerlark.llm.rp_forest import near_duplicates
+from ledgerlark.llm.url_rules import HOST_RULES, HOST_WORDS, PATH_WORDS, judge_urls
+from ledgerlark.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +78,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_embedding_near_dedup"] = op7
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_warc_salvage"] = op5
+ORACLE["op5_warc_salvage"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+c AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', x[i]) - 1), 4, '0')), 'string_agg', '') AS bits FROM b)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM c
+"""
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op6_url_rules"] = op6
+_RULE_ROWS = ", ".join(f"('{v}', '{n}', '{n[: n.index('/')]}', '{n[n.index('/') :]}')" for v, n in HOST_RULES)
+ORACLE["op6_url_rules"] = f"""
+WITH r(verdict, rule, h, p) AS (VALUES {_RULE_ROWS}),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM u),
+f AS (SELECT v.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM v JOIN r ON (v.host = r.h OR v.host LIKE '%.' || r.h) AND starts_with(v.path, r.p) GROUP BY 1)
+SELECT v.page_id, coalesce(v.host, '') AS host, coalesce(v.path, '') AS path, f.rule, coalesce(f.verdict,
+  CASE WHEN regexp_matches(v.host || v.path, '^([^/]*[.-])?({"|".join(HOST_WORDS)})([.-][^/]*)?(/|$)')
+    OR regexp_matches(v.host || v.path, '^[^/]*/([^?#]*/)?({"|".join(PATH_WORDS)})(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM v LEFT JOIN f ON f.page_id = v.page_id
+"""
