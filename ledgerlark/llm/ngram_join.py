@@ -42,7 +42,7 @@ HOT_SENT = 1_000_000
 #: Text bytes whose shingles make up a block.
 BLOCK_TEXT = 16 << 20
 #: Rows of a salted block of a hot column.
-HOT_BLOCK = 256
+HOT_BLOCK = 1024
 _LEAST_BLOCKS = 256
 _KEY_BITS = 40
 _SET_BYTES = 6
@@ -338,24 +338,33 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _hot_across(warm: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs across components in hot columns, in salted blocks so that no column meets in one task."""
+    """Pairs across components in hot columns.
+
+    Only rows outside a column's largest component need a partner: these strays
+    meet all rows of the column, in salted blocks of both, so that no column
+    meets in one task and the largest component is not compared with itself.
+    """
     own = warm.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", "n", "k", F.coalesce("component", "rep").alias("comp"))
     own = scratch.save(own, "warm-own")
-    mixed = own.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    mixed = scratch.save(mixed.select("h", F.expr(f"cast(ceil(m / {HOT_BLOCK}) as int)").alias("nb")), "warm-mixed")
-    x = own.join(mixed, "h").withColumn("i", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
-    x = x.withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).select("h", F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "i", "rep", "n", "k", "comp")
-    return x.groupBy("h", "bi", "bj").applyInArrow(_cross, "a long, b long").distinct()
+    size = own.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = size.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("h", F.col("most.comp").alias("main"), F.expr(f"cast(ceil(m / {HOT_BLOCK}) as int)").alias("nb"), F.expr(f"cast(ceil((m - most.m) / {HOT_BLOCK}) as int)").alias("ns"))
+    mixed = scratch.save(mixed, "warm-mixed")
+    x = own.join(mixed, "h")
+    home = x.select("h", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("i"), F.explode(F.expr("sequence(0, ns - 1)")).alias("j"), F.lit(True).alias("home"), "rep", "n", "k", "comp")
+    away = x.where("comp <> main").select("h", F.explode(F.expr("sequence(0, nb - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(rep), ns) as int)").alias("j"), F.lit(False).alias("home"), "rep", "n", "k", "comp")
+    return home.unionByName(away).groupBy("h", "i", "j").applyInArrow(_cross, "a long, b long").distinct()
 
 
 def _cross(table: pa.Table) -> pa.Table:
-    i, rep, n, k, comp = (table.column(x).to_numpy() for x in ("i", "rep", "n", "k", "comp"))
-    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-    x, y = np.flatnonzero(i == bi), np.flatnonzero(i == bj)
-    hot = n - k
-    ok = (comp[x][:, None] != comp[y][None, :]) & (7 * np.minimum(hot[x][:, None], hot[y][None, :]) >= 3 * (n[x][:, None] + n[y][None, :]))
-    if bi == bj:
-        ok &= rep[x][:, None] < rep[y][None, :]
-    u, v = np.nonzero(ok)
-    a, b = rep[x[u]], rep[y[v]]
+    home = table.column("home").to_numpy()
+    rep, n, k, comp = (table.column(x).to_numpy() for x in ("rep", "n", "k", "comp"))
+    x, y, hot = np.flatnonzero(home), np.flatnonzero(~home), n - k
+    found = [np.zeros((2, 0), np.int64)]
+    for lo in range(0, len(y), 256):
+        z = y[lo : lo + 256]
+        ok = (comp[x][:, None] != comp[z][None, :]) & (7 * np.minimum(hot[x][:, None], hot[z][None, :]) >= 3 * (n[x][:, None] + n[z][None, :]))
+        u, v = np.nonzero(ok)
+        found.append(np.stack([rep[x[u]], rep[z[v]]]))
+    a, b = np.concatenate(found, axis=1)
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
