@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.decontaminate import contamination
+from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.ngram_join import jaccard_components
 from ledgerlark.llm.packing import pack
+from ledgerlark.llm.quality import score_quality
 from ledgerlark.llm.rp_forest import near_duplicates
 from ledgerlark.llm.url_rules import HOST_RULES, HOST_WORDS, PATH_WORDS, judge_urls
 from ledgerlark.llm.warc import round_trip
@@ -113,3 +115,17 @@ SELECT v.page_id, coalesce(v.host, '') AS host, coalesce(v.path, '') AS path, f.
     OR regexp_matches(v.host || v.path, '^[^/]*/([^?#]*/)?({"|".join(PATH_WORDS)})(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN f ON f.page_id = v.page_id
 """
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_license_scan"] = op3
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op9_quality_classifier"] = op9
