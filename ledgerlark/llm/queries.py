@@ -10,6 +10,7 @@ from ledgerlark.llm.decontaminate import contamination
 from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.ngram_join import jaccard_components
 from ledgerlark.llm.packing import pack
+from ledgerlark.llm.pii import find_personal_data
 from ledgerlark.llm.quality import score_quality
 from ledgerlark.llm.rp_forest import near_duplicates
 from ledgerlark.llm.url_rules import HOST_RULES, HOST_WORDS, PATH_WORDS, judge_urls
@@ -129,3 +130,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality_classifier"] = op9
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_personal_data"] = op4
