@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.decontaminate import contamination
+from ledgerlark.llm.language_id import document_languages, evidence_of_pages, identify
 from ledgerlark.llm.licenses import scan_licenses
 from ledgerlark.llm.ngram_join import jaccard_components
 from ledgerlark.llm.packing import pack
@@ -137,3 +138,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_personal_data"] = op4
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_language_id"] = op8
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on web pages, where markup, host and address suffix speak too."""
+    return identify(evidence_of_pages(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id").drop("text_key")
+
+
+QUERIES["language_of_pages"] = pages_language
