@@ -59,7 +59,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontaminate")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    wins = scratch.save(item_windows(benchmark), "windows")
+    wins = scratch.save(item_windows(benchmark), "windows", 4)
     widths = [r["k"] for r in wins.select("k").distinct().collect()]  # at most the few numbers up to SHINGLE
     # (window, position, shingle) rows of the benchmark
     pieces = None
@@ -69,19 +69,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
     if pieces is None:
         hits = spark.createDataFrame([], "doc_id long, text_key long, start int, len int, item_id long")
     else:
-        pieces = scratch.save(pieces, "pieces")
-        send = F.broadcast if pieces.count() <= sent_rows else lambda df: df
+        pieces = scratch.save(pieces, "pieces", 8)
+        rows = pieces.count()
+        send = F.broadcast if rows <= sent_rows else lambda df: df
+        files = -(-rows // 250_000)  # of tables of the benchmark's size
         asked = pieces.select("k", "h").distinct()
         counted = None
         for k in widths:
             own = docs.select(F.explode(shingles(F.col("w"), k)).alias("h"))
             one = own.join(send(asked.where(F.col("k") == k).select("h")), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("k", F.lit(k))
             counted = one if counted is None else counted.unionByName(one)
-        counted = scratch.save(counted, "counted")
+        counted = scratch.save(counted, "counted", files)
         # Windows with a shingle that no document holds drop out at this inner join: they occur nowhere.
         whole = pieces.join(counted, ["k", "h"], "left").groupBy("item_id", "win", "len", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "h")).alias("rare"))
         prefix = whole.where("rare.df > 0").groupBy("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.h").alias("h")).agg(F.collect_set("item_id").alias("items"))
-        prefix = scratch.save(prefix, "prefix")
+        prefix = scratch.save(prefix, "prefix", files)
         found = None
         for k in widths:
             own = docs.select("doc_id", "text_key", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
@@ -94,7 +96,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
     n_hit = at.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.col("item_id").cast("string")).alias("items"))
     per = n_hit.join(items, [n_hit["doc_id"].eqNullSafe(items["doc_id"]), n_hit["text_key"] == items["text_key"]]).select(n_hit["doc_id"].alias("d"), n_hit["text_key"].alias("t"), "n_hit", "items")
-    per = scratch.save(per, "per-document")
     base = docs.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
     out = base.join(per, [base["doc_id"].eqNullSafe(per["d"]), base["text_key"] == per["t"]], "left")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
