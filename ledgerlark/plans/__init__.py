@@ -1,0 +1,3 @@
+"""Registered queries."""
+
+from ledgerlark.plans import relational  # noqa: F401
