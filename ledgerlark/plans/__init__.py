@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from ledgerlark.plans import aggregates, relational  # noqa: F401
+from ledgerlark.plans import aggregates, relational, windows  # noqa: F401
