@@ -8,8 +8,8 @@ under the text's own verdict.  Host: shares of languages among all rows of the
 host, smoothed towards those of its suffix, and these towards those of all
 rows, by grouped aggregation.  The posterior is their normalised product.
 
-A row is rejected when its text is not language: without letters, or so unlike
-every language that uniform trigrams explain it better.
+A row is rejected when its text is not language: without any letter, or of some
+length and so unlike every language that uniform trigrams explain it far better.
 
 Cases: a null or empty text has no evidence of its own, its language is
 ``und`` and it is rejected; null or unknown declarations, hosts and suffixes
@@ -39,8 +39,8 @@ BUCKETS = 1 << 14
 FULL_TEXT = 60.0
 #: Pseudo-counts that pull a host towards its suffix, a suffix towards all rows, and counts of declarations.
 PULL = 20.0
-#: Trigrams from which a text can be rejected as unlike any language.
-JUDGED = 24
+#: Trigrams from which a text can be rejected as unlike any language, and by how much uniform ones must explain it better (nats each).
+JUDGED, WORSE = 64, 1.0
 
 _FOLD = np.zeros(256, np.int64)
 for _c in range(65, 91):
@@ -49,8 +49,14 @@ for _c in range(128, 256):
     _FOLD[_c] = _c - 100
 
 
+def has_letter(column: pa.Array) -> np.ndarray:
+    body, at = buffers(column)
+    seen = np.concatenate([[0], np.cumsum(_FOLD[body] > 0)])
+    return seen[at[1:]] > seen[at[:-1]]
+
+
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram buckets of all texts that hold a letter, and n + 1 offsets into them."""
+    """Trigram buckets of all texts, where two letters stand together, and n + 1 offsets into them."""
     body, at = buffers(column)
     if len(body) < 3:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
@@ -132,7 +138,7 @@ def identify(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
                         total[some, k] = np.add.reduceat(row[bucket], at[:-1][some], dtype=np.float64)
                 mean = total / np.maximum(n, 1)[:, None]
                 score = mean * np.minimum(n, FULL_TEXT)[:, None]
-                language = some & ((n < JUDGED) | (mean.max(1) > flat))
+                language = has_letter(own.column("text")) & ((n < JUDGED) | (mean.max(1) > flat - WORSE))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "text_key", "declared", "host", "suffix")), pa.array(list(score), pa.list_(pa.float64())), pa.array(score.argmax(1)), pa.array(language)], names=["id", "text_key", "declared", "host", "suffix", "score", "best", "language"])
 
     schema = "id long, text_key long, declared string, host string, suffix string, score array<double>, best long, language boolean"

@@ -278,7 +278,8 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
     blobs = rows.select("doc_id", "n", "cold").mapInArrow(partial(_entries, bits=bits), "block int, key binary, rep binary, n binary, k binary")
     part = blobs.groupBy("block").applyInArrow(_product, _PAIR)
     whole = part.groupBy("a", "b").agg(*(F.min(x).alias(x) for x in ("na", "nb", "ka", "kb")), F.sum("c").alias("c"))
-    able = F.expr("7 * (c + least(na - ka, nb - kb)) >= 3 * (na + nb)")
+    # Beyond the prefix that ends first, the pair can share only what that row has left.
+    able = F.expr("7 * (c + greatest(na - ka, nb - kb)) >= 3 * (na + nb)")
     pairs = scratch.save(whole.where(able).select("a", "b", F.expr("c / least(na, nb)").alias("share")), "pairs")
 
     # Of hot columns first a star around the row with the fewest cold columns.
