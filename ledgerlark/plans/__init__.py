@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from ledgerlark.plans import aggregates, relational, retrieval, windows  # noqa: F401
+from ledgerlark.plans import aggregates, normalisers, relational, retrieval, windows  # noqa: F401
