@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.registry import query
 from ledgerlark.session import table as t
 
-N = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 @query("stats_counts", """SELECT count(*) AS rows, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders""")
 def stats_counts(spark: SparkSession, d: str) -> DataFrame:
     """A-1."""
-    return t(spark, d, "orders").agg(N.alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderpriority").alias("priorities"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    return t(spark, d, "orders").agg(rows().alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderpriority").alias("priorities"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
 
 
 @query("availability_rollup", """SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'data' WHEN count(*) FILTER (event_type = 'click') > 0 THEN 'api'
@@ -22,7 +24,7 @@ WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'webpage' WHEN count(*) = co
 def availability_rollup(spark: SparkSession, d: str) -> DataFrame:
     """A-2: the best verdict wins; dead only if everything was seen."""
     any_of = lambda x: F.count_if(F.col("event_type") == x) > 0
-    verdict = F.when(any_of("purchase"), "data").when(any_of("click"), "api").when(any_of("view"), "webpage").when(N == F.count("value"), "dead")
+    verdict = F.when(any_of("purchase"), "data").when(any_of("click"), "api").when(any_of("view"), "webpage").when(rows() == F.count("value"), "dead")
     return t(spark, d, "events").groupBy("user_id").agg(verdict.alias("availability"))
 
 
@@ -30,7 +32,7 @@ def availability_rollup(spark: SparkSession, d: str) -> DataFrame:
 def agg_having_ratio(spark: SparkSession, d: str) -> DataFrame:
     """A-6, A-7."""
     r = F.count_if(F.col("l_returnflag") == "R")
-    return t(spark, d, "lineitem").groupBy("l_suppkey").agg(N.alias("n"), F.round(r / N, 6).alias("share")).where("n >= 100 and share > 0")
+    return t(spark, d, "lineitem").groupBy("l_suppkey").agg(rows().alias("n"), F.round(r / rows(), 6).alias("share")).where("n >= 100 and share > 0")
 
 
 @query("agg_distinct", """SELECT p_type, count(DISTINCT p_brand) AS brands, count(DISTINCT p_size) AS sizes FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2""")
@@ -43,13 +45,13 @@ def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
 def agg_rollup_quality(spark: SparkSession, d: str) -> DataFrame:
     """A-5: by source, with the total as the null row."""
     x = t(spark, d, "documents").select("source", "n_chars", "lang")
-    return x.rollup("source").agg(N.alias("n"), F.count_if(F.col("n_chars") < 500).alias("short"), F.count_if(F.col("lang") != "en").alias("foreign_lang"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+    return x.rollup("source").agg(rows().alias("n"), F.count_if(F.col("n_chars") < 500).alias("short"), F.count_if(F.col("lang") != "en").alias("foreign_lang"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
 
 
 @query("agg_modal", """SELECT c_nationkey, c_mktsegment AS modal, n FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS rn FROM customer GROUP BY 1, 2) WHERE rn = 1""")
 def agg_modal(spark: SparkSession, d: str) -> DataFrame:
     """A-3: the most common form; the first by name on a tie."""
-    n = t(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(N.alias("n"))
+    n = t(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(rows().alias("n"))
     return n.groupBy("c_nationkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "c_mktsegment")).alias("b")).select("c_nationkey", F.col("b.c_mktsegment").alias("modal"), (-F.col("b.m")).alias("n"))
 
 
@@ -58,19 +60,19 @@ FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS a
 def agg_age_buckets(spark: SparkSession, d: str) -> DataFrame:
     a = F.date_diff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
     bucket = F.when(a.isNull(), "unknown").when(a <= 90, "0-90").when(a <= 365, "91-365").when(a <= 730, "366-730").when(a <= 1825, "731-1825").otherwise("older")
-    return t(spark, d, "orders").groupBy(bucket.alias("bucket")).agg(N.alias("n"))
+    return t(spark, d, "orders").groupBy(bucket.alias("bucket")).agg(rows().alias("n"))
 
 
 @query("top_formats", """SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 15""")
 def top_formats(spark: SparkSession, d: str) -> DataFrame:
     """A-5: the report's top list."""
-    return t(spark, d, "part").groupBy("p_brand").agg(N.alias("n")).orderBy(F.desc("n"), "p_brand").limit(15)
+    return t(spark, d, "part").groupBy("p_brand").agg(rows().alias("n")).orderBy(F.desc("n"), "p_brand").limit(15)
 
 
 @query("document_only", """SELECT source, count(*) AS n, count(*) FILTER (lang IN ('de', 'fr')) AS docs FROM documents GROUP BY 1 HAVING count(*) >= 30 AND count(*) FILTER (lang IN ('de', 'fr')) >= 0.2 * count(*)""")
 def document_only(spark: SparkSession, d: str) -> DataFrame:
     """A-8: groups whose entries nearly all lack what is asked."""
-    return t(spark, d, "documents").groupBy("source").agg(N.alias("n"), F.count_if(F.col("lang").isin("de", "fr")).alias("docs")).where("n >= 30 and docs >= 0.2 * n")
+    return t(spark, d, "documents").groupBy("source").agg(rows().alias("n"), F.count_if(F.col("lang").isin("de", "fr")).alias("docs")).where("n >= 30 and docs >= 0.2 * n")
 
 
 @query("host_rollup", """SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, count(*) AS n, min(strlen(html)) AS least, max(strlen(html)) AS most FROM pages GROUP BY 1""")
@@ -78,14 +80,14 @@ def host_rollup(spark: SparkSession, d: str) -> DataFrame:
     """A-11, N-47."""
     from ledgerlark.functions.normalise import host
 
-    return t(spark, d, "pages").groupBy(host(F.col("url")).alias("host")).agg(N.alias("n"), F.min(F.octet_length("html")).cast("long").alias("least"), F.max(F.octet_length("html")).cast("long").alias("most"))
+    return t(spark, d, "pages").groupBy(host(F.col("url")).alias("host")).agg(rows().alias("n"), F.min(F.octet_length("html")).cast("long").alias("least"), F.max(F.octet_length("html")).cast("long").alias("most"))
 
 
 @query("coverage_matrix", """SELECT n_name, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery, count(*) AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
 def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A-12."""
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"), N.alias("total"))
+    c = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"), rows().alias("total"))
     return c.join(n, "c_nationkey").select("n_name", "building", "machinery", "total")
 
 
@@ -93,21 +95,21 @@ def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
 SELECT r.y, coalesce(h.n, 0) AS n FROM (SELECT CAST(unnest(range(1990, 2000)) AS BIGINT) AS y) r LEFT JOIN h ON h.y = r.y""")
 def year_histogram_filled(spark: SparkSession, d: str) -> DataFrame:
     """A-13: every year has a row."""
-    h = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(N.alias("n"))
+    h = t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(rows().alias("n"))
     return spark.range(1990, 2000).withColumnRenamed("id", "y").join(h, "y", "left").select("y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("grouped_frequency", """SELECT replace(lower(o_orderpriority), ' ', '') AS freq, count(*) AS n FROM orders GROUP BY 1""")
 def grouped_frequency(spark: SparkSession, d: str) -> DataFrame:
     """A-14."""
-    return t(spark, d, "orders").groupBy(F.replace(F.lower("o_orderpriority"), F.lit(" "), F.lit("")).alias("freq")).agg(N.alias("n"))
+    return t(spark, d, "orders").groupBy(F.replace(F.lower("o_orderpriority"), F.lit(" "), F.lit("")).alias("freq")).agg(rows().alias("n"))
 
 
 @query("grid_density", """SELECT x, y, count(*) AS n FROM (SELECT unnest(range(CAST(w AS BIGINT), CAST(e AS BIGINT) + 1)) AS x, s, n2 FROM (SELECT c_custkey % 20 AS w, c_custkey % 20 + c_custkey % 4 AS e, c_custkey % 7 AS s, c_custkey % 7 + c_custkey % 3 AS n2 FROM customer)), LATERAL (SELECT unnest(range(CAST(s AS BIGINT), CAST(n2 AS BIGINT) + 1)) AS y) GROUP BY 1, 2""")
 def grid_density(spark: SparkSession, d: str) -> DataFrame:
     """A-15: how many boxes cover each cell; boxes are counted by shape before they are spread."""
     box = t(spark, d, "customer").select(F.expr("c_custkey % 20").alias("w"), F.expr("c_custkey % 20 + c_custkey % 4").alias("e"), F.expr("c_custkey % 7").alias("s"), F.expr("c_custkey % 7 + c_custkey % 3").alias("n2"))
-    box = box.groupBy("w", "e", "s", "n2").agg(N.alias("m"))
+    box = box.groupBy("w", "e", "s", "n2").agg(rows().alias("m"))
     return box.select(F.explode(F.expr("sequence(w, e)")).alias("x"), "s", "n2", "m").select("x", F.explode(F.expr("sequence(s, n2)")).alias("y"), "m").groupBy("x", "y").agg(F.sum("m").alias("n"))
 
 
@@ -158,21 +160,21 @@ round(sum(l_extendedprice) FILTER (l_returnflag <> 'R' AND l_discount > 0), 2) A
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """A-18: every row is in one class."""
     kept, clean = F.col("l_returnflag") != "R", (F.col("l_returnflag") != "R") & (F.col("l_discount") > 0)
-    return t(spark, d, "lineitem").agg(N.alias("raw"), F.count_if(~kept).alias("returned"), F.count_if(kept & (F.col("l_discount") == 0)).alias("blank"), F.count_if(clean).alias("clean"), F.round(F.sum(F.when(clean, F.col("l_extendedprice"))), 2).alias("gbp"), F.count_if(F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ '1998-01-01'")).alias("out_of_window"))
+    return t(spark, d, "lineitem").agg(rows().alias("raw"), F.count_if(~kept).alias("returned"), F.count_if(kept & (F.col("l_discount") == 0)).alias("blank"), F.count_if(clean).alias("clean"), F.round(F.sum(F.when(clean, F.col("l_extendedprice"))), 2).alias("gbp"), F.count_if(F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ '1998-01-01'")).alias("out_of_window"))
 
 
 @query("monthly_totals", """SELECT strftime(o_orderdate, '%Y-%m') AS ym, count(*) AS n, round(sum(o_totalprice), 2) AS gbp FROM orders GROUP BY 1""")
 def monthly_totals(spark: SparkSession, d: str) -> DataFrame:
     """A-19."""
-    return t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(N.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("gbp"))
+    return t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(rows().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("gbp"))
 
 
 @query("two_stage_rollup", """SELECT l_suppkey, count(*) AS publishers, sum(txns) AS txns, round(sum(gbp), 2) AS gbp FROM (SELECT l_suppkey, o_custkey, count(*) AS txns, sum(l_extendedprice) AS gbp FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) GROUP BY 1""")
 def two_stage_rollup(spark: SparkSession, d: str) -> DataFrame:
     """A-20, D-17."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    sp = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice").join(o, "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(N.alias("txns"), F.sum("l_extendedprice").alias("gbp"))
-    return sp.groupBy("l_suppkey").agg(N.alias("publishers"), F.sum("txns").alias("txns"), F.round(F.sum("gbp"), 2).alias("gbp"))
+    sp = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice").join(o, "l_orderkey").groupBy("l_suppkey", "o_custkey").agg(rows().alias("txns"), F.sum("l_extendedprice").alias("gbp"))
+    return sp.groupBy("l_suppkey").agg(rows().alias("publishers"), F.sum("txns").alias("txns"), F.round(F.sum("gbp"), 2).alias("gbp"))
 
 
 @query("cross_body_hist", """WITH p AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT b AS at_least, count(*) FILTER (n >= b) AS parts FROM p, (VALUES (2), (3), (5), (10), (20)) v(b) GROUP BY 1""")
@@ -180,7 +182,7 @@ def cross_body_hist(spark: SparkSession, d: str) -> DataFrame:
     """A-21: in how many bodies each name is found."""
     n = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
     bounds = F.array(*map(F.lit, (2, 3, 5, 10, 20)))
-    return n.groupBy("n").agg(N.alias("m")).select(F.explode(bounds).alias("at_least"), "n", "m").groupBy("at_least").agg(F.sum(F.when(F.col("n") >= F.col("at_least"), F.col("m")).otherwise(0)).alias("parts"))
+    return n.groupBy("n").agg(rows().alias("m")).select(F.explode(bounds).alias("at_least"), "n", "m").groupBy("at_least").agg(F.sum(F.when(F.col("n") >= F.col("at_least"), F.col("m")).otherwise(0)).alias("parts"))
 
 
 @query("flows_matrix", """WITH f AS (SELECT s_nationkey AS a, c_nationkey AS b, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
@@ -203,7 +205,7 @@ def recurring_amounts(spark: SparkSession, d: str) -> DataFrame:
     m = t(spark, d, "lineitem").where("l_quantity > 10").select("l_orderkey", "l_suppkey", F.round("l_quantity").alias("amount")).join(o, "l_orderkey")
     m = m.groupBy("l_suppkey", "body", "amount").agg(F.count_distinct("ym").alias("months")).where("months >= 2")
     who = F.array_join(F.transform(F.array_sort(F.collect_list("body")), lambda b: b.cast("string")), ",")
-    return m.groupBy("l_suppkey", "amount").agg(N.alias("bodies"), who.alias("who")).where("bodies >= 2")
+    return m.groupBy("l_suppkey", "amount").agg(rows().alias("bodies"), who.alias("who")).where("bodies >= 2")
 
 
 @query("gross_net_legs", """SELECT c_nationkey, round(sum(c_acctbal) FILTER (c_acctbal > 0), 2) AS gross, round(sum(c_acctbal) FILTER (c_acctbal < 0), 2) AS credits, round(sum(c_acctbal), 2) AS net, count(*) FILTER (c_acctbal < 0) AS n_negative, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer GROUP BY 1""")
@@ -216,7 +218,7 @@ def gross_net_legs(spark: SparkSession, d: str) -> DataFrame:
 @query("modal_fingerprint", """SELECT l_suppkey, string_agg(CAST(q AS VARCHAR) || 'x' || CAST(n AS VARCHAR), ' ' ORDER BY n DESC, q) AS fingerprint FROM (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS q, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, CAST(l_quantity AS BIGINT)) AS rn FROM lineitem GROUP BY 1, 2) WHERE rn <= 8 GROUP BY 1""")
 def modal_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """A-25: the eight most common amounts of each supplier."""
-    n = t(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("long").alias("q")).agg(N.alias("n"))
+    n = t(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("long").alias("q")).agg(rows().alias("n"))
     top = n.withColumn("rn", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("n"), "q"))).where("rn <= 8")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rn", "q", "n"))), lambda s: F.concat_ws("x", s["q"].cast("string"), s["n"].cast("string")))
     return top.groupBy("l_suppkey").agg(F.array_join(parts, " ").alias("fingerprint"))
@@ -240,7 +242,7 @@ def fiscal_cube(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("seg"))
     o = t(spark, d, "orders").select("o_custkey", fiscal_year(F.date_format("o_orderdate", "yyyy-MM")).alias("fy"), F.col("o_orderpriority").alias("pri"), "o_totalprice")
     # Summed at the finest grain first: the cube spreads a few hundred rows, not all orders.
-    fine = o.join(c, "o_custkey").groupBy("fy", "seg", "pri").agg(N.alias("n"), F.sum("o_totalprice").alias("v"))
+    fine = o.join(c, "o_custkey").groupBy("fy", "seg", "pri").agg(rows().alias("n"), F.sum("o_totalprice").alias("v"))
     return fine.cube("fy", "seg", "pri").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("gbp"))
 
 
@@ -248,7 +250,7 @@ def fiscal_cube(spark: SparkSession, d: str) -> DataFrame:
 def months_present(spark: SparkSession, d: str) -> DataFrame:
     """A-28."""
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    return t(spark, d, "orders").select("o_custkey", "o_orderdate").join(c, "o_custkey").groupBy("c_nationkey", F.year("o_orderdate").cast("long").alias("y")).agg(F.count_distinct(F.month("o_orderdate")).alias("months"), N.alias("n"))
+    return t(spark, d, "orders").select("o_custkey", "o_orderdate").join(c, "o_custkey").groupBy("c_nationkey", F.year("o_orderdate").cast("long").alias("y")).agg(F.count_distinct(F.month("o_orderdate")).alias("months"), rows().alias("n"))
 
 
 @query("extremes_ratio", """SELECT n_regionkey, arg_min(k, (v, k)) AS low, arg_max(k, (v, k)) AS high, round(max(v) / min(v), 6) AS ratio FROM (SELECT n_regionkey, n_nationkey AS k, avg(abs(c_acctbal)) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 3""")
@@ -256,7 +258,7 @@ def extremes_ratio(spark: SparkSession, d: str) -> DataFrame:
     """A-31: least and most member of each group and their ratio."""
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey")
     v = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg(F.abs("c_acctbal")).alias("v")).join(n, "k")
-    g = v.groupBy("n_regionkey").agg(F.min_by("k", F.struct("v", "k")).alias("low"), F.max_by("k", F.struct("v", "k")).alias("high"), F.round(F.max("v") / F.min("v"), 6).alias("ratio"), N.alias("m"))
+    g = v.groupBy("n_regionkey").agg(F.min_by("k", F.struct("v", "k")).alias("low"), F.max_by("k", F.struct("v", "k")).alias("high"), F.round(F.max("v") / F.min("v"), 6).alias("ratio"), rows().alias("m"))
     return g.where("m >= 3").drop("m")
 
 
@@ -267,7 +269,7 @@ def spearman_by_class(spark: SparkSession, d: str) -> DataFrame:
 
     p = t(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
     p = p.select("p_brand", average_rank(["p_brand"], "p_size").alias("a"), average_rank(["p_brand"], "p_retailprice").alias("b"))
-    return p.groupBy("p_brand").agg(F.round(F.corr("a", "b"), 6).alias("rho"), N.alias("n"))
+    return p.groupBy("p_brand").agg(F.round(F.corr("a", "b"), 6).alias("rho"), rows().alias("n"))
 
 
 @query("decile_table", """SELECT dec, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM (SELECT c_acctbal, ntile(10) OVER (ORDER BY c_acctbal, c_custkey) AS dec FROM customer) GROUP BY 1""")
@@ -281,7 +283,7 @@ def decile_table(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("rank")
     # The first n mod 10 groups have one row more.
     dec = F.when(r < big * (small + 1), F.floor(r / (small + 1)) + 1).otherwise(big + F.floor((r - big * (small + 1)) / max(1, small)) + 1)
-    return global_rank(c, "c_acctbal", "rank").groupBy(dec.cast("int").alias("dec")).agg(N.alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+    return global_rank(c, "c_acctbal", "rank").groupBy(dec.cast("int").alias("dec")).agg(rows().alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
 
 
 @query("fully_filed_panel", """SELECT c_custkey FROM (SELECT o_custkey AS c_custkey, count(DISTINCT year(o_orderdate)) AS y FROM orders WHERE year(o_orderdate) IN (1993, 1995, 1997) GROUP BY 1) WHERE y = 3""")
@@ -309,13 +311,13 @@ def method_disagreement(spark: SparkSession, d: str) -> DataFrame:
 @query("query_log_report", """SELECT event_type AS confidence, count(*) AS n, round(avg(value), 4) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def query_log_report(spark: SparkSession, d: str) -> DataFrame:
     """A-39."""
-    return t(spark, d, "events").groupBy(F.col("event_type").alias("confidence")).agg(N.alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.count_distinct("user_id").alias("users"))
+    return t(spark, d, "events").groupBy(F.col("event_type").alias("confidence")).agg(rows().alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.count_distinct("user_id").alias("users"))
 
 
 @query("mode_of_ratio", """SELECT l_suppkey, r AS deflator FROM (SELECT l_suppkey, round(l_extendedprice / (l_quantity * 1000), 1) AS r, count(*) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, round(l_extendedprice / (l_quantity * 1000), 1)) AS rn FROM lineitem GROUP BY 1, 2) WHERE rn = 1""")
 def mode_of_ratio(spark: SparkSession, d: str) -> DataFrame:
     """A-40."""
-    n = t(spark, d, "lineitem").groupBy("l_suppkey", F.round(F.col("l_extendedprice") / (F.col("l_quantity") * 1000), 1).alias("r")).agg(N.alias("n"))
+    n = t(spark, d, "lineitem").groupBy("l_suppkey", F.round(F.col("l_extendedprice") / (F.col("l_quantity") * 1000), 1).alias("r")).agg(rows().alias("n"))
     return n.groupBy("l_suppkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "r")).alias("b")).select("l_suppkey", F.col("b.r").alias("deflator"))
 
 
@@ -327,14 +329,14 @@ def quintile_means(spark: SparkSession, d: str) -> DataFrame:
     s = t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
     n = s.count()
     q = F.least(F.lit(4), F.floor(F.col("rank") / F.lit(float(n)) * 5)).cast("long")
-    return global_rank(s, "s_acctbal", "rank").groupBy(q.alias("q")).agg(F.round(F.avg("s_acctbal"), 4).alias("mean"), N.alias("n"))
+    return global_rank(s, "s_acctbal", "rank").groupBy(q.alias("q")).agg(F.round(F.avg("s_acctbal"), 4).alias("mean"), rows().alias("n"))
 
 
 @query("json_props", """SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY 1""")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     """2.13: a field of JSON text."""
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return t(spark, d, "events").groupBy("event_type").agg(N.alias("n"), F.sum(k).alias("total"))
+    return t(spark, d, "events").groupBy("event_type").agg(rows().alias("n"), F.sum(k).alias("total"))
 
 
 @query("two_level_coverage", """SELECT source, sum(n_chars) AS direct, sum(n_chars) FILTER (lang <> 'en') AS aggregated, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY 1""")
