@@ -15,10 +15,6 @@ from ledgerlark.functions import values as V
 _SPACE = r"[\s ]+"
 
 
-def text(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def clean(x: Column) -> Column:
     """Without blanks at both ends."""
     return F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")

@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from ledgerlark.plans import aggregates, entities, findings, normalisers, relational, retrieval, windows  # noqa: F401
+from ledgerlark.plans import aggregates, catalogue, entities, findings, normalisers, relational, retrieval, windows  # noqa: F401

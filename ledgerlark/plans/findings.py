@@ -9,8 +9,6 @@ from ledgerlark.operators import findings as X
 from ledgerlark.registry import query
 from ledgerlark.session import table as t
 
-N_ROWS = "count(1)"
-
 
 @query("finding_registry", """SELECT 1 AS tier, 'licence' AS kind, c_mktsegment AS subject, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 3 UNION ALL SELECT 2, 'rot', o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY 3 UNION ALL SELECT 3, 'small', p_brand, count(*) FROM part WHERE p_size = 1 GROUP BY 3""")
 def finding_registry(spark: SparkSession, d: str) -> DataFrame:
