@@ -92,6 +92,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
             one = met.select("doc_id", "text_key", F.expr("pos - at").alias("start"), "len", F.explode("items").alias("item_id"))
             found = one if found is None else found.unionByName(one)
         hits = scratch.save(found.distinct(), "hits")
+        scratch.keep("hits")
     at = hits.select("doc_id", "text_key", "start", "len").distinct().select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + len - 1)")).alias("p")).distinct()
     n_hit = at.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
     items = hits.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.col("item_id").cast("string")).alias("items"))

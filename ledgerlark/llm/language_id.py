@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import Scratch
-from ledgerlark.llm.wordhash import buffers
+from ledgerlark.llm.wordhash import buffers, slices, tidy
 
 #: At most about so many declared rows of each language fit its trigrams.
 FIT_ROWS = 2_000
@@ -75,10 +75,11 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        bucket, at = grams(batch.column("text"))
-        for lang, a, b in zip(batch.column("declared").to_pylist(), at[:-1], at[1:]):
-            own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            own += np.bincount(bucket[a:b], minlength=BUCKETS)
+        for part in slices(batch):
+            bucket, at = grams(part.column("text"))
+            for lang, a, b in zip(part.column("declared").to_pylist(), at[:-1], at[1:]):
+                own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                own += np.bincount(bucket[a:b], minlength=BUCKETS)
     for lang, own in total.items():
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(own[some])], names=["lang", "bucket", "n"])
@@ -124,11 +125,11 @@ def identify(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     logs = np.log((table + 0.05) / (table.sum(1, keepdims=True) + 0.05 * BUCKETS)).astype(np.float32)
     sent = spark.sparkContext.broadcast((logs, np.float32(-np.log(BUCKETS))))
 
+    @tidy
     def read(batches):  # noqa: ANN001, ANN202
         logs, flat = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                own = batch.slice(lo, 512)
+            for own in slices(batch):
                 bucket, at = grams(own.column("text"))
                 n = np.diff(at)
                 total = np.zeros((len(n), len(logs)))

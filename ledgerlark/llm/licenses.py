@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.wordhash import tidy
+
 #: License wordings: name, key words that must be unchanged, text. Fixed values.
 TEMPLATES = (
     ("all-rights-reserved", "reserved", "All rights reserved."),
@@ -169,6 +171,7 @@ def scan(text: str, templates: list[Template], plain: zstandard.ZstdCompressor)
     return len(cuts), found
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates, plain = compiled(), zstandard.ZstdCompressor(level=3)
     for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
 from ledgerlark.llm.scratch import Scratch, blocks_for, text_bytes
-from ledgerlark.llm.wordhash import mix, shingle_sets
+from ledgerlark.llm.wordhash import mix, shingle_sets, slices, tidy
 
 #: A shingle in more documents than this is hot.
 HOT_DF = 128
@@ -78,6 +78,7 @@ def _key(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits - _KEY_BITS)
 
 
+@tidy
 def _count_blobs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -89,11 +90,11 @@ def _count_blobs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int32()), pa.array([_low_bytes(key[a:b], _KEY_BITS // 8) for _, a, b in cuts], pa.binary())], names=["block", "blob"])
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            sets = [s for s in shingle_sets(batch.column("text").slice(lo, 512)) if len(s)]
+        for part in slices(batch):
+            sets = [s for s in shingle_sets(part.column("text")) if len(s)]
             held += sets
             size += sum(map(len, sets))
-            if size >= 1 << 22:
+            if size >= 1 << 20:
                 yield flush()
                 held.clear()
                 size = 0
@@ -124,12 +125,12 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int((mix(s ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+@tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], bits: int, hot: object) -> Iterator[pa.RecordBatch]:
     """Of each document its set size, a 128-bit set signature and the columns of its prefix, cold and hot."""
     known = hot.value if hot is not None else None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch):
             own = part.column("hot").to_pylist() if known is None else [None] * part.num_rows
             n, s1, s2, cold, warm = [], [], [], [], []
             for s, mine in zip(shingle_sets(part.column("text")), own):
@@ -152,6 +153,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], bits: int, hot: object) -> Iter
             )
 
 
+@tidy
 def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The cold prefix columns of many rows as one blob for each block."""
     held: list[tuple[np.ndarray, int, int]] = []
@@ -173,7 +175,7 @@ def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             if cold:
                 held.append((np.frombuffer(cold, np.uint64), rep, n))
                 size += len(held[-1][0])
-                if size >= 1 << 21:
+                if size >= 1 << 19:
                     yield flush()
                     held.clear()
                     size = 0
@@ -206,14 +208,15 @@ def _product(table: pa.Table) -> pa.Table:
     return pa.table({"a": rep[i], "b": rep[j], "na": n[i], "nb": n[j], "ka": k[i], "kb": k[j], "c": c.astype(np.int64)})
 
 
+@tidy
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch):
             sets = [_low_bytes(s >> np.uint64(64 - 8 * _SET_BYTES), _SET_BYTES) for s in shingle_sets(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "words"])
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose whole sets reach 100 * |intersection| >= 75 * |union|."""
     for batch in batches:
@@ -232,6 +235,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
 
+@tidy
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, rep, n, k = [], [], [], []
@@ -305,16 +309,17 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
     final = scratch.save(connected_components(merged, scratch, "cc2"), "final")
 
     named = scratch.save(classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    scratch.keep("prefix", "named")
     held = prefix.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
     held = held.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("class_id"))
     bare = prefix.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return held.unionByName(bare)
 
 
+@tidy
 def _doc_keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch):
             for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"))):
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int64()), pa.array(_key(s, bits).astype(np.int64), pa.int64())], names=["doc_id", "key"])

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import Scratch
+from ledgerlark.llm.wordhash import tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -122,9 +123,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # Byte-level vocabularies write each byte as one printable character.
@@ -142,6 +142,10 @@ class Encoder:
             except BaseException as e:  # its engine panics on some texts, beyond Exception
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -158,6 +162,7 @@ def encoder(path: str | None) -> Encoder:
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, rank long"
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, window: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -169,7 +174,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, window: int) ->
             ids = np.array([*code.ids(text.as_py() or ""), END_ID], dtype="<u4")
             for lo in range(0, len(ids), window):
                 cut = ids[lo : lo + window]
-                out.append((i, lo, len(cut), zlib.crc32(cut.tobytes()), len(ids), chunk, seen[len(cut)]))
+                out.append((i, lo, len(cut), zlib.crc32(cut.tobytes()), len(ids), chunk, int(seen[len(cut)])))
                 seen[len(cut)] += 1
         if out:
             cols = [np.array(c, dtype=np.int64) for c in zip(*out)]

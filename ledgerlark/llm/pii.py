@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.wordhash import WHITE, buffers, hash_spans, words
+from ledgerlark.llm.wordhash import WHITE, buffers, hash_spans, slices, tidy, words
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("name", "address", "secret")
@@ -390,12 +390,14 @@ def all_spans(field: Field, column: pa.Array) -> list[tuple[list, list]]:
     out = []
     for text, extra in zip(texts, field_spans(field, column)):
         base = base_spans(text or "")
-        ends = 0
-        more = []
+        # Both lists are in order: ``reach`` is how far the patterns' spans that start before an added one's end go.
+        more, i, reach = [], 0, 0
         for a, k, b in extra:
-            if not any(a < y and x < b for x, _, y in base):
+            while i < len(base) and base[i][0] < b:
+                reach = max(reach, base[i][2])
+                i += 1
+            if reach <= a:
                 more.append((a, k, b))
-            ends = b
         out.append((base, sorted(base + more)))
     return out
 
@@ -404,11 +406,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+@tidy
 def _find(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.RecordBatch]:
     field = sent.value
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch):
             rows = all_spans(field, part.column("text"))
             count = [[sum(k == kind for _, k, _ in base) for base, _ in rows] for kind in range(len(BASE_KINDS))]
             cols = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in count), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in rows], pa.string()), pa.array([_joined(s) for _, s in rows], pa.string())]
@@ -437,11 +439,11 @@ def redact(documents: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFr
     sent = documents.sparkSession.sparkContext.broadcast(train(labelled))
     at = documents.columns.index("text")
 
+    @tidy
     def clean(batches):  # noqa: ANN001, ANN202
         field = sent.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch):
                 column = part.column(at)
                 rows = all_spans(field, column)
                 texts = [t if t is None or not s else redacted(t, s) for t, (_, s) in zip(column.to_pylist(), rows)]

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import Scratch
-from ledgerlark.llm.wordhash import buffers, hash_spans, word_hashes
+from ledgerlark.llm.wordhash import buffers, hash_spans, slices, tidy, word_hashes
+from ledgerlark.llm.wordhash import words as split_words
 
 #: At most about so many labelled rows fit the trees.
 FIT_ROWS = 20_000
@@ -63,7 +64,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     changed = np.zeros(len(body), bool)
     changed[1:] = cls[1:] != cls[:-1]
     out[:, k + 10] = np.bincount(owner, weights=changed, minlength=n)[:n] / whole
-    starts, ends = _word_edges(body, at)
+    starts, ends = split_words(body, at)
     word_owner = np.repeat(np.arange(n), words)
     length = ends - starts
     many = np.maximum(words, 1)
@@ -88,16 +89,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _word_edges(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from ledgerlark.llm.wordhash import words
-
-    return words(body, at)
-
-
 def _line_hashes(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from ledgerlark.llm.wordhash import words
-
-    starts, ends = words(body, at, _SPLIT_LINES)
+    starts, ends = split_words(body, at, _SPLIT_LINES)
     return hash_spans(body, starts, ends, lower=False), np.searchsorted(starts, at)
 
 
@@ -164,10 +157,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(features), np.array(thresholds), np.array(values), base)
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in slices(batch):
             x = statistics(part.column("text")).astype(np.float32)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "x"])
 

@@ -43,6 +43,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these, which the result still reads."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root) if fs.exists(root) else ():
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import Scratch
+from ledgerlark.llm.wordhash import tidy
 
 #: Bytes after which a writer starts another archive.
 ARCHIVE_BYTES = 4 << 20
@@ -167,6 +168,7 @@ def with_revisits(pages: DataFrame, scratch: Scratch, at_least: int = 0) -> Data
     return out.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -191,6 +193,7 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(with_revisits(pages, scratch).mapInArrow(_write, "path string, content binary"), "archives")
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)", re.IGNORECASE)
     for batch in batches:

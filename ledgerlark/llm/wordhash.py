@@ -7,6 +7,10 @@ Python objects.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +25,38 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator function over batches that gives freed memory back to the system at its end.
+
+    Python workers live on after a task; what their allocators keep counts
+    against the executor while other tasks run.
+    """
+
+    @functools.wraps(f)
+    def run(*args: object, **named: object) -> Iterator:
+        yield from f(*args, **named)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of the column (one row may have more)."""
+    if not batch.num_rows:
+        return
+    _, at = buffers(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(at, at[lo] + size, side="right")) - 1
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> _U(30))) * _M2
