@@ -5,6 +5,7 @@ They stay in whole-stage code generation; nothing here runs Python per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ from ledgerlark.functions import values as V
 _SPACE = r"[\s ]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(x: Column) -> Column:
     """Without blanks at both ends."""
     return F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")
@@ -120,46 +126,49 @@ def licence_of_extras(extras: Column) -> Column:
 
 def collapse_repeat(x: Column) -> Column:
     """N-12: a text that says one word sequence several times over says it once."""
-    w = F.filter(F.split(x, _SPACE), lambda t: t != "")
-    n = F.size(w)
-    sizes = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (n % k == 0) & (F.slice(w, 1, n - k) == F.slice(w, k + 1, n - k)))
-    return F.when(n > 0, F.array_join(F.slice(w, 1, F.array_min(sizes)), " ")).otherwise(x)
+
+    def once(w: Column) -> Column:
+        n = F.size(w)
+        sizes = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (n % k == 0) & (F.slice(w, 1, n - k) == F.slice(w, k + 1, n - k)))
+        return F.when(n > 0, F.array_join(F.slice(w, 1, F.array_min(sizes)), " ")).otherwise(x)
+
+    return let(F.filter(F.split(x, _SPACE), lambda t: t != ""), once)
 
 
 def creative_commons(key: Column) -> Column:
     """N-13: the canonical id of any spelling, by the longest flavour; version 4.0 where none is given."""
-    flat = F.trim(F.regexp_replace(F.lower(key), "[^a-z0-9.]+", " "))
     major = F.regexp_extract(key, r"\b([1-4])\.([05])\b", 1)
     version = F.when(major == "", F.lit("4.0")).otherwise(F.concat_ws(".", major, F.regexp_extract(key, r"\b([1-4])\.([05])\b", 2)))
-    flavour = F.lit(None).cast("string")
-    # Each flavour: what follows "by" in an id or an address, and its words after "attribution".
-    for tail, said in (("nd", "no ?deriv"), ("nc", "non ?commercial"), ("sa", "share"), ("nc nd", "non ?commercial ?no ?deriv"), ("nc sa", "non ?commercial ?share")):
-        joined = tail.replace(" ", " ?")
-        hit = flat.rlike(f"cc ?by ?{joined}|licenses by {tail}|attribution ?{said}")
-        strength = {"nd": 1, "nc": 2, "sa": 3, "nc nd": 4, "nc sa": 5}[tail]
-        flavour = F.when(hit, F.lit(f"{strength}CC-BY-{tail.upper().replace(' ', '-')}")).otherwise(flavour)
-    plain = flat.rlike(r"cc ?by\b|licenses by\b|\battribution\b")
-    name = F.coalesce(F.substring(flavour, 2, 20), F.when(plain, F.lit("CC-BY")))
-    zero = flat.rlike(r"\bcc0\b|\bcczero\b|\bzero\b|publicdomain|public domain")
+
+    def named(flat: Column) -> Column:
+        # Each flavour: what follows "by" in an id or an address, and its words after "attribution"; the longest first.
+        flavour = F.when(flat.rlike(r"\bcc0\b|\bcczero\b|\bzero\b|publicdomain|public domain"), "CC0-1.0")
+        for tail, said in (("nc sa", "non ?commercial ?share"), ("nc nd", "non ?commercial ?no ?deriv"), ("sa", "share"), ("nc", "non ?commercial"), ("nd", "no ?deriv")):
+            hit = flat.rlike(f"cc ?by ?{tail.replace(' ', ' ?')}|licenses by {tail}|attribution ?{said}")
+            flavour = flavour.when(hit, F.concat(F.lit(f"CC-BY-{tail.upper().replace(' ', '-')}-"), version))
+        return flavour.when(flat.rlike(r"cc ?by\b|licenses by\b|\battribution\b"), F.concat(F.lit("CC-BY-"), version))
+
     asked = key.rlike(r"(?i)creative\s*commons|creativecommons|^cc[\s\-_]?(by|0|zero)")
-    return F.when(asked & zero, F.lit("CC0-1.0")).when(asked & name.isNotNull(), F.concat(name, F.lit("-"), version))
+    return F.when(asked, let(F.trim(F.regexp_replace(F.lower(key), "[^a-z0-9.]+", " ")), named))
 
 
 def licence(identifier: Column, heading: Column | None = None) -> Column:
     """N-14: the canonical licence of an id, else of its title; null where both state none."""
 
+    def of(raw: Column) -> Column:
+        return let(F.lower(raw), lambda key: by_rule(raw, key))
+
+    def by_rule(raw: Column, key: Column) -> Column:
+        has = lambda needle: F.contains(key, F.lit(needle))
+        rule = [lookup(V.LICENCE_IDS, key), lookup(V.LICENCE_URLS, F.regexp_replace(key, "/+$", "")), F.when(key.rlike("open government licen[cs]e"), F.lit("OGL-UK-3.0")), creative_commons(key)]
+        rule += [F.when(reduce(lambda a, b: a | b, map(has, needles)), F.lit(label)) for label, needles in V.MAPPING_LICENCES.items()]
+        rule.append(F.when(F.startswith(key, F.lit("http")) & has("open-government-licence"), F.lit("OGL-UK-3.0")))
+        rule.append(F.when(F.length(raw) <= 60, raw).otherwise(F.lit("Custom licence")))
+        return F.coalesce(*rule)
+
     def one(x: Column) -> Column:
-        raw = unescape(collapse_repeat(clean(F.regexp_replace(x, _SPACE, " "))))
-        key = F.lower(raw)
-        known = lookup(V.LICENCE_IDS, key)
-        families = [(F.lit(label), reduce(lambda a, b: a | b, (F.contains(key, F.lit(n)) for n in needles))) for label, needles in V.MAPPING_LICENCES.items()]
-        rule = F.coalesce(lookup(V.LICENCE_URLS, F.regexp_replace(key, "/+$", "")), F.when(key.rlike("open government licen[cs]e"), F.lit("OGL-UK-3.0")), creative_commons(key))
-        for label, hit in families:
-            rule = F.coalesce(rule, F.when(hit, label))
-        web = F.when(F.startswith(key, F.lit("http")), F.when(F.contains(key, F.lit("open-government-licence")), F.lit("OGL-UK-3.0")).when(F.contains(key, F.lit("creativecommons.org/publicdomain")), F.lit("CC0-1.0")))
-        rest = F.when(F.length(raw) <= 60, raw).otherwise(F.lit("Custom licence"))
-        got = F.when(known.isNotNull(), known).otherwise(F.coalesce(rule, web, rest))
-        return F.when(clean(x) != "", F.when(got != "", got))
+        got = let(unescape(collapse_repeat(clean(F.regexp_replace(x, _SPACE, " ")))), of)
+        return F.when(clean(x) != "", F.nullif(got, F.lit("")))
 
     return one(identifier) if heading is None else F.coalesce(one(identifier), one(heading))
 
@@ -258,21 +267,32 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def ledger_date(x: Column, style: Column) -> Column:
     """N-31: iso, compact, slash by the file's style (the other order where that fails), text month, spreadsheet serial."""
-    t = F.substring(clean(x), 1, 40)
-    n = lambda pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
     iso = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
     slash = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})(?:[^0-9]|$)"
-    year = F.when(n(slash, 3) < 70, n(slash, 3) + 2000).when(n(slash, 3) < 100, n(slash, 3) + 1900).otherwise(n(slash, 3))
-    dmy, mdy = _date(year, n(slash, 2), n(slash, 1)), _date(year, n(slash, 1), n(slash, 2))
-    named = F.try_to_date(F.concat_ws(" ", F.regexp_extract(t, r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{4})", 1), F.initcap(F.regexp_extract(t, r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{4})", 2)), F.regexp_extract(t, r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{4})", 3)), "d MMM yyyy")
-    serial = t.try_cast("double")
-    return F.coalesce(
-        _date(n(iso, 1), n(iso, 2), n(iso, 3)),
-        F.when(t.rlike("^[0-9]{8}$"), _date(F.substring(t, 1, 4).try_cast("int"), F.substring(t, 5, 2).try_cast("int"), F.substring(t, 7, 2).try_cast("int"))),
-        F.when(style == "mdy", F.coalesce(mdy, dmy)).otherwise(F.coalesce(dmy, mdy)),
-        F.when(named.between(F.lit("1990-01-01").cast("date"), F.lit("2099-12-31").cast("date")), named),
-        F.when((serial > 30000) & (serial < 60000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))),
-    )
+    month = r"^([0-9]{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -]([0-9]{4})"
+    parts = lambda t, pattern: F.array(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3)))
+    number = lambda p, i: p[i].try_cast("int")
+
+    def slashed(p: Column) -> Column:
+        short = number(p, 2)
+        year = F.when(short < 70, short + 2000).when(short < 100, short + 1900).otherwise(short)
+        dmy, mdy = _date(year, number(p, 1), number(p, 0)), _date(year, number(p, 0), number(p, 1))
+        return F.when(style == "mdy", F.coalesce(mdy, dmy)).otherwise(F.coalesce(dmy, mdy))
+
+    def named(p: Column) -> Column:
+        day = F.try_to_date(F.concat_ws(" ", p[0], F.initcap(p[1]), p[2]), "d MMM yyyy")
+        return F.when(day.between(F.lit("1990-01-01").cast("date"), F.lit("2099-12-31").cast("date")), day)
+
+    def read(t: Column) -> Column:
+        compact = _date(F.substring(t, 1, 4).try_cast("int"), F.substring(t, 5, 2).try_cast("int"), F.substring(t, 7, 2).try_cast("int"))
+        serial = t.try_cast("double")
+        return (
+            F.when(t.rlike(iso), let(parts(t, iso), lambda p: _date(number(p, 0), number(p, 1), number(p, 2))))
+            .when(t.rlike("^[0-9]{8}$"), compact).when(t.rlike(slash), let(parts(t, slash), slashed)).when(t.rlike(month), let(parts(t, month), named))
+            .when((serial > 30000) & (serial < 60000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
+        )
+
+    return let(F.substring(clean(x), 1, 40), read)
 
 
 def fiscal_year(year_month: Column) -> Column:

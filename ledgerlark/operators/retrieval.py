@@ -53,13 +53,22 @@ def postings(docs: DataFrame, key: str, fields: Mapping[str, float]) -> DataFram
 
 def _tf(docs: DataFrame, key: str, fields: Mapping[str, float], terms: Sequence[str]) -> DataFrame:
     """key, length in tokens, and for each term the weighted number of its occurrences."""
-    parts = {f: tokens(F.col(f)) for f in fields}
+    names = {f: f"padded_{i}" for i, f in enumerate(fields)}
+    cut = docs.select(key, *(padded(F.col(f)).alias(n) for f, n in names.items()))
 
-    def count(field: str, term: str) -> Column:
-        return F.size(F.filter(parts[field], lambda x: x == term))
+    def count(name: str, term: str) -> Column:
+        return (F.length(name) - F.length(F.replace(name, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
 
-    weighed = [reduce(lambda a, b: a + b, (w * count(f, t) for f, w in fields.items())).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return docs.select(key, reduce(lambda a, b: a + b, (F.size(p) for p in parts.values())).alias("length"), *weighed)
+    def length(name: str) -> Column:
+        return F.when(F.col(name) == "  ", 0).otherwise((F.length(name) - F.length(F.replace(name, F.lit("  "), F.lit("")))) / 2 + 1)
+
+    weighed = [reduce(lambda a, b: a + b, (w * count(names[f], t) for f, w in fields.items())).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    return cut.select(key, reduce(lambda a, b: a + b, map(length, names.values())).alias("length"), *weighed)
+
+
+def padded(text: Column) -> Column:
+    """The tokens of a text, each between two blanks of its own: occurrences of a padded term can be cut out and counted."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "  ")), F.lit(" "))
 
 
 def bm25(docs: DataFrame, key: str, fields: Mapping[str, float], terms: Sequence[str], every: bool = False) -> DataFrame:
