@@ -1,3 +1,13 @@
 """Registered queries."""
 
+from ledgerlark import registry
 from ledgerlark.plans import aggregates, catalogue, entities, findings, normalisers, relational, retrieval, windows  # noqa: F401
+
+registry.cast_oracle("two_stage_rollup", txns="BIGINT")
+registry.cast_oracle("json_props", total="BIGINT")
+registry.cast_oracle("two_level_coverage", direct="BIGINT", aggregated="BIGINT")
+registry.cast_oracle("gazetteer_points", lon="DOUBLE", lat="DOUBLE")
+registry.cast_oracle("geo_extras", w="DOUBLE", e="DOUBLE")
+registry.cast_oracle("token_postings", tf="BIGINT")
+registry.cast_oracle("conv_turns", chars="BIGINT")
+registry.cast_oracle("additive_merge", ok="BIGINT", failed="BIGINT")

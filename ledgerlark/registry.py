@@ -20,3 +20,9 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
         return f
 
     return put
+
+
+def cast_oracle(name: str, **kinds: str) -> None:
+    """States the types of result columns that DuckDB would widen or make decimal."""
+    casts = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in kinds.items())
+    ORACLE[name] = f"SELECT * REPLACE ({casts}) FROM ({ORACLE[name]})"
