@@ -185,7 +185,7 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
 
 @query("events_tumbling", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Beyond the reference: hourly windows, in the batch form of the streaming query."""
+    """An extension: hourly windows, in the batch form of the streaming query."""
     from ledgerlark.streaming.events import hourly
 
     return hourly(t(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
@@ -194,7 +194,7 @@ def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
 @query("events_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sid""")
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Beyond the reference: sessions with a gap of half an hour."""
+    """An extension: sessions with a gap of half an hour."""
     e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     s = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
