@@ -8,13 +8,17 @@ under the text's own verdict.  Host: shares of languages among all rows of the
 host, smoothed towards those of its suffix, and these towards those of all
 rows, by grouped aggregation.  The posterior is their normalised product.
 
-A row is rejected when its text is not language: without any letter, or of some
-length and so unlike every language that uniform trigrams explain it far better.
+Every declared language is told apart.  A text of some length so unlike all of
+them that uniform trigrams explain it far better is of no language known here,
+``und``.  A row is rejected when its text is not language: without any letter,
+or of no language known here and with A-Z spread as evenly as random letters.
+Neither depends on the posterior, which only names the language of a row:
+``keep_language`` keeps the same rows whatever its evidence.
 
 Cases: a null or empty text has no evidence of its own, its language is
 ``und`` and it is rejected; null or unknown declarations, hosts and suffixes
-weigh nothing; without any declared language all rows are ``und``; ties go to
-the first language by name; repeated rows count and are judged each; other
+weigh nothing; without any declared language all rows are ``und``, and those
+with language are accepted; ties go to the first language by name; repeated rows count and are judged each; other
 columns are kept by ``keep_language`` and ignored otherwise.
 """
 
@@ -32,15 +36,17 @@ from ledgerlark.llm.wordhash import buffers, slices, tidy
 
 #: At most about so many declared rows of each language fit its trigrams.
 FIT_ROWS = 2_000
-#: Languages told apart: the most declared ones.
-LANGUAGES = 64
 BUCKETS = 1 << 14
 #: Trigrams after which more text adds no certainty.
 FULL_TEXT = 60.0
 #: Pseudo-counts that pull a host towards its suffix, a suffix towards all rows, and counts of declarations.
 PULL = 20.0
-#: Trigrams from which a text can be rejected as unlike any language, and by how much uniform ones must explain it better (nats each).
+#: Trigrams from which a text can be unlike any language, and by how much uniform ones must explain it better (nats each).
 JUDGED, WORSE = 64, 1.0
+#: Chance that two letters of a text are the same, up to which they count as random; 26 even ones have 0.038, languages 0.05 and more.
+EVEN = 0.043
+#: Languages whose counts a task holds at once.
+HELD = 64
 
 _FOLD = np.zeros(256, np.int64)
 for _c in range(65, 91):
@@ -55,6 +61,13 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return seen[at[1:]] > seen[at[:-1]]
 
 
+def uneven(text: str) -> bool:
+    """Whether letters repeat more than random ones of A-Z do, or some are beyond ASCII."""
+    n = np.bincount(_FOLD[np.frombuffer(text.encode(), np.uint8)], minlength=27)[1:]
+    own = n[:26]
+    return bool(n[26:].sum() * 50 > n.sum() or (own * (own - 1)).sum() > EVEN * own.sum() * (own.sum() - 1))
+
+
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Trigram buckets of all texts, where two letters stand together, and n + 1 offsets into them."""
     body, at = buffers(column)
@@ -74,15 +87,22 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, own in total.items():
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(own[some])], names=["lang", "bucket", "n"])
+        total.clear()
+
     for batch in batches:
         for part in slices(batch):
             bucket, at = grams(part.column("text"))
             for lang, a, b in zip(part.column("declared").to_pylist(), at[:-1], at[1:]):
+                if lang not in total and len(total) == HELD:
+                    yield from flush()
                 own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(bucket[a:b], minlength=BUCKETS)
-    for lang, own in total.items():
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(own[some])], names=["lang", "bucket", "n"])
+    yield from flush()
 
 
 def primary(tag: Column) -> Column:
@@ -110,16 +130,12 @@ def identify(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """For each row of (id, text, declared, host, suffix): id, language, posterior, declared, accepted (and text_key)."""
     spark = evidence.sparkSession
     scratch = Scratch(spark, "language")
-    said = evidence.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()  # at most LANGUAGES rows
+    said = evidence.where("declared is not null").groupBy("declared").count().collect()  # at most a row for each code of two or three letters
     names = sorted(r["declared"] for r in said)
-    if not names:
-        return evidence.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(False).alias("accepted"), F.xxhash64("text").alias("text_key"))
+    at_most = spark.createDataFrame([(r["declared"], int(min(1.0, fit_rows / r["count"]) * (1 << 20))) for r in said], "declared string, at_most int")
     part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for r in said:
-        chosen = chosen | ((F.col("declared") == r["declared"]) & (part < int(min(1.0, fit_rows / r["count"]) * (1 << 20))))
-    seen = evidence.where("declared is not null").where(chosen).select("declared", "text").mapInArrow(_counts, "lang string, bucket long, n long")
-    seen = seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most LANGUAGES x BUCKETS rows
+    seen = evidence.where("declared is not null").join(F.broadcast(at_most), "declared").where(part < F.col("at_most")).select("declared", "text").mapInArrow(_counts, "lang string, bucket long, n long")
+    seen = seen.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows for each language
     table = np.zeros((len(names), BUCKETS))
     np.add.at(table, (np.searchsorted(names, seen["lang"].to_numpy(dtype=str)), seen["bucket"].to_numpy(dtype=np.int64)), seen["n"].to_numpy())
     logs = np.log((table + 0.05) / (table.sum(1, keepdims=True) + 0.05 * BUCKETS)).astype(np.float32)
@@ -138,15 +154,22 @@ def identify(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
                     for k, row in enumerate(logs):
                         total[some, k] = np.add.reduceat(row[bucket], at[:-1][some], dtype=np.float64)
                 mean = total / np.maximum(n, 1)[:, None]
+                known = has_letter(own.column("text")) & ((n < JUDGED) | (mean.max(1, initial=-np.inf) > flat - WORSE))
                 score = mean * np.minimum(n, FULL_TEXT)[:, None]
-                language = has_letter(own.column("text")) & ((n < JUDGED) | (mean.max(1) > flat - WORSE))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "text_key", "declared", "host", "suffix")), pa.array(list(score), pa.list_(pa.float64())), pa.array(score.argmax(1)), pa.array(language)], names=["id", "text_key", "declared", "host", "suffix", "score", "best", "language"])
+                language = known.copy()
+                for i in np.flatnonzero((n >= JUDGED) & ~known):
+                    language[i] = uneven(own.column("text")[int(i)].as_py())
+                best = score.argmax(1) if len(logs) else np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("id", "text_key", "declared", "host", "suffix")), pa.array(list(score), pa.list_(pa.float64())), pa.array(best), pa.array(known), pa.array(language)], names=["id", "text_key", "declared", "host", "suffix", "score", "best", "known", "language"])
 
-    schema = "id long, text_key long, declared string, host string, suffix string, score array<double>, best long, language boolean"
+    schema = "id long, text_key long, declared string, host string, suffix string, score array<double>, best long, known boolean, language boolean"
     rows = scratch.save(evidence.withColumn("text_key", F.xxhash64("text")).select("id", "text_key", "text", "declared", "host", "suffix").mapInArrow(read, schema), "rows")
 
+    if not names:
+        return rows.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.col("language").alias("accepted"), "text_key")
+
     # Counts of each language, by the text's own verdict, overall and for each value of the other evidence.
-    told = rows.where("language")
+    told = rows.where("known")
     L = len(names)
     every = np.zeros(L)
     for r in told.groupBy("best").count().collect():  # at most a row for each language
@@ -169,23 +192,24 @@ def identify(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     host = host.select("host", F.zip_with(counts(F.col("m")), prior, lambda x, p: (x + PULL * p)).alias("h"), F.col("n").alias("hn"))
     host = scratch.save(host.select("host", F.transform("h", lambda x: F.log(x / (F.col("hn") + PULL))).alias("host_log")), "hosts", None)
     # P(declared | language): counts by language, smoothed by the declaration's overall share.
-    said_n = told.where("declared is not null").groupBy("declared", "best").count().where(F.col("declared").isin(names)).collect()  # at most LANGUAGES squared
+    said_n = told.where("declared is not null").groupBy("declared", "best").count().collect()  # at most the number of languages squared
+    place = {name: i for i, name in enumerate(names)}
     seen_with = np.full((L, L), 0.0)
     for r in said_n:
-        seen_with[names.index(r["declared"]), r["best"]] = r["count"]
+        seen_with[place[r["declared"]], r["best"]] = r["count"]
     overall_said = (seen_with.sum(1) + 1) / (seen_with.sum() + L)
     given = np.log((seen_with + PULL * overall_said[:, None]) / (seen_with.sum(0, keepdims=True) + PULL))
-    declared = F.create_map(*(x for i, name in enumerate(names) for x in (F.lit(name), F.array(*(F.lit(float(v)) for v in given[i])))))
+    declared = F.broadcast(spark.createDataFrame([(name, given[i].tolist()) for i, name in enumerate(names)], "declared string, said_log array<double>"))
     base = F.array(*(F.lit(float(x)) for x in np.log(share)))
     none = F.array(*(F.lit(0.0) for _ in names))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    out = rows.join(host, "host", "left")
-    total = add(add(F.col("score"), F.coalesce("host_log", base)), F.coalesce(F.try_element_at(declared, F.col("declared")), none))
-    out = out.select("id", "text_key", "declared", "language", total.alias("total"))
+    out = rows.join(host, "host", "left").join(declared, "declared", "left")
+    total = add(add(F.col("score"), F.coalesce("host_log", base)), F.coalesce("said_log", none))
+    out = out.select("id", "text_key", "declared", "known", "language", total.alias("total"))
     top = F.array_max("total")
-    out = out.select("id", "text_key", "declared", "language", (F.array_position("total", top) - 1).cast("int").alias("k"), (1.0 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("posterior"))
-    name = F.when(F.col("language"), F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)).otherwise(F.lit("und"))
-    return out.select("id", name.alias("language"), F.when(F.col("language"), F.round("posterior", 6)).otherwise(F.lit(0.0)).alias("posterior"), "declared", F.col("language").alias("accepted"), "text_key")
+    out = out.select("id", "text_key", "declared", "known", "language", (F.array_position("total", top) - 1).cast("int").alias("k"), (1.0 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("posterior"))
+    name = F.when(F.col("known"), F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)).otherwise(F.lit("und"))
+    return out.select("id", name.alias("language"), F.when(F.col("known"), F.round("posterior", 6)).otherwise(F.lit(0.0)).alias("posterior"), "declared", F.col("language").alias("accepted"), "text_key")
 
 
 def document_languages(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerlark.llm import rp_forest
+from ledgerlark.llm import language_id, rp_forest
 
 # ---- embeddings ----------------------------------------------------------------------------------
 
@@ -17,3 +17,38 @@ def test_lengths_without_a_first_split_miss_no_pair(spark):
     y /= np.sqrt((y * y).sum(1))[:, None]
     want = (y @ y.T >= 0.9).sum(1) - 1
     assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+# ---- languages -----------------------------------------------------------------------------------
+
+RUSSIAN = "Комитет опубликует ежегодный отчёт о государственных расходах в следующем месяце, и граждане могут высказать замечания."
+POLISH = "W poniedziałek rząd przyjął projekt ustawy, która ma uprościć procedury przyznawania świadczeń dla rodzin wielodzietnych oraz innych."
+
+
+def of_words(r, letters):
+    own = ["".join(r.choice(list(letters), 6)) for _ in range(40)]
+    return lambda n: " ".join(r.choice(own, n))
+
+
+def test_every_declared_language_is_told_apart(spark):
+    r = np.random.default_rng(2)
+    codes = [a + b for a in "abcdefghij" for b in "abcdefg"]
+    rows = []
+    for k, code in enumerate(codes):
+        write = of_words(r, "abcdefghijklmnopqrstuvwxyz")
+        rows += [(1000 * k + i, write(60), code if i else None, "s") for i in range(4 if k % 2 else 5)]
+    got = {g["doc_id"]: g for g in language_id.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(codes) > 64 and all(got[i]["language"] == codes[i // 1000] and got[i]["accepted"] for i, *_ in rows)
+
+
+def test_text_of_languages_never_declared_is_kept_and_random_letters_are_not(spark):
+    r = np.random.default_rng(3)
+    write = of_words(r, "aeinorst")
+    noise = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), 2000))
+    odd = [(901, RUSSIAN, None, "t"), (902, POLISH, None, "s"), (903, noise, None, "s"), (904, "12 34", None, "s"), (905, None, None, "s")]
+    rows = [(i, write(600), "en", "s") for i in range(40)] + odd
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(i, x, lang and a, b) for i, x, a, b in rows], "doc_id long, text string, lang string, source string")
+        assert {g["doc_id"] for g in language_id.keep_language(docs).collect()} == {*range(40), 901, 902}
+        got = {g["doc_id"]: g["language"] for g in language_id.document_languages(docs).collect()}
+        assert all(got[i] == "und" for i in range(901, 906)) and all(got[i] == (lang or "und") for i in range(40))
