@@ -3,7 +3,7 @@
 Candidate blocks are runs of sentences around the stems that license wording
 has.  A block is compressed alone and with each template as a raw zstandard
 dictionary; the templates are ranked by the share of the size that they take
-off.  A winner is confirmed by exact wording: all its words must appear in the
+off, and what stands before and after a winner is searched again.  A winner is confirmed by exact wording: all its words must appear in the
 block in order (after case folding and with spelling variants of "licence"
 joined), with no more than a small share of other words in between, and its
 key words (names and version numbers) without any change.
@@ -102,9 +102,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             i = low.find(stem, i + len(stem))
     out: list[tuple[int, int]] = []
     longest = 2 * max(len(t) for _, _, t in TEMPLATES)
-    for i in sorted(at):
-        if out and i < out[-1][1]:
-            continue
+    for i in sorted(set(at)):
         lo, hi = max(0, i - longest), min(len(text), i + longest)
         ends = [m.end() for m in _END.finditer(text, lo, i)]
         a = ends[-1] if ends else lo
@@ -117,7 +115,11 @@ def blocks(text: str) -> list[tuple[int, int]]:
         # Short wordings stand alone in their sentence; long ones need their neighbours too.
         one = _END.search(text, i, hi)
         first = (a, one.end() if one else hi)
-        out.append(first if not _long(low[back:b]) else (max(back, out[-1][1] if out else 0), b))
+        own = (back, b) if _long(low[back:b]) else first
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], own[1]))
+        else:
+            out.append((max(own[0], out[-1][1] if out else 0), own[1]))
     return out
 
 
@@ -152,23 +154,22 @@ def scan(text: str, templates: list[Template], plain: zstandard.ZstdCompressor)
     """The number of candidate blocks and the confirmed licenses (start, end, name) in code points."""
     found = []
     cuts = blocks(text)
-    for lo, hi in cuts:
+    todo = list(cuts)
+    while todo:
+        lo, hi = todo.pop()
         words = wording(text[lo:hi])
-        while words:
-            block = text[lo:hi].lower().encode()
-            alone = len(plain.compress(block))
-            ranked = sorted((-(alone - len(t.code.compress(block))) / alone, t.name, i) for i, t in enumerate(templates))
-            for share, _, i in ranked:
-                if share < 0 and (place := confirm(words, templates[i])):
-                    found.append((lo + place[0], lo + place[1], templates[i].name))
-                    break
-            else:
+        if not words:
+            continue
+        block = text[lo:hi].lower().encode()
+        alone = len(plain.compress(block))
+        ranked = sorted((-(alone - len(t.code.compress(block))) / alone, t.name, i) for i, t in enumerate(templates))
+        for _, _, i in ranked:  # in a long block a short wording may take off nothing
+            if place := confirm(words, templates[i]):
+                found.append((lo + place[0], lo + place[1], templates[i].name))
+                # what stands before or after the winner may hold another
+                todo += [(lo, lo + place[0]), (lo + place[1], hi)]
                 break
-            # what follows the winner may hold another
-            at = lo + place[1]
-            words = wording(text[at:hi])
-            lo = at
-    return len(cuts), found
+    return len(cuts), sorted(found)
 
 
 @tidy

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from ledgerlark.llm import language_id, rp_forest
+from ledgerlark.llm import language_id, licenses, rp_forest
 
 # ---- embeddings ----------------------------------------------------------------------------------
 
@@ -52,3 +52,21 @@ def test_text_of_languages_never_declared_is_kept_and_random_letters_are_not(spa
         assert {g["doc_id"] for g in language_id.keep_language(docs).collect()} == {*range(40), 901, 902}
         got = {g["doc_id"]: g["language"] for g in language_id.document_languages(docs).collect()}
         assert all(got[i] == "und" for i in range(901, 906)) and all(got[i] == (lang or "und") for i in range(40))
+
+
+# ---- licenses ------------------------------------------------------------------------------------
+
+
+def test_wordings_on_either_side_of_the_longest_are_found():
+    import zstandard
+
+    t, plain = licenses.compiled(), zstandard.ZstdCompressor(level=3)
+    text = {name: x for name, _, x in licenses.TEMPLATES}
+    names = lambda x: [n for _, _, n in licenses.scan(x, t, plain)[1]]
+    assert names("Licensed under CC BY 4.0. Data is Dedicated to the public domain under CC0 1.0 Universal.\n") == ["cc-by-4.0", "cc0-1.0"]
+    assert names("All rights reserved. " + text["mit-notice"] + "\n") == ["all-rights-reserved", "mit-notice"]
+    far = "All rights reserved. One. Two. Three. Four. " + text["mit-notice"] + " Five. Six. " + text["mpl-2.0"]
+    assert names(far) == ["all-rights-reserved", "mit-notice", "mpl-2.0"]
+    # between two long ones, and in a block far longer than itself
+    mid = text["apache-2.0-notice"] + " " + text["gpl-2.0"] + " " + text["mit-notice"]
+    assert names(mid) == ["apache-2.0-notice", "gpl-2.0", "mit-notice"]
