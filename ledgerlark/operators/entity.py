@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 from ledgerlark.functions.normalise import name_key, who
+from ledgerlark.session import cut_lineage
 
 
 def salt_keys(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -79,28 +80,29 @@ def elect(records: DataFrame, group: str) -> DataFrame:
     return records.withColumn("elect_rank", rank).join(best, group).where("elect_rank = best").groupBy(group).agg(F.min("key").alias("canonical"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """X-5: node, component (least node reachable) by min-label contraction; ``edges`` have a, b, ``nodes`` have node.
 
-    Each round joins labels along edges and follows pointers once more, so the
-    number of rounds is logarithmic in the diameter for most graphs.  Lineage
-    is cut by checkpoint() in the session's shared folder.
+    Each round points nodes to their least neighbour, follows pointers to their
+    roots and keeps only edges between roots, until none is left: every round
+    at least halves the nodes of a component.  Lineage is cut by tables written
+    to the session's shared folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="components-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = nodes.select("node", F.col("node").alias("component")).checkpoint()
-    for _ in range(rounds):
-        reach = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(reach, "node", "left").select("node", "component", F.least("component", "near").alias("low"))
-        up = step.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = step.join(up, "low").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") != F.col("component")).alias("moved")).checkpoint()
-        label = new.select("node", "component")
-        if not new.where("moved").limit(1).count():
-            break
+    flip = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edge = cut_lineage(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = nodes.select("node", F.col("node").alias("component"))
+    while edge.limit(1).count():
+        point = cut_lineage(flip(edge).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        while True:
+            up = point.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            new = cut_lineage(point.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
+            point = new.select("node", "root")
+            if not new.where("moved").limit(1).count():
+                break
+        ra, rb = point.select(F.col("node").alias("a"), F.col("root").alias("ra")), point.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        edge = cut_lineage(edge.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        up = point.select(F.col("node").alias("component"), F.col("root").alias("up"))
+        label = cut_lineage(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
     return label
 
 

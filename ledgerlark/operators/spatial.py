@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
+from ledgerlark.session import cut_lineage
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -61,22 +62,31 @@ def within(a: DataFrame, a_id: str, b: DataFrame, b_id: str, radius: float) -> D
     return j.where(F.col("distance") <= radius).select(a_id, b_id, "distance")
 
 
-def nearest(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float, rings: int = 12) -> DataFrame:
+def nearest(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float) -> DataFrame:
     """The nearest point of ``b`` for each of ``a``: a_id, b_id, distance; ties by b_id.
 
     Radii double until every point has a neighbour: within a radius the first
-    one found is the nearest of all, so found points leave the search.
+    one found is the nearest of all, so found points leave the search.  Points
+    without a place (null or not finite) are near to none; what has no
+    neighbour, as when ``b`` has no point, gets null b_id and distance.
     """
-    left, done, radius = a, None, cell
-    for _ in range(rings):
-        pairs = within(left, a_id, b, b_id, radius)
-        best = pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance")
-        done = best if done is None else done.unionByName(best)
-        left = left.join(best.select(a_id), a_id, "left_anti")
-        radius *= 2
-        if not left.limit(1).count():
-            break
-    return done
+    placed = "abs(x) < double('infinity') and abs(y) < double('infinity')"
+    sites, left, done, radius = b.where(placed), a.where(placed), a.select(a_id).limit(0), cell
+    done = done.withColumn(b_id, F.lit(None).cast(b.schema[b_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    if sites.limit(1).count():
+        while left.limit(1).count():
+            pairs = within(left, a_id, sites, b_id, radius)
+            best = cut_lineage(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"))
+            done = done.unionByName(best)
+            left = cut_lineage(_without(left, best, a_id))
+            radius *= 2
+    return done.unionByName(_without(a.select(a_id).distinct(), done, a_id), allowMissingColumns=True)
+
+
+def _without(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows whose key, null among them, is not found."""
+    found = found.select(F.col(key).alias("found"))
+    return rows.join(found, rows[key].eqNullSafe(found["found"]), "left_anti")
 
 
 def points_in_polygons(points: DataFrame, point_id: str, polygons: DataFrame, code: str, cell: float) -> DataFrame:

@@ -194,7 +194,7 @@ def knn_cell(spark: SparkSession, d: str) -> DataFrame:
 
     a = t(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.expr("(c_custkey * 37) % 1000").cast("double").alias("x"), F.expr("(c_custkey * 91) % 1000").cast("double").alias("y"))
     b = t(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), F.expr("(s_suppkey * 53) % 1000").cast("double").alias("x"), F.expr("(s_suppkey * 17) % 1000").cast("double").alias("y"))
-    return nearest(a, "c", b, "s", cell=100.0).select("c", "s")
+    return nearest(a, "c", b, "s", cell=100.0).where("s is not null").select("c", "s")
 
 
 @query("within_radius", """SELECT c.c_custkey AS a, s.s_suppkey AS b FROM (SELECT c_custkey, (c_custkey * 37) % 1000 AS x, (c_custkey * 91) % 1000 AS y FROM customer) c JOIN (SELECT s_suppkey, (s_suppkey * 53) % 1000 AS x, (s_suppkey * 17) % 1000 AS y FROM supplier) s ON power(c.x - s.x, 2) + power(c.y - s.y, 2) <= 2500""")
