@@ -12,7 +12,8 @@ size, and so shuffle no text; a larger benchmark is joined by shuffling.
 Cases: a null or empty text has no words and is clean; an item without words
 has no windows; repeated documents and items, ties in rarity (settled by
 position) and other columns change nothing; rows that share a doc_id are told
-apart by their text; a null doc_id keeps its row.
+apart by their text; a null doc_id keeps its row; items with a null item_id hit
+like others, count as one item in n_items and are left out of items_sha256.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def shingles(tokens: Column, k: int) -> Column:
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE) -> DataFrame:
     """item_id, the window's words, their number, the shingle width for them (less than ``k`` for the shortest)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     cut = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("win")).distinct()
     return cut.select("item_id", "win", F.size("win").alias("len"), F.least(F.size("win"), F.lit(k)).alias("k"))
@@ -82,26 +83,26 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
         counted = scratch.save(counted, "counted", files)
         # Windows with a shingle that no document holds drop out at this inner join: they occur nowhere.
         whole = pieces.join(counted, ["k", "h"], "left").groupBy("item_id", "win", "len", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "h")).alias("rare"))
-        prefix = whole.where("rare.df > 0").groupBy("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.h").alias("h")).agg(F.collect_set("item_id").alias("items"))
+        prefix = whole.where("rare.df > 0").groupBy("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.h").alias("h")).agg(F.collect_set(F.struct("item_id")).alias("items"))
         prefix = scratch.save(prefix, "prefix", files)
         found = None
         for k in widths:
             own = docs.select("doc_id", "text_key", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
             met = own.join(send(prefix.where(F.col("k") == k).select("win", "len", "at", "h", "items")), "h")
             met = met.where("pos >= at and pos - at + len <= size(w)").where("slice(w, pos - at + 1, len) = win")
-            one = met.select("doc_id", "text_key", F.expr("pos - at").alias("start"), "len", F.explode("items").alias("item_id"))
+            one = met.select("doc_id", "text_key", F.expr("pos - at").alias("start"), "len", F.explode("items").alias("item")).withColumn("item_id", F.col("item.item_id")).drop("item")
             found = one if found is None else found.unionByName(one)
         hits = scratch.save(found.distinct(), "hits")
         scratch.keep("hits")
     at = hits.select("doc_id", "text_key", "start", "len").distinct().select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + len - 1)")).alias("p")).distinct()
     n_hit = at.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
-    items = hits.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.col("item_id").cast("string")).alias("items"))
-    per = n_hit.join(items, [n_hit["doc_id"].eqNullSafe(items["doc_id"]), n_hit["text_key"] == items["text_key"]]).select(n_hit["doc_id"].alias("d"), n_hit["text_key"].alias("t"), "n_hit", "items")
+    items = hits.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.col("item_id").cast("string")).alias("items"), F.count(F.lit(1)).alias("m"))
+    per = n_hit.join(items, [n_hit["doc_id"].eqNullSafe(items["doc_id"]), n_hit["text_key"] == items["text_key"]]).select(n_hit["doc_id"].alias("d"), n_hit["text_key"].alias("t"), "n_hit", "items", "m")
     base = docs.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
     out = base.join(per, [base["doc_id"].eqNullSafe(per["d"]), base["text_key"] == per["t"]], "left")
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce(F.array_sort("items"), F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n > 0) & (SHARE * n >= F.col("n_words"))).alias("contaminated"), "text_key")
+    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("m", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((n > 0) & (SHARE * n >= F.col("n_words"))).alias("contaminated"), "text_key")
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

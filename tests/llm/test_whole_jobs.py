@@ -1,8 +1,10 @@
 """Cases in which less than the whole job was done once."""
 
+import hashlib
+
 import numpy as np
 
-from ledgerlark.llm import language_id, licenses, rp_forest
+from ledgerlark.llm import decontaminate, language_id, licenses, rp_forest
 
 # ---- embeddings ----------------------------------------------------------------------------------
 
@@ -70,3 +72,14 @@ def test_wordings_on_either_side_of_the_longest_are_found():
     # between two long ones, and in a block far longer than itself
     mid = text["apache-2.0-notice"] + " " + text["gpl-2.0"] + " " + text["mit-notice"]
     assert names(mid) == ["apache-2.0-notice", "gpl-2.0", "mit-notice"]
+
+
+# ---- benchmarks ----------------------------------------------------------------------------------
+
+
+def test_items_without_an_id_hit_and_count_as_one(spark):
+    docs = spark.createDataFrame([(1, "one two three four x"), (2, "five six seven eight x"), (3, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "two three four"), (7, "five six seven"), (None, "five six seven")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (4, 1, sha(b""), True), 2: (3, 2, sha(b"7"), True), 3: (0, 0, sha(b""), False)}
