@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, SparkSession] = {}
+_OWN: dict[str, str] = {}
 _BATCH, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session has none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the session; a temporary one only for a single machine without one, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("folder")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _OWN["folder"] = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     return where.rstrip("/")
 
 
