@@ -43,14 +43,14 @@ def test_every_template_is_found_alone_and_wording_is_exact():
     import zstandard
 
     t, plain = licenses.compiled(), zstandard.ZstdCompressor(level=3)
-    for name, _, text in licenses.TEMPLATES:
+    for name, _, text in licenses.wordings():
         _, got = licenses.scan("Some words come first.\n" + text + "\nMore words.", t, plain)
         assert [g[2] for g in got] == [name]
     wrong = "Licensed under the Apache License, Version 1.1. Released under the BSD License. This licence is mine."
     assert licenses.scan(wrong, t, plain)[1] == []
     two = "Released under the MIT License.\nX.\nLicensed under CC BY-NC 4.0."
     _, got = licenses.scan(two, t, plain)
-    assert [two[a:b] for a, b, _ in got] == ["Released under the MIT License", "Licensed under CC BY-NC 4.0"]
+    assert [two[a:b] for a, b, *_ in got] == ["Released under the MIT License", "Licensed under CC BY-NC 4.0"]
 
 
 # ---- personal data -------------------------------------------------------------------------------

@@ -64,7 +64,7 @@ def test_wordings_on_either_side_of_the_longest_are_found():
 
     t, plain = licenses.compiled(), zstandard.ZstdCompressor(level=3)
     text = {name: x for name, _, x in licenses.TEMPLATES}
-    names = lambda x: [n for _, _, n in licenses.scan(x, t, plain)[1]]
+    names = lambda x: [g[2] for g in licenses.scan(x, t, plain)[1]]
     assert names("Licensed under CC BY 4.0. Data is Dedicated to the public domain under CC0 1.0 Universal.\n") == ["cc-by-4.0", "cc0-1.0"]
     assert names("All rights reserved. " + text["mit-notice"] + "\n") == ["all-rights-reserved", "mit-notice"]
     far = "All rights reserved. One. Two. Three. Four. " + text["mit-notice"] + " Five. Six. " + text["mpl-2.0"]
