@@ -7,7 +7,10 @@ pass over the documents counts the items' shingles, the second joins each
 window's prefix shingle to the documents' positions, keeps starts that lie
 within the document (positional and length bounds) and compares the words of
 the whole window.  Both joins send the benchmark's side, after a check of its
-size, and so shuffle no text; a larger benchmark is joined by shuffling.
+size, and so shuffle no text.  Beyond that size only positions and hashes are
+shuffled: shingles are counted before they meet the benchmark's, places of
+prefix shingles meet the windows in salted parts, and the words of the windows
+so proposed are cut out of each document once and compared.
 
 Cases: a null or empty text has no words and is clean; an item without words
 has no windows; repeated documents and items, ties in rarity (settled by
@@ -27,8 +30,10 @@ WINDOW = 13
 SHINGLE = 3
 #: A document is contaminated when 1 in this many of its words is hit.
 SHARE = 20
-#: Rows of the benchmark's side that are sent to all executors; more are joined by shuffling.
-SENT_ROWS = 2_000_000
+#: Bytes of the benchmark's side that are sent to all executors; more are joined by shuffling.
+SENT_BYTES = 64 << 20
+#: Parts into which a frequent shingle's places are dealt where they are shuffled.
+SALTS = 16
 
 _PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,7 +60,58 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE) -
     return cut.select("item_id", "win", F.size("win").alias("len"), F.least(F.size("win"), F.lit(k)).alias("k"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
+def _counted(docs: DataFrame, asked: DataFrame, widths: list[int], send: bool) -> DataFrame:
+    """h, df, k: how often the documents hold the benchmark's shingles."""
+    out = None
+    for k in widths:
+        own, mine = docs.select(F.explode(shingles(F.col("w"), k)).alias("h")), asked.where(F.col("k") == k).select("h")
+        if send:
+            one = own.join(F.broadcast(mine), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+        else:  # counts come first, so that no frequent shingle is shuffled row by row
+            one = own.groupBy("h").agg(F.count(F.lit(1)).alias("df")).join(mine, "h", "left_semi")
+        one = one.withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _met(docs: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_key, start, len, items of the windows that documents hold, by sending the prefixes."""
+    out = None
+    for k in widths:
+        own = docs.select("doc_id", "text_key", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
+        met = own.join(F.broadcast(prefix.where(F.col("k") == k).select("win", "len", "at", "h", "items")), "h")
+        met = met.where("pos >= at and pos - at + len <= size(w)").where("slice(w, pos - at + 1, len) = win")
+        one = met.select("doc_id", "text_key", F.expr("pos - at").alias("start"), "len", "items")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _met_by_shuffling(docs: DataFrame, prefix: DataFrame, widths: list[int], scratch: Scratch) -> DataFrame:
+    """The same for a benchmark of any size: no words travel with the positions.
+
+    Rows without a doc_id go by -1: what a text holds does not depend on its id.
+    """
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
+    wanted = prefix.select("k", "h", "at", "len", F.xxhash64("win").alias("win_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = None
+    for k in widths:
+        own = docs.select("doc_id", "text_key", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
+        own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.lit(SALTS)).cast("int"))
+        one = own.join(wanted.where(F.col("k") == k).drop("k"), ["h", "salt"]).where("pos >= at and pos - at + len <= n")
+        one = one.select("doc_id", "text_key", F.struct(F.expr("pos - at").alias("start"), "len", "win_key").alias("c"))
+        places = one if places is None else places.unionByName(one)
+    # At most a few for each position of a document.
+    places = scratch.save(places.groupBy("doc_id", "text_key").agg(F.collect_set("c").alias("c")), "places")
+    cut = F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["win_key"].alias("win_key"), F.slice("w", c["start"] + 1, c["len"]).alias("win")))
+    proposed = docs.join(places, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode(cut).alias("c")).select("doc_id", "text_key", "c.*")
+    proposed = proposed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "start"), F.lit(SALTS)).cast("int"))
+    held = prefix.select("win", F.xxhash64("win").alias("win_key"), "items", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = proposed.join(held, ["win_key", "win", "salt"]).select("doc_id", "text_key", "start", "len", "items")
+    bare = met.where("doc_id = -1").withColumn("doc_id", F.lit(None).cast("long"))
+    return met.unionByName(bare)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and text_key, a hash of the text)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -70,28 +126,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, sent_rows: int = S
     if pieces is None:
         hits = spark.createDataFrame([], "doc_id long, text_key long, start int, len int, item_id long")
     else:
-        pieces = scratch.save(pieces, "pieces", 8)
-        rows = pieces.count()
-        send = F.broadcast if rows <= sent_rows else lambda df: df
+        rows = wins.count() * (WINDOW - SHINGLE + 1)
         files = -(-rows // 250_000)  # of tables of the benchmark's size
-        asked = pieces.select("k", "h").distinct()
-        counted = None
-        for k in widths:
-            own = docs.select(F.explode(shingles(F.col("w"), k)).alias("h"))
-            one = own.join(send(asked.where(F.col("k") == k).select("h")), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("k", F.lit(k))
-            counted = one if counted is None else counted.unionByName(one)
+        pieces = scratch.save(pieces, "pieces", files)
+        asked = scratch.save(pieces.select("k", "h").distinct(), "asked", files)
+        counted = _counted(docs, asked, widths, asked.count() * 48 <= sent_bytes)
         counted = scratch.save(counted, "counted", files)
         # Windows with a shingle that no document holds drop out at this inner join: they occur nowhere.
         whole = pieces.join(counted, ["k", "h"], "left").groupBy("item_id", "win", "len", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "h")).alias("rare"))
         prefix = whole.where("rare.df > 0").groupBy("win", "len", "k", F.col("rare.at").alias("at"), F.col("rare.h").alias("h")).agg(F.collect_set(F.struct("item_id")).alias("items"))
         prefix = scratch.save(prefix, "prefix", files)
-        found = None
-        for k in widths:
-            own = docs.select("doc_id", "text_key", "w", F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
-            met = own.join(send(prefix.where(F.col("k") == k).select("win", "len", "at", "h", "items")), "h")
-            met = met.where("pos >= at and pos - at + len <= size(w)").where("slice(w, pos - at + 1, len) = win")
-            one = met.select("doc_id", "text_key", F.expr("pos - at").alias("start"), "len", F.explode("items").alias("item")).withColumn("item_id", F.col("item.item_id")).drop("item")
-            found = one if found is None else found.unionByName(one)
+        size = prefix.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 12 * F.size("win") + 24 * F.size("items") + 64).alias("b")).first()["b"] or 0
+        met = _met(docs, prefix, widths) if size <= sent_bytes else _met_by_shuffling(docs, prefix, widths, scratch)
+        found = met.select("doc_id", "text_key", "start", "len", F.explode("items").alias("item")).withColumn("item_id", F.col("item.item_id")).drop("item")
         hits = scratch.save(found.distinct(), "hits")
         scratch.keep("hits")
     at = hits.select("doc_id", "text_key", "start", "len").distinct().select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + len - 1)")).alias("p")).distinct()

@@ -32,10 +32,21 @@ def test_equals_oracle_sql(spark, sf, name):
 def test_decontamination_beyond_the_size_that_is_sent(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     a = decontaminate.contamination(docs, bench).collect()
-    b = decontaminate.contamination(docs, bench, sent_rows=0).collect()
+    b = decontaminate.contamination(docs, bench, sent_bytes=0).collect()
     assert sorted(map(repr, a)) == sorted(map(repr, b))
 
 
+def test_decontamination_of_a_large_benchmark_shuffles_no_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text").union(spark.sql("SELECT CAST(null AS LONG), 'a b c d w1 w2 w3 w4 w5'").union(spark.sql("SELECT CAST(-1 AS LONG), 'a b c d w1 w2 w3 w4 w5'")))
+    bench = spark.range(20_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(0, 15), i -> concat('w', (id * 7 + i) % 20000)))  AS text")
+    bench = bench.union(docs.selectExpr("100000 + doc_id", "substring(text, 1, 300)")).union(spark.sql("SELECT 7L, 'w1 w2 w3'"))
+    a = decontaminate.contamination(docs, bench).collect()
+    b = decontaminate.contamination(docs, bench, sent_bytes=0).collect()
+    assert sorted(map(repr, a)) == sorted(map(repr, b)) and sum(r["n_hit"] > 0 for r in a) > 100
+    odd = [r for r in a if r["n_words"] == 9 and r["doc_id"] in (None, -1)]
+    assert [(r["n_hit"], r["n_items"]) for r in odd] == [(9, 3)] * 2
+
+
 # ---- licenses ------------------------------------------------------------------------------------
 
 
