@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -20,6 +22,15 @@ def repair(text: str | None) -> str | None:
     return text
 
 
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+def fold(text: str) -> str:
+    """Q-18: lower case without diacritics."""
+    low = text.lower()
+    return low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", low))
+
+
 def stem(word: str) -> str:
     """Q-18: Porter's stem of a lower-case word."""
     if len(word) <= 2:

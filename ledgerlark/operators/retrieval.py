@@ -1,8 +1,8 @@
-"""Hybrid retrieval: keyword, vector and geographic arms, rank fusion, re-ranking, collapsing, paging.
+"""Hybrid retrieval: the vector arm, rank fusion, re-ranking, collapsing, paging, places.
 
 Queries are small (a few terms, one vector, one point) and are part of the
-expressions; the tables they meet are scanned once, cut to the query's terms
-before any shuffle, and ranked by top-k.
+expressions; candidates are ranked by top-k.  The keyword arms read the stored
+index of ``operators.index``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
+# Years, months, quarters, versions and document formats in titles. Fixed values.
 EDITION = (
     YEAR + r"|\b(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\b"
     r"|\bq[1-4]\b|\bv(?:ersion)?\.?\s*[0-9]+\b|\b(?:odt|pdf)\b"
@@ -42,7 +42,7 @@ def topic_terms(query: str, place: str | None = None) -> list[str]:
 
 
 def postings(docs: DataFrame, key: str, fields: Mapping[str, float]) -> DataFrame:
-    """Q-18: key, field, term, tf of every term (the inverted index; unstemmed)."""
+    """Q-18: key, field, term, tf of every unstemmed term of a table, without an index."""
 
     def of(field: str) -> Column:
         return F.transform(tokens(F.col(field)), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
@@ -51,49 +51,6 @@ def postings(docs: DataFrame, key: str, fields: Mapping[str, float]) -> DataFram
     return docs.select(key, F.explode(parts).alias("p")).groupBy(key, "p.field", "p.term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _tf(docs: DataFrame, key: str, fields: Mapping[str, float], terms: Sequence[str]) -> DataFrame:
-    """key, length in tokens, and for each term the weighted number of its occurrences."""
-    names = {f: f"padded_{i}" for i, f in enumerate(fields)}
-    cut = docs.select(key, *(padded(F.col(f)).alias(n) for f, n in names.items()))
-
-    def count(name: str, term: str) -> Column:
-        return (F.length(name) - F.length(F.replace(name, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)
-
-    def length(name: str) -> Column:
-        return F.when(F.col(name) == "  ", 0).otherwise((F.length(name) - F.length(F.replace(name, F.lit("  "), F.lit("")))) / 2 + 1)
-
-    weighed = [reduce(lambda a, b: a + b, (w * count(names[f], t) for f, w in fields.items())).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return cut.select(key, reduce(lambda a, b: a + b, map(length, names.values())).alias("length"), *weighed)
-
-
-def padded(text: Column) -> Column:
-    """The tokens of a text, each between two blanks of its own: occurrences of a padded term can be cut out and counted."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "  ")), F.lit(" "))
-
-
-def bm25(docs: DataFrame, key: str, fields: Mapping[str, float], terms: Sequence[str], every: bool = False) -> DataFrame:
-    """key, bm25 of the documents with any of the terms (with all of them if ``every``).
-
-    Okapi BM25 with the reserved constants; tf is weighted by field; idf has a
-    small floor.  Counts of documents and mean length are one aggregate.
-    """
-    x = _tf(docs, key, fields, terms)
-    stats = x.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms)))).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, df = stats["n"], stats[f"df_{i}"]
-        idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(LEAST_IDF))
-        tf = F.col(f"tf_{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0)))
-    join = (lambda a, b: a & b) if every else (lambda a, b: a | b)
-    return x.where(reduce(join, (F.col(f"tf_{i}") > 0 for i in range(len(terms))))).select(key, score.alias("bm25"))
-
-
-def keyword_arm(docs: DataFrame, key: str, query: str, place: str | None = None, fields: Mapping[str, float] = V.FIELD_WEIGHTS, rows: int = V.ARM_ROWS) -> DataFrame:
-    """Q-3: key, rank (from 0) of the best by BM25."""
-    return ranked(bm25(docs, key, fields, topic_terms(query, place)), key, "bm25", rows)
-
-
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """The dot product with a query vector; both are of unit length."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -112,52 +69,6 @@ def ranked(scored: DataFrame, key: str, score: str, rows: int, keep: bool = Fals
     return top.select(key, rank, *([score] if keep else []))
 
 
-def geo_arm(docs: DataFrame, boxes: DataFrame, key: str, query: str, place: str, point: tuple[float, float], fields: Mapping[str, float] = V.FIELD_WEIGHTS, rows: int = V.ARM_ROWS) -> DataFrame:
-    """Q-5: documents with every topic term whose box holds the point."""
-    x, y = point
-    inside = boxes.where((F.col("w") <= x) & (F.col("e") >= x) & (F.col("s") <= y) & (F.col("n") >= y)).select(key)
-    words = [t for t in terms_of(query) if t not in place.split() and len(t) > 2]
-    if not words:
-        return docs.select(key, F.lit(0).alias("rank")).limit(0)
-    return ranked(bm25(docs, key, fields, words, every=True).join(inside, key, "left_semi"), key, "bm25", rows)
-
-
-def rare_keys(docs: DataFrame, key: str, fields: Mapping[str, float], query: str) -> DataFrame:
-    """Q-4: keys with the rarest term, of two or more terms over two letters, unless even that is common."""
-    words = [t for t in terms_of(query) if len(t) > 2]
-    if len(words) < 2:
-        return docs.select(key).limit(0)
-    x = _tf(docs, key, fields, words)
-    df = x.agg(*(F.count_if(F.col(f"tf_{i}") > 0).alias(str(i)) for i in range(len(words)))).first()
-    seen = sorted((df[i], words[i], i) for i in range(len(words)) if df[i])
-    if not seen or seen[0][0] > V.RARE_DF:
-        return docs.select(key).limit(0)
-    return x.where(F.col(f"tf_{seen[0][2]}") > 0).select(key)
-
-
-def topic_keys(docs: DataFrame, key: str, fields: Mapping[str, float], query: str, place: str | None) -> DataFrame | None:
-    """Q-6: keys with any topic term over two letters; None for a query that is only a place."""
-    words = [t for t in terms_of(query) if t not in (place or "").split() and len(t) > 2]
-    if not words:
-        return None
-    every = F.array_union(*(tokens(F.col(f)) for f in list(fields)[:2])) if len(fields) == 2 else reduce(F.array_union, (tokens(F.col(f)) for f in fields))
-    return docs.where(F.arrays_overlap(every, F.array(*map(F.lit, words)))).select(key)
-
-
-def publisher_keys(docs: DataFrame, key: str, publisher: str, query: str, topic: DataFrame | None, most: int = 1500) -> DataFrame:
-    """Q-7: keys whose publisher has a discriminating term, within the topic."""
-    words = [t for t in terms_of(query) if len(t) > 3]
-    if not words:
-        return docs.select(key).limit(0)
-    hit = [F.array_contains(tokens(F.col(publisher)), t) for t in words]
-    n = docs.agg(*(F.count_if(h).alias(str(i)) for i, h in enumerate(hit))).first()
-    good = [h for i, h in enumerate(hit) if 0 < n[i] <= most]
-    if not good:
-        return docs.select(key).limit(0)
-    found = docs.where(reduce(lambda a, b: a | b, good)).select(key)
-    return found if topic is None else found.join(topic, key, "left_semi")
-
-
 def fuse(arms: Sequence[DataFrame], key: str) -> DataFrame:
     """Q-8, U-6: reciprocal rank fusion."""
     every = reduce(lambda a, b: a.unionByName(b), (a.select(key, (1.0 / (V.RRF_K + F.col("rank") + 1)).alias("part")) for a in arms))
@@ -210,6 +121,21 @@ def confidence(similarity: float | None, any_result: bool, topic_seen: bool | No
     return "strong" if similarity >= V.STRONG and topic_seen is not False else "weak"
 
 
+def grams(query: str, longest: int = 6) -> list[tuple[int, int, str]]:
+    """Runs of up to ``longest`` words of a query: their number, place and text."""
+    w = terms_of(query)
+    return [(n, i, " ".join(w[i : i + n])) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+def place_in(query: str, vocabulary: DataFrame, place: str = "place"):  # noqa: ANN201
+    """Q-13 for one query: the vocabulary's row of the longest name in it, the last of equally long ones; None without any."""
+    every = grams(query)
+    if not every:
+        return None
+    seen = {r[place]: r for r in vocabulary.where(F.col(place).isin(sorted({g for _, _, g in every}))).collect()}  # at most a few for each word of the query
+    return seen.get(max(((n, i, g) for n, i, g in every if g in seen), default=(0, 0, None))[2])
+
+
 def detect_place(queries: DataFrame, vocabulary: DataFrame, query: str = "query", place: str = "place", longest: int = 6) -> DataFrame:
     """Q-13: adds the longest place name in a query, the last of equally long ones.
 

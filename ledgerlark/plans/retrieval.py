@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 from ledgerlark.operators import retrieval as R
+from ledgerlark.operators.index import LAYOUT, SearchIndex, words_of
 from ledgerlark.registry import query
+from ledgerlark.session import cut_lineage, shared_folder
 from ledgerlark.session import table as t
+from ledgerlark.sources.stored import stored
 
-FIELDS = {"title": 5.0, "text": 1.0, "source": 2.0, "lang": 3.0}
-QUERY = "licensed general public thenting password"
+FIELDS = {"title": 5.0, "text": 1.0, "publisher": 2.0, "lang": 3.0}
+PLACE, POINT = "nation 7", (2.0, 52.0)
+QUERY = f"general public licensed under {PLACE}"
 VEC = 7
+TERMS, WORDS = words_of(QUERY, PLACE)
+#: Tokens of the tables' invented vocabulary with the same stem as a word of the query.
+FORMS = {"general": ("general", "generals", "generally"), "public": ("public", "publics"), "licensed": ("licensed", "license", "licenses", "licensing"), "under": ("under", "unders", "undered", "undering", "underer"), "nation": ("nation", "nations", "nationed", "nationing"), "7": ("7",)}
+_PUBLISHER = "(CASE WHEN doc_id % 7 = 0 THEN 'Public office ' ELSE 'Bureau ' END || source)"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), "text", "source", "lang", "n_chars")
+    """Documents as catalogue records."""
+    return t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), "text", F.expr(_PUBLISHER).alias("publisher"), "source", "lang", "n_chars", F.substring("text", 1, 280).alias("description"))
+
+
+def index(spark: SparkSession, d: str) -> SearchIndex:
+    """The stored index over the documents; built by the first query that needs it, and again when the table's files change."""
+    path = stored(spark, LAYOUT, t(spark, d, "documents"), lambda to: SearchIndex.build(docs(spark, d), "doc_id", FIELDS, to, "publisher"))
+    return SearchIndex(spark, path, "doc_id", FIELDS)
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -24,26 +42,43 @@ def query_vector(spark: SparkSession, d: str) -> list[float]:
     return list(row["embedding"]) if row else [0.0]
 
 
-def sql_tf(terms: list[str]) -> str:
-    tok = lambda f: f"regexp_extract_all(lower({f}), '[a-z0-9]+')"
-    cols = ", ".join(f"5.0 * len(list_filter(a, lambda x: x = '{w}')) + 1.0 * len(list_filter(b, lambda x: x = '{w}')) + 2.0 * len(list_filter(c, lambda x: x = '{w}')) + 3.0 * len(list_filter(e, lambda x: x = '{w}')) AS tf_{i}" for i, w in enumerate(terms))
-    return f"tok AS (SELECT doc_id, {tok('left(text, 60)')} AS a, {tok('text')} AS b, {tok('source')} AS c, {tok('lang')} AS e FROM documents), tf AS (SELECT doc_id, len(a) + len(b) + len(c) + len(e) AS length, {cols} FROM tok)"
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Bounding boxes of records: w, e, s, n."""
+    i = F.col("doc_id")
+    return t(spark, d, "documents").select(i.alias("key"), (i % 36 - 18).alias("w"), (i % 36 - 6).alias("e"), (i % 10 + 45).alias("s"), (i % 10 + 50).alias("n"))
+
+
+def inside(spark: SparkSession, d: str, point: tuple[float, float]) -> DataFrame:
+    """P-6, J-3: keys of the records whose box holds a point."""
+    x, y = point
+    return boxes(spark, d).where((F.col("w") <= x) & (F.col("e") >= x) & (F.col("s") <= y) & (F.col("n") >= y)).select("key")
 
 
-def sql_bm25(terms: list[str], every: bool = False) -> str:
+def sql_tf() -> str:
+    tok = lambda f: f"regexp_extract_all(strip_accents(lower({f})), '[a-z0-9]+')"
+    forms = lambda w: "(" + ", ".join(f"'{x}'" for x in FORMS[w]) + ")"
+    n = lambda f, w: f"len(list_filter({f}, lambda x: x IN {forms(w)}))"
+    cols = ", ".join(f"5.0 * {n('a', w)} + 1.0 * {n('b', w)} + 2.0 * {n('c', w)} + 3.0 * {n('e', w)} AS tf_{i}, {n('c', w)} > 0 AS pub_{i}" for i, w in enumerate(TERMS))
+    return f"tok AS (SELECT doc_id, {tok('left(text, 60)')} AS a, {tok('text')} AS b, {tok(_PUBLISHER)} AS c, {tok('lang')} AS e FROM documents), tf AS (SELECT doc_id, len(a) + len(b) + len(c) + len(e) AS length, {cols} FROM tok)"
+
+
+def sql_bm25(words: list[str], name: str = "bm", every: bool = False) -> str:
     part = lambda i: f"greatest(ln((n - df_{i} + 0.5) / (df_{i} + 0.5)), 1e-6) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * length / mean))"
-    df = ", ".join(f"count(*) FILTER (tf_{i} > 0) AS df_{i}" for i in range(len(terms)))
-    cond = (" AND " if every else " OR ").join(f"tf_{i} > 0" for i in range(len(terms)))
-    return f"{sql_tf(terms)}, st AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM tf), bm AS (SELECT doc_id, {' + '.join(part(i) for i in range(len(terms)))} AS bm25 FROM tf, st WHERE {cond})"
+    at = [TERMS.index(w) for w in words]
+    return f"{name} AS (SELECT doc_id, {' + '.join(map(part, at))} AS bm25 FROM tf, st WHERE {(' AND ' if every else ' OR ').join(f'tf_{i} > 0' for i in at)})"
 
 
-TERMS = R.terms_of(QUERY)
+_ST = "st AS (SELECT count(*) AS n, avg(length) AS mean, " + ", ".join(f"count(*) FILTER (tf_{i} > 0) AS df_{i}, count(*) FILTER (pub_{i}) AS pdf_{i}" for i in range(len(TERMS))) + " FROM tf)"
+_BASE = f"{sql_tf()}, {_ST}, {sql_bm25(WORDS)}, {sql_bm25([w for w in WORDS if len(w) > 2], 'gb', True)}"
 _VEC = f"ve AS (SELECT vec_id AS doc_id, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {VEC})) AS similarity FROM embeddings)"
-_ARMS = f"""{sql_bm25(TERMS)}, {_VEC}, ka AS (SELECT doc_id, row_number() OVER (ORDER BY bm25 DESC, doc_id) - 1 AS rank FROM bm QUALIFY rank < 100),
-va AS (SELECT doc_id, row_number() OVER (ORDER BY similarity DESC, doc_id) - 1 AS rank FROM ve QUALIFY rank < 100),
-fu AS (SELECT doc_id, sum(1.0 / (61 + rank)) AS score FROM (SELECT * FROM ka UNION ALL SELECT * FROM va) GROUP BY 1)"""
-_RARE = "(SELECT min(v) FROM (SELECT unnest(list_filter([" + ", ".join(f"[df_{i}, {sorted(TERMS).index(w)}, {i}]" for i, w in enumerate(TERMS)) + "], lambda x: x[1] > 0)) AS v FROM st))"
-_RARE_ROW = "CASE " + " ".join(f"WHEN r = {i} THEN tf_{i} > 0" for i in range(len(TERMS))) + " ELSE false END"
+_IN = "doc_id % 36 - 18 <= 2 AND doc_id % 36 - 6 >= 2 AND doc_id % 10 + 45 <= 52 AND doc_id % 10 + 50 >= 52"
+_RANK = lambda table, score: f"(SELECT doc_id, row_number() OVER (ORDER BY {score} DESC, doc_id) - 1 AS rank FROM {table} QUALIFY rank < 100)"
+_ARMS = f"""{_BASE}, {_VEC}, ka AS {_RANK('bm', 'bm25')}, va AS {_RANK('ve', 'similarity')}, ga AS {_RANK(f'(SELECT * FROM gb WHERE {_IN})', 'bm25')},
+fu AS (SELECT doc_id, sum(1.0 / (61 + rank)) AS score FROM (SELECT * FROM ka UNION ALL SELECT * FROM va UNION ALL SELECT * FROM ga) GROUP BY 1)"""
+_LONG = [w for w in TERMS if len(w) > 2]
+_RARE = "(SELECT min(v) FROM (SELECT unnest(list_filter([" + ", ".join(f"[df_{TERMS.index(w)}, {sorted(_LONG).index(w)}, {TERMS.index(w)}]" for w in _LONG) + "], lambda x: x[1] > 0)) AS v FROM st))"
+_FLAGS = f"""fl AS (SELECT tf.doc_id, CASE {' '.join(f'WHEN r[1] <= 5000 AND r[3] = {TERMS.index(w)} THEN tf_{TERMS.index(w)} > 0' for w in _LONG)} ELSE false END AS rare,
+({' OR '.join(f'tf_{TERMS.index(w)} > 0' for w in WORDS if len(w) > 2)}) AS topic, ({' OR '.join(f'(pdf_{TERMS.index(w)} <= 1500 AND pub_{TERMS.index(w)})' for w in TERMS if len(w) > 3)}) AS pub FROM tf, st, (SELECT {_RARE} AS r))"""
 
 
 @query("token_postings", """SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 5""")
@@ -53,11 +88,21 @@ def token_postings(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df >= 5")
 
 
-@query("bm25_topk", f"WITH {sql_bm25(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 100")
+@query("bm25_topk", f"WITH {_BASE} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm25 DESC, doc_id LIMIT 100")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Q-3, O-2."""
-    b = R.bm25(docs(spark, d), "doc_id", FIELDS, TERMS)
-    return b.orderBy(F.desc("bm25"), "doc_id").limit(100).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    """Q-3, O-2: stemmed terms, from the stored index."""
+    m = index(spark, d).matches(TERMS)
+    found = m.rows.where(m.any(WORDS)).select(F.col("key").alias("doc_id"), m.bm25(WORDS).alias("bm25"))
+    return found.orderBy(F.desc("bm25"), "doc_id").limit(100).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("index_build", "SELECT word AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, '') || ' ' || coalesce(lang, ''))), '[a-z0-9]+')) AS word FROM documents) WHERE word IN ('und', 'der', '1984') GROUP BY 1")
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Q-18: builds the index anew and reads the records of a few words that are their own stems."""
+    to = f"{shared_folder(spark)}/index-build-{uuid.uuid4().hex}"
+    SearchIndex.build(docs(spark, d), "doc_id", FIELDS, to, "publisher")
+    rows = SearchIndex(spark, to, "doc_id", FIELDS).postings(["und", "der", "1984"])
+    return rows.where(F.get("tf", F.lit(1)) + F.get("tf", F.lit(3)) > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("vector_topk", f"WITH {_VEC} SELECT doc_id AS vec_id, round(similarity, 6) AS similarity FROM ve ORDER BY similarity DESC, doc_id LIMIT 100")
@@ -67,75 +112,115 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return a.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("rare_term", f"WITH {sql_bm25(TERMS)}, rr AS (SELECT {_RARE}[3] AS r) SELECT doc_id FROM tf, rr WHERE {_RARE_ROW}")
+@query("rare_term", f"WITH {_BASE}, {_FLAGS} SELECT doc_id FROM fl WHERE rare")
 def rare_term(spark: SparkSession, d: str) -> DataFrame:
     """Q-4."""
-    return R.rare_keys(docs(spark, d), "doc_id", FIELDS, QUERY)
+    m = index(spark, d).matches(TERMS)
+    return m.rows.where(m.rare(TERMS)).select(F.col("key").alias("doc_id"))
 
 
-@query("topic_and_publisher", """WITH tk AS (SELECT doc_id FROM documents WHERE len(list_intersect(regexp_extract_all(lower(text || ' ' || source), '[a-z0-9]+'), ['reserved', 'src3'])) > 0),
-pk AS (SELECT doc_id FROM documents WHERE lower(source) = 'src3') SELECT tk.doc_id, pk.doc_id IS NOT NULL AS publisher FROM tk LEFT JOIN pk ON pk.doc_id = tk.doc_id""")
+@query("topic_and_publisher", f"WITH {_BASE}, {_FLAGS} SELECT doc_id, pub AS publisher FROM fl WHERE topic")
 def topic_and_publisher(spark: SparkSession, d: str) -> DataFrame:
     """Q-6, Q-7."""
-    x = docs(spark, d)
-    topic = R.topic_keys(x, "doc_id", {"text": 1.0, "source": 1.0}, "reserved src3 de", None)
-    pub = R.publisher_keys(x, "doc_id", "source", "reserved src3", topic).withColumn("publisher", F.lit(True))
-    return topic.join(pub, "doc_id", "left").select("doc_id", F.coalesce("publisher", F.lit(False)).alias("publisher"))
+    m = index(spark, d).matches(TERMS, "publisher")
+    return m.rows.where(m.topic(WORDS)).select(F.col("key").alias("doc_id"), m.publisher(TERMS).alias("publisher"))
 
 
-@query("geo_arm", f"""WITH {sql_bm25(['licensed', 'under'], every=True)} SELECT bm.doc_id, round(bm25, 6) AS bm25 FROM bm WHERE bm.doc_id % 36 - 18 <= 2 AND bm.doc_id % 36 - 18 + 12 >= 2 AND bm.doc_id % 10 + 45 <= 52 AND bm.doc_id % 10 + 50 >= 52 ORDER BY bm25 DESC, bm.doc_id LIMIT 100""")
+@query("geo_arm", f"""WITH {_BASE} SELECT doc_id, round(bm25, 6) AS bm25 FROM gb WHERE {_IN} ORDER BY bm25 DESC, doc_id LIMIT 100""")
 def geo_arm(spark: SparkSession, d: str) -> DataFrame:
     """Q-5, J-3: all terms, and a box that holds the point."""
-    x = docs(spark, d)
-    boxes = x.select("doc_id", (F.col("doc_id") % 36 - 18).alias("w"), (F.col("doc_id") % 36 - 6).alias("e"), (F.col("doc_id") % 10 + 45).alias("s"), (F.col("doc_id") % 10 + 50).alias("n"))
-    inside = R.geo_arm(x, boxes, "doc_id", "licensed under london", "london", (2.0, 52.0), FIELDS)
-    b = R.bm25(x, "doc_id", FIELDS, ["licensed", "under"], every=True)
-    return inside.join(b, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+    m = index(spark, d).matches(TERMS)
+    words = [w for w in WORDS if len(w) > 2]
+    found = m.geo_arm(words, inside(spark, d, POINT)).join(m.rows, "key")
+    return found.select(F.col("key").alias("doc_id"), F.round(m.bm25(words), 6).alias("bm25"))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    k = R.keyword_arm(docs(spark, d), "doc_id", QUERY, fields=FIELDS)
-    v = R.vector_arm(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "embedding", query_vector(spark, d))
-    return R.fuse([k, v], "doc_id")
+def place_of(spark: SparkSession, d: str, asked: str) -> tuple[str | None, tuple[float, float] | None]:
+    """The place that a query names, and its point in the gazetteer."""
+    low = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit(" "))).alias("place")
+    names = t(spark, d, "nation").select(low("n_name"), (F.col("n_nationkey") - 5.0).alias("x"), (F.col("n_nationkey") + 45.0).alias("y"))
+    regions = t(spark, d, "region").select(low("r_name"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    row = R.place_in(asked, names.union(regions))
+    return (row["place"], None if row["x"] is None else (row["x"], row["y"])) if row else (None, None)
+
+
+def availability(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, av: the verdict on a record's resources."""
+    return t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "dead").when(F.col("quality") == 1, "data").otherwise("webpage").alias("av"))
+
+
+def _arms(spark: SparkSession, d: str):  # noqa: ANN202
+    """key, rank, arm of the three arms (300 rows at most), the matches and the place."""
+    place, point = place_of(spark, d, QUERY)
+    every, words = words_of(QUERY, place)
+    m = index(spark, d).matches(every, "publisher")
+    k = m.keyword_arm((words or every) if point else every)
+    v = R.vector_arm(t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "embedding", query_vector(spark, d))
+    arms = [k.withColumn("arm", F.lit("words")), v.select("key", "rank", F.lit("vector").alias("arm"))]
+    if point and place:
+        arms.append(m.geo_arm([w for w in words if len(w) > 2], inside(spark, d, point)).withColumn("arm", F.lit("geo")))
+    return reduce(lambda a, b: a.unionByName(b), arms), m, place
 
 
 @query("rrf_hybrid", f"WITH {_ARMS} SELECT doc_id, round(score, 9) AS score FROM fu")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Q-8."""
-    return _fused(spark, d).select("doc_id", F.round("score", 9).alias("score"))
+    """Q-8, U-6: three arms."""
+    return R.fuse([_arms(spark, d)[0]], "key").select(F.col("key").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
-_SIGNALS = f"""sg AS (SELECT fu.doc_id, fu.score * (CASE WHEN rk.doc_id IS NOT NULL THEN 1.3 ELSE 1 END) * (CASE WHEN dd.source = 'src3' THEN 1.35 ELSE 1 END)
-* (CASE WHEN fu.doc_id % 5 = 0 AND coalesce(av, '') <> 'dead' AND fu.doc_id % 4 <> 1 THEN 1.45 ELSE 1 END) * (CASE WHEN fu.doc_id % 4 = 1 THEN 0.8 ELSE 1 END)
+_SIGNALS = f"""{_FLAGS}, sg AS (SELECT fu.doc_id, coalesce(topic, false) AS topic, ga.doc_id IS NOT NULL AS covers, av, fu.score * (CASE WHEN rare THEN 1.3 ELSE 1 END) * (CASE WHEN topic AND pub THEN 1.35 ELSE 1 END)
+* (CASE WHEN ga.doc_id IS NOT NULL AND coalesce(av, '') <> 'dead' AND topic THEN 1.45 ELSE 1 END) * (CASE WHEN coalesce(topic, false) THEN 1 ELSE 0.8 END)
 * (CASE WHEN av = 'data' THEN 1.15 WHEN av = 'api' THEN 1.05 WHEN av = 'webpage' THEN 0.97 WHEN av = 'dead' THEN 0.85 WHEN av IS NULL AND coalesce(dd.n_chars, 0) % 3 = 0 THEN 0.95 ELSE 1 END) * (CASE WHEN dd.lang = 'es' THEN 0.5 ELSE 1 END) AS score
 FROM fu LEFT JOIN documents dd ON dd.doc_id = fu.doc_id LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'dead' WHEN quality = 1 THEN 'data' ELSE 'webpage' END AS av FROM labels) la ON la.doc_id = fu.doc_id
-LEFT JOIN (SELECT doc_id FROM tf, (SELECT {_RARE}[3] AS r) WHERE {_RARE_ROW}) rk ON rk.doc_id = fu.doc_id)"""
+LEFT JOIN ga ON ga.doc_id = fu.doc_id LEFT JOIN fl ON fl.doc_id = fu.doc_id)"""
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    la = t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "dead").when(F.col("quality") == 1, "data").otherwise("webpage").alias("av"))
-    f = _fused(spark, d).join(x.select("doc_id", "source", "lang", "n_chars"), "doc_id", "left").join(la, "doc_id", "left")
-    f = f.join(R.rare_keys(x, "doc_id", FIELDS, QUERY).withColumn("rare", F.lit(True)), "doc_id", "left")
-    m = R.multiplier(F.col("rare"), F.col("source") == "src3", F.col("doc_id") % 5 == 0, F.col("doc_id") % 4 == 1, F.col("av"), F.coalesce("n_chars", F.lit(0)) % 3, F.col("lang") == "es")
-    return f.select("doc_id", (F.col("score") * m).alias("score"))
+    """doc_id, score, topic, covers (the geo arm has it), av: of the candidates.
+
+    The arms' candidates, 300 at most, are known before their records are looked
+    up, so their keys reach the scans as filters and nothing else is shuffled.
+    """
+    arms, m, place = _arms(spark, d)
+    rows = arms.collect()
+    keys = sorted({r["key"] for r in rows})
+    near = lambda df, key: df.where(F.col(key).isin(keys)).withColumnRenamed(key, "key")
+    fused = spark.createDataFrame([(r["key"], 1.0 / (V.RRF_K + r["rank"] + 1), r["arm"] == "geo") for r in rows], "key long, part double, covers boolean")
+    topic = m.topic(WORDS)
+    flags = near(m.rows, "key").select("key", m.rare(TERMS).alias("rare"), m.publisher(TERMS).alias("pub"), (topic if topic is not None else F.lit(True)).alias("topic"))
+    parts = (fused, flags, near(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id"), near(availability(spark, d), "doc_id"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    f = every.groupBy("key").agg(F.sum("part").alias("score"), *(F.max(c).alias(c) for c in ("covers", "rare", "pub", "topic", "lang", "n_chars", "av")))
+    hit = F.coalesce("topic", F.lit(False))
+    place_only = ~hit if place and topic is not None else F.lit(False)
+    score = F.col("score") * R.multiplier(F.col("rare"), F.col("pub") & hit, F.col("covers"), place_only, F.col("av"), F.coalesce("n_chars", F.lit(0)) % 3, F.col("lang") == "es")
+    return f.select(F.col("key").alias("doc_id"), score.alias("score"), hit.alias("topic"), "covers", "av")
 
 
 @query("rerank_mult", f"WITH {_ARMS}, {_SIGNALS} SELECT doc_id, round(score, 9) AS score FROM sg")
 def rerank_mult(spark: SparkSession, d: str) -> DataFrame:
-    """Q-9."""
+    """Q-9: signals from the arms, the topic and the publishers."""
     return _reranked(spark, d).select("doc_id", F.round("score", 9).alias("score"))
 
 
 _CANON = "cn AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents), co AS (SELECT coalesce(cn.canonical, sg.doc_id) AS doc_id, max(score) AS score FROM sg LEFT JOIN cn ON cn.doc_id = sg.doc_id WHERE coalesce(cn.canonical, sg.doc_id) % 17 <> 3 GROUP BY 1)"
 
 
-def _collapsed(spark: SparkSession, d: str) -> DataFrame:
-    x = t(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("k"))
-    same = x.groupBy("k").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    canonical = x.join(same, "k").select("doc_id", "canonical")
-    s = _reranked(spark, d)
-    return R.collapse_duplicates(s, "doc_id", canonical, s.where("doc_id % 17 = 3").select("doc_id").union(canonical.where("canonical % 17 = 3").select("canonical")))
+def canonicals(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, canonical of every document with an equal text elsewhere; a table of its own that a dedupe run writes once."""
+
+    def build(to: str) -> None:
+        x = t(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("k"))
+        same = x.groupBy("k").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        x.join(same, "k").select("doc_id", "canonical").write.parquet(to)
+
+    return spark.read.parquet(stored(spark, "canonicals-1", t(spark, d, "documents"), build))
+
+
+def _collapsed(spark: SparkSession, d: str, scored: DataFrame | None = None) -> DataFrame:
+    retired = t(spark, d, "documents").where("doc_id % 17 = 3").select("doc_id")  # by number, here
+    s = _reranked(spark, d).select("doc_id", "score") if scored is None else scored
+    return R.collapse_duplicates(s, "doc_id", canonicals(spark, d), retired)
 
 
 @query("collapse_duplicates", f"WITH {_ARMS}, {_SIGNALS}, {_CANON} SELECT doc_id, round(score, 9) AS score FROM co")
@@ -144,12 +229,12 @@ def collapse_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return _collapsed(spark, d).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("filter_then_page", f"WITH {_ARMS}, {_SIGNALS}, {_CANON} SELECT co.doc_id, round(score, 4) AS score, dd.lang, (SELECT count(*) FROM co c2 JOIN documents d2 ON d2.doc_id = c2.doc_id WHERE d2.lang IN ('en', 'de')) AS available FROM co JOIN documents dd ON dd.doc_id = co.doc_id WHERE dd.lang IN ('en', 'de') ORDER BY co.score DESC, co.doc_id LIMIT 10 OFFSET 10")
+@query("filter_then_page", f"WITH {_ARMS}, {_SIGNALS}, {_CANON} SELECT co.doc_id, round(round(score, 9), 4) AS score, dd.lang, (SELECT count(*) FROM co c2 JOIN documents d2 ON d2.doc_id = c2.doc_id WHERE d2.lang IN ('en', 'de')) AS available FROM co JOIN documents dd ON dd.doc_id = co.doc_id WHERE dd.lang IN ('en', 'de') ORDER BY co.score DESC, co.doc_id LIMIT 10 OFFSET 10")
 def filter_then_page(spark: SparkSession, d: str) -> DataFrame:
     """P-4, O-3: filters come after ranking and before paging; the count is of what can be paged."""
     c = _collapsed(spark, d).join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id").where(F.col("lang").isin("en", "de"))
     n = c.agg(F.count(F.lit(1)).alias("available"))
-    return R.page(c, "doc_id", 10, 10).crossJoin(F.broadcast(n)).select("doc_id", F.round("score", 4).alias("score"), "lang", "available")
+    return R.page(c, "doc_id", 10, 10).crossJoin(F.broadcast(n)).select("doc_id", F.round(F.round("score", 9), 4).alias("score"), "lang", "available")
 
 
 @query("collapse_editions", """WITH x AS (SELECT p_partkey, p_brand || CASE p_partkey % 4 WHEN 0 THEN ' survey 20' || lpad(CAST(p_size % 30 AS VARCHAR), 2, '0') WHEN 1 THEN ' guide v' || CAST(p_size AS VARCHAR) WHEN 2 THEN ' returns March q2' ELSE ' map' END AS title, p_type AS publisher, p_size, p_retailprice AS score FROM part),
@@ -193,13 +278,27 @@ def confidence_of_pages(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "embeddings").select("vec_id", F.when(s >= V.STRONG, "strong").when(s >= V.WEAK, "weak").otherwise("none").alias("confidence"))
 
 
-_TOP = f"WITH {_ARMS}, {_SIGNALS}, {_CANON}, tp AS (SELECT doc_id, score FROM co ORDER BY score DESC, doc_id LIMIT 10)"
+_TOP = f"WITH {_ARMS}, {_SIGNALS}, {_CANON}, tp AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place_no FROM co ORDER BY score DESC, doc_id LIMIT 10)"
+_PLACE_SQL = "(SELECT max(similarity) FROM ve)"
 
 
-@query("search_hybrid", f"""{_TOP} SELECT tp.doc_id, round(score, 4) AS score, left(text, 60) AS title, source AS publisher, left(text, 280) AS description, (SELECT CASE WHEN max(similarity) >= 0.55 THEN 'strong' WHEN max(similarity) >= 0.4 THEN 'weak' ELSE 'none' END FROM ve WHERE doc_id <> -1) AS similarity_class FROM tp LEFT JOIN documents dd ON dd.doc_id = tp.doc_id""")
+@query("search_hybrid", f"""{_TOP}, tt AS (SELECT count(*) FILTER (fl.topic) AS seen FROM tp LEFT JOIN fl ON fl.doc_id = tp.doc_id WHERE place_no <= 3)
+SELECT tp.doc_id, round(round(score, 9), 4) AS score, left(text, 60) AS title, {_PUBLISHER.replace('doc_id', 'dd.doc_id')} AS publisher, left(text, 280) AS description, la.av AS availability, CASE WHEN ga.doc_id IS NOT NULL THEN true END AS covers_place,
+(SELECT CASE WHEN {_PLACE_SQL} >= 0.55 THEN CASE WHEN seen = 0 THEN 'weak' ELSE 'strong' END WHEN {_PLACE_SQL} >= 0.4 THEN 'weak' ELSE 'none' END FROM tt) AS confidence
+FROM tp LEFT JOIN documents dd ON dd.doc_id = tp.doc_id LEFT JOIN ga ON ga.doc_id = tp.doc_id LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'dead' WHEN quality = 1 THEN 'data' ELSE 'webpage' END AS av FROM labels) la ON la.doc_id = tp.doc_id""")
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: three arms fused, re-ranked, collapsed, paged and shown (Q-17)."""
-    top = R.page(_collapsed(spark, d), "doc_id", 10)
+    """The flagship: place, three arms fused, re-ranked, collapsed, paged and shown (Q-17), with its confidence (Q-12)."""
+    seen = cut_lineage(_reranked(spark, d))
+    top = R.page(_collapsed(spark, d, seen.select("doc_id", "score")), "doc_id", 10).collect()
+    keys = [r["doc_id"] for r in top]
+    near = lambda df: df.where(F.col("doc_id").isin(keys))
+    out = spark.createDataFrame(top, "doc_id long, score double")
+    # A canonical record that no arm found has no topic and is not in the geo arm.
+    for part in (near(docs(spark, d).select("doc_id", "title", "publisher", "description")), near(availability(spark, d)), near(seen.select("doc_id", "topic", "covers"))):
+        out = out.join(F.broadcast(part), "doc_id", "left")  # of ten rows
     best = t(spark, d, "embeddings").agg(F.max(R.cosine(F.col("embedding"), query_vector(spark, d))).alias("s")).first()["s"]
-    shown = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("source").alias("publisher"), F.substring("text", 1, 280).alias("description"))
-    return top.join(shown, "doc_id", "left").select("doc_id", F.round("score", 4).alias("score"), "title", "publisher", "description", F.lit(R.confidence(best, True, None)).alias("similarity_class"))
+    at = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # of ten rows
+    met = F.coalesce(F.max(F.when(F.col("at") <= 3, F.col("topic"))).over(Window.partitionBy()), F.lit(False))
+    out = out.withColumn("at", at).withColumn("met", met)
+    said = F.when(F.col("met"), R.confidence(best, True, True)).otherwise(R.confidence(best, True, False))
+    return out.select("doc_id", F.round(F.round("score", 9), 4).alias("score"), "title", "publisher", "description", F.col("av").alias("availability"), F.when(F.col("covers"), True).alias("covers_place"), said.alias("confidence"))
