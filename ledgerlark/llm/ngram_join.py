@@ -9,11 +9,14 @@ numpy and leaves as partial overlap counts, which are summed by pair.  A pair
 goes when the sizes or the count so far show that it cannot reach the bound,
 and the rest is settled on whole sets.
 
-Columns with more than ``hot_df`` rows come last in the order and are not
-multiplied at once: each is first compared with one central row only (a star,
-linear in the column), and after the classes so linked are merged, only pairs
-across components are left, made in salted blocks.  No group is ever gathered
-in one task and no pair is dropped that could link.
+Columns with more than ``hot_df`` rows come last in the order, the commonest at
+the very end, and are not multiplied at once: each is first compared with one
+central row only (a star, linear in the column), and after the classes so linked
+are merged, only pairs across components are left.  Of such a pair the shorter
+row must have 6/7 of its columns hot, so rows meet by classes of length: pages
+that share a frame but not enough to link never meet.  What does meet is made in
+salted blocks.  No group is ever gathered in one task and no pair is dropped that
+could link.
 
 Cases: a null or empty text has an empty set and links with nothing; a null
 doc_id keeps its row with a null component; repeated rows are equal sets and
@@ -28,21 +31,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
 from ledgerlark.llm.scratch import Scratch, blocks_for, text_bytes
+from ledgerlark.llm.skew import join_uneven
 from ledgerlark.llm.wordhash import mix, shingle_sets, slices, tidy
 
 #: A shingle in more documents than this is hot.
 HOT_DF = 128
-#: Hot shingles up to this number are sent to the tasks; beyond it they are joined to the documents.
+#: Hot shingles up to this number (16 bytes each) are sent to the tasks; beyond it they are joined to the documents.
 HOT_SENT = 1_000_000
 #: Text bytes whose shingles make up a block.
 BLOCK_TEXT = 16 << 20
 #: Rows of a salted block of a hot column.
 HOT_BLOCK = 1024
+#: Ratio of the lengths in one class of a hot column's rows.
+LENGTH_CLASS = 1.05
 _LEAST_BLOCKS = 256
 _KEY_BITS = 40
 _SET_BYTES = 6
@@ -105,19 +111,20 @@ def _count_blobs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 def _hot_keys(key: tuple, table: pa.Table, hot_df: int) -> pa.Table:
     keys = np.sort(np.concatenate([_from_planes(x.as_py(), _KEY_BITS // 8) for x in table.column("blob")]))
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    hot = keys[edge[:-1]][np.diff(edge) > hot_df].astype(np.int64) | (key[0].as_py() << _KEY_BITS)
-    return pa.table({"key": pa.array(hot, pa.int64())})
+    df = np.diff(edge)
+    hot = keys[edge[:-1]][df > hot_df].astype(np.int64) | (key[0].as_py() << _KEY_BITS)
+    return pa.table({"key": pa.array(hot, pa.int64()), "df": pa.array(df[df > hot_df], pa.int64())})
 
 
 def hot_shingles(documents: DataFrame, blocks: int, hot_df: int) -> DataFrame:
-    """Keys of the shingles that more than ``hot_df`` documents hold, counted exactly over all documents."""
+    """Keys of the shingles that more than ``hot_df`` documents hold, and how many do, counted exactly over all documents."""
     bits = _block_bits(blocks)
     blobs = documents.select("text").mapInArrow(partial(_count_blobs, bits=bits), "block int, blob binary")
 
     def block(key, table):  # noqa: ANN001, ANN202
         return _hot_keys(key, table, hot_df)
 
-    return blobs.groupBy("block").applyInArrow(block, "key long")
+    return blobs.groupBy("block").applyInArrow(block, "key long, df long")
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -125,28 +132,41 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
         return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int((mix(s ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def _listed(own: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """The hot shingles of one document and their counts, by shingle."""
+    if not own.is_valid or not len(own.values):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, df = (own.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    order = np.argsort(key.astype(np.uint64))
+    return key.astype(np.uint64)[order], df[order]
+
+
 @tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], bits: int, hot: object) -> Iterator[pa.RecordBatch]:
     """Of each document its set size, a 128-bit set signature and the columns of its prefix, cold and hot."""
     known = hot.value if hot is not None else None
     for batch in batches:
         for part in slices(batch):
-            own = part.column("hot").to_pylist() if known is None else [None] * part.num_rows
+            own = part.column("hot") if known is None else None
             n, s1, s2, cold, warm = [], [], [], [], []
-            for s, mine in zip(shingle_sets(part.column("text")), own):
-                listed = known if mine is None and known is not None else np.sort(np.array(mine or [], dtype=np.uint64))
+            for i, s in enumerate(shingle_sets(part.column("text"))):
+                listed, common = known if own is None else _listed(own[i])
                 take = len(s) // 4 + 1 if len(s) else 0
                 key = _key(s, bits)
                 is_hot = np.zeros(len(s), bool)
                 if len(listed):
-                    is_hot = listed[np.minimum(np.searchsorted(listed, key), len(listed) - 1)] == key
+                    at = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
+                    is_hot = listed[at] == key
                 first = s[~is_hot][:take]
+                last = s[is_hot]
+                if len(first) < take:
+                    last = last[np.argsort(common[at[is_hot]], kind="stable")]
                 a, b = _signature(s)
                 n.append(len(s))
                 s1.append(a)
                 s2.append(b)
                 cold.append(first.tobytes())
-                warm.append(s[is_hot][: take - len(first)].tobytes())
+                warm.append(last[: take - len(first)].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(cold, pa.binary()), pa.array(warm, pa.binary())],
                 names=["doc_id", "n", "s1", "s2", "cold", "warm"],
@@ -264,17 +284,18 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
 
     hot = scratch.save(hot_shingles(docs, blocks, hot_df), "hot")
     if hot.count() <= hot_sent:
-        sent = spark.sparkContext.broadcast(np.sort(hot.toPandas()["key"].to_numpy().astype(np.uint64)))
+        few = hot.toPandas().sort_values("key")
+        sent = spark.sparkContext.broadcast((few["key"].to_numpy().astype(np.uint64), few["df"].to_numpy()))
         source = docs
     else:
         sent = None
-        rows = docs.mapInArrow(partial(_doc_keys, bits=bits), "doc_id long, key long").join(hot, "key")
-        source = docs.join(rows.groupBy("doc_id").agg(F.collect_set("key").alias("hot")), "doc_id", "left")
+        rows = join_uneven(docs.mapInArrow(partial(_doc_keys, bits=bits), "doc_id long, key long"), hot, ["key"], "df")
+        source = docs.join(rows.groupBy("doc_id").agg(F.collect_set(F.struct("key", "df")).alias("hot")), "doc_id", "left")
     schema = "doc_id long, n long, s1 long, s2 long, cold binary, warm binary"
     prefix = scratch.save(source.mapInArrow(partial(_prefixes, bits=bits, hot=sent), schema), "prefix")
     known = prefix.where("n > 0 and doc_id is not null")
 
-    classes = scratch.save(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.save(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
     rep = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     rows = known.join(rep, ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     rows = scratch.save(rows.select("doc_id", "n", "cold", "warm", F.expr("octet_length(cold) div 8").alias("k")), "rows")
@@ -288,10 +309,11 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
 
     # Of hot columns first a star around the row with the fewest cold columns.
     warm = scratch.save(rows.where("octet_length(warm) > 0").select("doc_id", "n", "k", "warm").mapInArrow(_hot_rows, "h long, rep long, n long, k long"), "warm")
-    pivot = scratch.save(warm.groupBy("h").agg(F.min(F.struct("k", "rep", "n")).alias("p")).select("h", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.k").alias("pk")), "pivot")
+    pivot = warm.groupBy("h").agg(F.min(F.struct("k", "rep", "n")).alias("p"), F.count(F.lit(1)).alias("m"))
+    pivot = scratch.save(pivot.select("h", "m", F.col("p.rep").alias("prep"), F.col("p.n").alias("pn"), F.col("p.k").alias("pk")), "pivot")
     # A row with hot prefix columns has all its cold ones there, so a pair that shares a cold one is among the pairs;
     # any other shares hot columns only, n - k at most.
-    star = warm.join(pivot, "h").where("rep <> prep and 7 * least(n - k, pn - pk) >= 3 * (n + pn)").select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b"))
+    star = join_uneven(warm, pivot, ["h"], "m").where("rep <> prep and 7 * least(n - k, pn - pk) >= 3 * (n + pn)").select(F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b"))
 
     # The most alike partner of each row, then what is left across components.
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b")).unionByName(pairs.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b"))
@@ -308,9 +330,9 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
     merged = scratch.save(links2.unionByName(label.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")), "links2")
     final = scratch.save(connected_components(merged, scratch, "cc2"), "final")
 
-    named = scratch.save(classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    named = scratch.save(classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", "m", "rep", F.coalesce("component", "rep").alias("component")), "named")
     scratch.keep("prefix", "named")
-    held = prefix.where("n > 0").select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
+    held = join_uneven(prefix.where("n > 0").select("doc_id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "m", "left")
     held = held.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("class_id"))
     bare = prefix.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return held.unionByName(bare)
@@ -320,9 +342,12 @@ def jaccard_components(documents: DataFrame, hot_df: int = HOT_DF, hot_sent: int
 def _doc_keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            for i, s in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"))):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), pa.int64()), pa.array(_key(s, bits).astype(np.int64), pa.int64())], names=["doc_id", "key"])
+            sets = shingle_sets(part.column("text"))
+            if n := sum(map(len, sets)):
+                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+                keys = _key(np.concatenate(sets), bits).astype(np.int64)
+                for lo in range(0, n, 100_000):
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, 100_000), pa.array(keys[lo : lo + 100_000])], names=["doc_id", "key"])
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -346,20 +371,37 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 def _hot_across(warm: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs across components in hot columns.
 
-    Only rows outside a column's largest component need a partner: these strays
-    meet all rows of the column, in salted blocks of both, so that no column
-    meets in one task and the largest component is not compared with itself.
+    Of two rows that link by hot columns only, the shorter has at least 6/7 of
+    its columns hot and at least 3/4 of the longer one's length; how many the
+    longer has hot bounds it from above.  So the shorter stands in the class of
+    its length and the longer in every class that its bounds allow.  In a class
+    only rows outside the largest component (strays) need partners there.
     """
     own = warm.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", "n", "k", F.coalesce("component", "rep").alias("comp"))
-    own = scratch.save(own, "warm-own")
-    size = own.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = size.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = mixed.select("h", F.col("most.comp").alias("main"), F.expr(f"cast(ceil(m / {HOT_BLOCK}) as int)").alias("nb"), F.expr(f"cast(ceil((m - most.m) / {HOT_BLOCK}) as int)").alias("ns"))
+    length = lambda v: F.floor(F.log(v.cast("double")) / F.log(F.lit(LENGTH_CLASS))).cast("int")
+    longest = F.least("n", F.floor(7 * (F.col("n") - F.col("k")) / 3).cast("long") - F.col("n"))
+    least = F.ceil(3 * F.col("n") / 4).cast("long")
+    short = own.where("7 * (n - k) >= 6 * n").select("*", length(F.col("n")).alias("c"), F.lit(False).alias("home"))
+    long = own.where(longest >= least).select("*", F.explode(F.sequence(length(least), length(longest))).alias("c"), F.lit(True).alias("home"))
+    cells = scratch.save(short.unionByName(long), "warm-own")
+    size = cells.groupBy("h", "c", "comp").agg(F.count_if("home").alias("x"), F.count_if(~F.col("home")).alias("y"))
+    most = F.max(F.struct((F.col("x") + F.col("y")).alias("z"), "x", "y", "comp"))
+    mixed = size.groupBy("h", "c").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), most.alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1 and x > 0 and y > 0")
+    blocks = lambda n: F.greatest(F.ceil(n / HOT_BLOCK), F.lit(1)).cast("int")
+    # Stray long rows meet all short ones (round 0); long rows of the largest component meet stray short ones (round 1).
+    mixed = mixed.select("h", "c", F.col("main.comp").alias("main"), (F.col("x") + F.col("y")).alias("m"), blocks(F.col("x") - F.col("main.x")).alias("x0"), blocks(F.col("y")).alias("y0"), blocks(F.col("main.x")).alias("x1"), blocks(F.col("y") - F.col("main.y")).alias("y1"))
     mixed = scratch.save(mixed, "warm-mixed")
-    x = own.join(mixed, "h")
-    home = x.select("h", F.expr("cast(pmod(xxhash64(rep), nb) as int)").alias("i"), F.explode(F.expr("sequence(0, ns - 1)")).alias("j"), F.lit(True).alias("home"), "rep", "n", "k", "comp")
-    away = x.where("comp <> main").select("h", F.explode(F.expr("sequence(0, nb - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(rep), ns) as int)").alias("j"), F.lit(False).alias("home"), "rep", "n", "k", "comp")
-    return home.unionByName(away).groupBy("h", "i", "j").applyInArrow(_cross, "a long, b long").distinct()
+    rows = join_uneven(cells, mixed, ["h", "c"], "m").withColumn("stray", F.col("comp") != F.col("main"))
+
+    def side(home: bool, turn: int, where: Column) -> DataFrame:
+        mine, other = (f"x{turn}", f"y{turn}") if home else (f"y{turn}", f"x{turn}")
+        at, met = ("i", "j") if home else ("j", "i")
+        kept = rows.where((F.col("home") == home) & where)
+        dealt = kept.withColumn(at, F.expr(f"cast(pmod(xxhash64(rep), {mine}) as int)")).withColumn(met, F.explode(F.expr(f"sequence(0, {other} - 1)")))
+        return dealt.select("h", "c", F.lit(turn).alias("turn"), "i", "j", "home", "rep", "n", "k", "comp")
+
+    every = side(True, 0, F.col("stray")).unionByName(side(False, 0, F.lit(True))).unionByName(side(True, 1, ~F.col("stray"))).unionByName(side(False, 1, F.col("stray")))
+    return every.groupBy("h", "c", "turn", "i", "j").applyInArrow(_cross, "a long, b long").distinct()
 
 
 def _cross(table: pa.Table) -> pa.Table:

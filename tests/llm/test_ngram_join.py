@@ -61,6 +61,31 @@ def test_equals_brute_force(spark, seed, hot_df, hot_sent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_pages_of_shared_frames_equal_brute_force(spark, seed):
+    """Frames of one to three passages and own words: 60 to 100 % of a page is shared, some of it by all."""
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    common, frames = words(30), [words(r.randint(20, 60)) for _ in range(6)]
+    rows = [(i, " ".join((common if r.random() < 0.7 else []) + r.choice(frames) + words(r.choice([0, 0, 1, 2, 5, 8, 12, 20])))) for i in range(400)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), hot_df=3)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == brute(rows)
+
+
+def test_pages_that_share_a_frame_but_do_not_link_never_meet(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerlark.llm.scratch import Scratch
+
+    # 4,000 rows of one hot column, 80 % of each hot: no two can link
+    warm = spark.range(4_000).select(F.lit(1).cast("long").alias("h"), F.col("id").alias("rep"), (F.lit(100) + F.col("id") % 20).alias("n"), F.ceil((F.lit(100) + F.col("id") % 20) / 5).alias("k"))
+    label = spark.createDataFrame([], "node long, component long")
+    scratch = Scratch(spark, "test")
+    assert ngram_join._hot_across(warm, label, scratch).count() == 0
+    cells = spark.read.parquet(f"{scratch.root}/warm-mixed")
+    assert cells.count() == 0
+
+
 def test_word_hashes_part_as_words_do():
     texts = ["a bb  ccc", "", None, "x" * 1000 + " y", "Ab\tAB é É", " lead", "trail "]
     body, at = wordhash.buffers(pa.array(texts))
