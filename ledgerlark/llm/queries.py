@@ -14,7 +14,7 @@ from ledgerlark.llm.packing import pack
 from ledgerlark.llm.pii import find_personal_data
 from ledgerlark.llm.quality import score_quality
 from ledgerlark.llm.rp_forest import near_duplicates
-from ledgerlark.llm.url_rules import HOST_RULES, HOST_WORDS, PATH_WORDS, judge_urls
+from ledgerlark.llm.url_rules import HOST_RULES, RULES, judge_urls
 from ledgerlark.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_url_rules"] = op6
+_fits = lambda verdict: "(" + " OR ".join(f"regexp_matches(v.host || v.path, '{r.pattern}')" for r in RULES if not r.rank and r.verdict == verdict) + ")"
 _RULE_ROWS = ", ".join(f"('{v}', '{n}', '{n[: n.index('/')]}', '{n[n.index('/') :]}')" for v, n in HOST_RULES)
 ORACLE["op6_url_rules"] = f"""
 WITH r(verdict, rule, h, p) AS (VALUES {_RULE_ROWS}),
@@ -113,8 +114,7 @@ v AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS hos
 f AS (SELECT v.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
   FROM v JOIN r ON (v.host = r.h OR v.host LIKE '%.' || r.h) AND starts_with(v.path, r.p) GROUP BY 1)
 SELECT v.page_id, coalesce(v.host, '') AS host, coalesce(v.path, '') AS path, f.rule, coalesce(f.verdict,
-  CASE WHEN regexp_matches(v.host || v.path, '^([^/]*[.-])?({"|".join(HOST_WORDS)})([.-][^/]*)?(/|$)')
-    OR regexp_matches(v.host || v.path, '^[^/]*/([^?#]*/)?({"|".join(PATH_WORDS)})(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN {_fits("allow")} THEN 'allow' WHEN {_fits("block")} THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN f ON f.page_id = v.page_id
 """
 

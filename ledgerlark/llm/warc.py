@@ -1,10 +1,17 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
-Archives are byte strings of gzip members, one record each.  The reader also
-takes plain records.  It checks each record (member, version line, headers,
-length, closing blank lines, block digest); after a failed check it searches
-for the next gzip magic or version line from which a whole valid record can be
-read, goes on there, and logs the bytes in between as a quarantined gap.
+Archives are files of gzip members, one record each, with an empty member after
+every few megabytes.  The reader also takes members of several records and plain
+records.  It checks each record (member, version line, headers, length, closing
+blank lines, block digest); after a failed check it searches for the next gzip
+magic or version line from which a whole valid record can be read, goes on
+there, and logs the bytes in between as a quarantined gap.  Inside a member it
+searches in the same way for the next version line, and of a damaged member it
+keeps the records whose block digest holds.
+
+Files are written by Spark's text sink (bytes as they are, the empty member as
+the line separator), so writing has its retries and commits, and read by its
+binaryFile source, on any file system of the cluster.
 
 Of pages with equal payloads the one with the largest page_id is the response
 and the others are revisits of it, with the HTTP head only.
@@ -12,28 +19,38 @@ and the others are revisits of it, with the HTTP head only.
 Cases: a null html is an empty payload; a null url an empty target; a null
 page_id is written and read as such and revisits any other with its payload;
 rows that repeat the largest page_id of a payload are all responses; other
-columns are ignored; an archive without a valid record is one gap.
+columns are ignored; an archive without a valid record is one gap; an empty
+table writes no archive.  An archive of the writer has 64 MB and a record more at
+most; the reader holds one archive at a time, of 2 GB at most (binaryFile's
+bound), and records of up to ``MOST_RECORD`` bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import Scratch
+from ledgerlark.llm.skew import join_uneven
 from ledgerlark.llm.wordhash import tidy
 
-#: Bytes after which a writer starts another archive.
-ARCHIVE_BYTES = 4 << 20
+#: Bytes of members that are written as one piece, and pieces in an archive.
+PIECE_BYTES, PIECES = 4 << 20, 16
+#: Bytes that a decompressed member may have; a longer one is a gap.
+MOST_RECORD = 1 << 30
+#: A gzip member of nothing, in Latin-1.
+EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush().decode("latin-1")
 _STEP = 1 << 16
+log = logging.getLogger(__name__)
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,18 +127,46 @@ def _plain(data: bytes | memoryview, at: int) -> tuple[int, dict[str, str], byte
     return start + len(block) + 4, headers, block
 
 
-def _member(view: memoryview, at: int) -> tuple[int, bytes]:
-    z, out, pos = zlib.decompressobj(31), [], at
+def _member(view: memoryview, at: int) -> tuple[int | None, bytes, str]:
+    """Where the member ends (None if it is damaged), what it holds, and the check that failed."""
+    z, out, size, pos = zlib.decompressobj(31), [], 0, at
     while not z.eof:
         if pos >= len(view):
-            raise ValueError("member cut short")
+            return None, b"".join(out), "member cut short"
         chunk = view[pos : pos + _STEP]
         try:
-            out.append(z.decompress(chunk))
+            out.append(z.decompress(chunk, MOST_RECORD + 1 - size))
         except zlib.error:
-            raise ValueError("member") from None
+            return None, b"".join(out), "member"
+        size += len(out[-1])
+        if size > MOST_RECORD:
+            return None, b"", "member too long"
         pos += len(chunk)
-    return pos - len(z.unused_data), b"".join(out)
+    return pos - len(z.unused_data), b"".join(out), ""
+
+
+def _inside(data: bytes, digest_needed: bool) -> tuple[list[tuple[int, dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The records of a member's bytes and the gaps between them."""
+    records, gaps, at, bad_from, why = [], [], 0, None, ""
+    while at < len(data):
+        try:
+            end, headers, block = _plain(data, at)
+            if digest_needed and "warc-block-digest" not in headers:
+                raise ValueError("no digest in a damaged member")
+        except ValueError as e:
+            if bad_from is None:
+                bad_from, why = at, str(e)
+            nxt = _VERSION.search(data, at + 1)
+            at = nxt.start() if nxt else len(data)
+            continue
+        if bad_from is not None:
+            gaps.append((bad_from, at, why))
+            bad_from = None
+        records.append((at, headers, block))
+        at = end
+    if bad_from is not None:
+        gaps.append((bad_from, len(data), why))
+    return records, gaps
 
 
 def salvage(data: bytes) -> Salvaged:
@@ -129,28 +174,30 @@ def salvage(data: bytes) -> Salvaged:
     view, found = memoryview(data), Salvaged()
     at, bad_from, why = 0, None, ""
     while at < len(data):
-        try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                end, inner = _member(view, at)
-                stop, own = 0, []
-                while stop < len(inner):
-                    stop, headers, block = _plain(inner, stop)
-                    own.append((at, end, headers, block))
-                if not own:
-                    raise ValueError("empty member")
-            else:
+        own, inner, failed, end = [], [], "", None
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            end, held, failed = _member(view, at)
+            own, inner = _inside(held, end is None)
+            own = [(at, end, headers, block) for _, headers, block in own]
+        else:
+            try:
                 end, headers, block = _plain(view, at)
                 own = [(at, end, headers, block)]
-        except ValueError as e:
+            except ValueError as e:
+                failed = str(e)
+        if end is None:
             if bad_from is None:
-                bad_from, why = at, str(e)
+                bad_from, why = at, failed
             nxt = _START.search(data, at + 1)
-            at = nxt.start() if nxt else len(data)
+            step = nxt.start() if nxt else len(data)
+            found.records += [(a, step, headers, block) for a, _, headers, block in own]
+            at = step
             continue
         if bad_from is not None:
             found.gaps.append((bad_from, at, why))
             bad_from = None
         found.records += own
+        found.gaps += [(at, end, f"{reason} at {a}-{b} of the member") for a, b, reason in inner]
         at = end
     if bad_from is not None:
         found.gaps.append((bad_from, len(data), why))
@@ -161,36 +208,48 @@ def with_revisits(pages: DataFrame, scratch: Scratch, at_least: int = 0) -> Data
     """page_id, url, html, revisit, refers_to: which pages are written as revisits, and of which."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = pages.withColumn("k", F.sha2(F.encode("html", "utf-8"), 256)).withColumn("size", F.octet_length("html"))
-    same = keyed.where(F.col("size") >= at_least).groupBy("k", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").drop("n")
+    same = keyed.where(F.col("size") >= at_least).groupBy("k", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null")
     same = scratch.save(same, "same")
-    out = keyed.join(same, ["k", "size"], "left")
+    out = join_uneven(keyed, same, ["k", "size"], "n", "left")
     revisit = F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("page_id"))
     return out.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
 @tidy
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+    held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{n:05d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["path", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
     for batch in batches:
         for page_id, url, html, revisit, target in zip(*(batch.column(c) for c in ("page_id", "url", "html", "revisit", "refers_to"))):
             held.append(member(record(page_id.as_py(), url.as_py(), html.as_py().encode(), target.as_py(), revisit.as_py())))
             size += len(held[-1])
-            if size >= ARCHIVE_BYTES:
+            if size >= PIECE_BYTES:
                 yield flush()
-                held, size, n = [], 0, n + 1
+                held, size = [], 0
     if held:
         yield flush()
 
 
-def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """A written table of archives: path, content."""
-    return scratch.save(with_revisits(pages, scratch).mapInArrow(_write, "path string, content binary"), "archives")
+def write_archives(pages: DataFrame, folder: str, scratch: Scratch) -> None:
+    """Writes the pages as ``.warc.gz`` files into a new folder."""
+    pieces = with_revisits(pages, scratch).mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value"))
+    pieces.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).option("maxRecordsPerFile", PIECES).text(folder)
+    # The sink has names of its own; this changes those of finished files.
+    spark = pages.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.endswith(".txt") and not fs.rename(status.getPath(), path(f"{folder}/{name.removesuffix('.txt')}.warc.gz")):
+            raise OSError(f"{name} could not be renamed")
+
+
+def archives_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives as (path, content)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
 
 
 @tidy
@@ -229,6 +288,16 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Gaps are no pages: they are kept in a table of their own, whose place is logged.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, scratch)).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = f"{scratch.root}/archives"
+    write_archives(pages, folder, scratch)
+    found = scratch.save(read_archives(archives_of(pages.sparkSession, folder)).drop("payload"), "found")
+    gaps = found.where("record_type = 'gap'")
+    if lost := gaps.count():
+        log.warning("%d byte ranges are quarantined: record_type = 'gap' in %s/found", lost, scratch.root)
+    scratch.keep("found")
+    return found.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -136,7 +136,8 @@ def test_salvage_recovers_all_but_what_is_damaged():
         assert [h["warc-record-id"] for _, _, h, _ in got.records] == [f"<urn:x-page:{i}>" for i in range(8) if i != 3]
         assert got.gaps[0][:2] == (len(b"".join(parts[:3])), len(b"".join(parts[:4])))
         cut = warc.salvage(b"junk" + b"".join(parts)[:-5])
-        assert len(cut.records) == 7 and len(cut.gaps) == 2 and cut.gaps[0][:2] == (0, 4)
+        # of a member only the checksum is cut: the record is whole by its own digest
+        assert len(cut.records) == (8 if pack is warc.member else 7) and len(cut.gaps) == 2 and cut.gaps[0][:2] == (0, 4)
     assert warc.salvage(b"").records == [] and warc.salvage(b"nothing").gaps == [(0, 7, "version line")]
     assert len(warc.salvage(gzip.compress(records[1]) + records[2]).records) == 2
 
@@ -160,9 +161,9 @@ def test_rules_by_index_equal_all_rules_in_turn():
     for _ in range(5000):
         url = r.choice(["http://", "://", "", "x"]) + r.choice(hosts) + r.choice(["", "/", "/es/", "/es", "/en/1", "/en/12?x=/fr/", "/fr/a", "/de/#q", "?q", "/a/casino/b"])
         host, path = url_rules.split_url(url)
-        fit = [x for x in url_rules.RULES if re.search(x.pattern, host + path)]
+        fit = [x for x in url_rules.RULES if host + path and re.search(x.pattern, host + path)]
         named = max((x for x in fit if x.rank), key=lambda x: x.rank, default=None)
-        verdict = named.verdict if named else "block" if fit else "allow"
+        verdict = named.verdict if named else "allow" if any(x.verdict == "allow" for x in fit) else "block" if fit else "allow"
         assert index.judge(url) == (host, path, named.name if named else None, verdict)
     assert index.judge(None) == ("", "", None, "allow")
 
