@@ -41,15 +41,27 @@ def mergeable(a: str, b: str, label: str = "source_label") -> Column:
     return F.when(na == nb, ~shelf).otherwise(one_aggregates & (mirrored | agree))
 
 
+def first_uuid(*columns: Column) -> Column:
+    """X-4: the first UUID in the columns, in lower case; null without any."""
+    found = [F.regexp_extract(F.lower(F.coalesce(c.cast("string"), F.lit(""))), "[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", 0) for c in columns]
+    return F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
+
+
 def cluster_titles(records: DataFrame) -> DataFrame:
     """X-3: key, cluster (its first key) by greedy agreement with every member.
 
     ``records``: key, title, source_id, publisher, source_label.  The order is
-    platform labels last, then key.  Pairs of a title that may merge are found
-    by a join; only titles with such pairs reach the grouped step.
+    platform labels last, then key.  Records that have all but the key in
+    common agree with the same others, and with each other unless the publisher
+    is the source's own label; so all but those go by their first key.  Pairs
+    of these that may merge are found by a join; only titles with such pairs
+    reach the grouped step, which so holds a row for each pair of publishers.
     """
-    r = records.select("key", name_key(F.col("title")).alias("block"), "source_id", "publisher", "source_label", (F.size(platform(F.col("publisher"))) > 0).alias("labelled"))
-    pairs = r.alias("a").join(r.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.key") < F.col("b.key"))).where(mergeable("a", "b"))
+    r = records.select("key", name_key(F.col("title")).alias("block"), "source_id", "publisher", "source_label")
+    shelf = F.coalesce(name_key(F.col("publisher")) == F.coalesce("source_label", F.lit("")), F.lit(False))
+    r = r.withColumn("kind", F.md5(F.to_json(F.struct("block", "source_id", "publisher", "source_label", F.when(shelf, F.col("key")).alias("own"))).cast("binary")))
+    first = r.groupBy("kind", "block", "source_id", "publisher", "source_label").agg(F.min("key").alias("key")).withColumn("labelled", F.size(platform(F.col("publisher"))) > 0)
+    pairs = first.alias("a").join(first.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.key") < F.col("b.key"))).where(mergeable("a", "b"))
     pairs = pairs.select(F.col("a.block").alias("block"), F.col("a.key").alias("x"), F.col("b.key").alias("y"), F.col("a.labelled").alias("lx"), F.col("b.labelled").alias("ly"))
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
@@ -70,7 +82,8 @@ def cluster_titles(records: DataFrame) -> DataFrame:
 
     key_type = dict(records.dtypes)["key"]
     placed = pairs.groupBy("block").applyInPandas(greedy, f"key {key_type}, cluster {key_type}")
-    return r.select("key").join(placed, "key", "left").select("key", F.coalesce("cluster", "key").alias("cluster"))
+    by_kind = first.select("kind", "key").join(placed, "key", "left").select("kind", F.coalesce("cluster", "key").alias("cluster"))
+    return r.select("key", "kind").join(by_kind, "kind").select("key", "cluster")
 
 
 def elect(records: DataFrame, group: str) -> DataFrame:

@@ -1,24 +1,44 @@
-"""Ranks over whole tables without a task that sees all rows."""
+"""Ranks and quantiles over whole tables without a task that sees all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from math import ceil, floor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.session import cut_lineage
+
+#: Rows that a task ranks.
+RANKED_ROWS = 1_000_000
+
 
-def global_rank(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
-    """Adds the 0-based rank by a numeric column (ties by no order).
+def global_rank(df: DataFrame, order: str, name: str, rows: int = RANKED_ROWS) -> DataFrame:
+    """Adds the 0-based rank by a column, nulls first (ties by no order).
 
-    Rows fall into buckets of the column's range; a row's rank is the number
-    of rows in lower buckets plus its place in its own.  Quantiles make the
-    buckets, so that values of any spread share them evenly.
+    Rows are dealt into ranges of the column that hold about ``rows`` each; a
+    repeated value is parted by a row number of no meaning.  A row's rank is
+    the number of rows in lower ranges plus its place in its own.
     """
-    cuts = df.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    keyed = df.withColumn("rank_bucket", bucket)
-    sizes = keyed.groupBy("rank_bucket").agg(F.count(F.lit(1)).alias("rank_n"))  # at most ``buckets`` rows
-    before = Window.orderBy("rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("rank_bucket", F.coalesce(F.sum("rank_n").over(before), F.lit(0)).alias("rank_base"))
-    own = F.row_number().over(Window.partitionBy("rank_bucket").orderBy(order)) - 1
-    return keyed.withColumn("rank_own", own).join(F.broadcast(base), "rank_bucket").withColumn(name, F.col("rank_base") + F.col("rank_own")).drop("rank_bucket", "rank_own", "rank_base")
+    parts = max(1, ceil(df.count() / rows))
+    keyed = df.withColumn("rank_row", F.monotonically_increasing_id())
+    # Written once: ranges come from a sample and would differ when made again.
+    keyed = cut_lineage(keyed.repartitionByRange(parts, order, "rank_row").withColumn("rank_part", F.spark_partition_id()))
+    sizes = keyed.groupBy("rank_part").agg(F.count(F.lit(1)).alias("rank_n"))  # ``parts`` rows
+    before = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("rank_part", F.coalesce(F.sum("rank_n").over(before), F.lit(0)).alias("rank_base"))
+    own = F.row_number().over(Window.partitionBy("rank_part").orderBy(order, "rank_row")) - 1
+    return keyed.withColumn("rank_own", own).join(base, "rank_part").withColumn(name, F.col("rank_base") + F.col("rank_own")).drop("rank_part", "rank_own", "rank_base", "rank_row")
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Exact quantiles with linear interpolation, nulls left out; empty for a table without values."""
+    ranked = cut_lineage(global_rank(df.where(F.col(value).isNotNull()).select(value), value, "quantile_rank"))
+    n = ranked.count()
+    if not n:
+        return []
+    at = [s * (n - 1) for s in shares]
+    wanted = sorted({f(a) for a in at for f in (floor, ceil)})
+    got = {r["quantile_rank"]: float(r[value]) for r in ranked.where(F.col("quantile_rank").isin(wanted)).collect()}  # two for each share
+    return [got[floor(a)] + (got[ceil(a)] - got[floor(a)]) * (a - floor(a)) for a in at]

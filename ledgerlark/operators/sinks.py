@@ -12,13 +12,26 @@ from ledgerlark.operators.state import add_counts, upsert
 
 
 def rebuild(df: DataFrame, path: str) -> None:
-    """K-6, K-7: writes beside the table and moves into place, so readers never see half of it."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    """K-6, K-7: writes beside the table, moves the old one aside and the new one into its place.
+
+    Readers see the old table, for a moment none, then the new one, never half
+    of one.  If the last move fails the old one is put back; it is deleted only
+    when the new one stands.
+    """
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    beside, aside = (f"{path.rstrip('/')}.{kind}-{tag}" for kind in ("new", "old"))
     df.write.parquet(beside)
-    fs, new, old = _paths(spark, beside, path)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs, new, live = _paths(spark, beside, path)
+    _, old, _ = _paths(spark, aside, path)
+    held = fs.exists(live)
+    if held and not fs.rename(live, old):
+        raise OSError(f"{path} could not be moved to {aside}")
+    if not fs.rename(new, live):
+        if held:
+            fs.rename(old, live)
+        raise OSError(f"{beside} could not be moved to {path}")
+    if held:
+        fs.delete(old, True)
 
 
 def _paths(spark: SparkSession, a: str, b: str):  # noqa: ANN202

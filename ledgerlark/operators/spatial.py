@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,35 +92,90 @@ def _without(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def points_in_polygons(points: DataFrame, point_id: str, polygons: DataFrame, code: str, cell: float) -> DataFrame:
     """J-20: point_id, code for each point (x, y) inside a polygon (rings of [x, y]) by the even-odd rule.
 
-    Polygons stand in the cells of their boxes; a point meets the polygons of
-    its cell, then their boxes, then their rings (in numpy, for what is left).
+    Polygons stand in the cells of their boxes, without their rings; a point
+    meets the polygons of its cell, then their boxes.  What is left is grouped
+    by polygon, in parts, and each part meets the rings once, in numpy.
     """
+    near = _near_boxes(points, point_id, polygons, code, cell, 0.0)
+    return _by_polygon(near, point_id, polygons, code, lambda xy, rings: np.where(even_odd(xy, rings), 0.0, np.nan)).select(point_id, code)
+
+
+def polygon_distances(points: DataFrame, point_id: str, polygons: DataFrame, code: str, cell: float, radius: float, boundary: bool = False) -> DataFrame:
+    """J-22, J-25, A-38: point_id, code, distance of the polygons at most ``radius`` from each point; 0 inside.
+
+    With ``boundary`` the distance is that to the rings, inside too.
+    """
+    near = _near_boxes(points, point_id, polygons, code, cell, radius)
+
+    def measure(xy: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+        far = ring_distance(xy, rings)
+        if not boundary:
+            far[even_odd(xy, rings)] = 0.0
+        return np.where(far <= radius, far, np.nan)
+
+    return _by_polygon(near, point_id, polygons, code, measure)
+
+
+def _near_boxes(points: DataFrame, point_id: str, polygons: DataFrame, code: str, cell: float, margin: float) -> DataFrame:
+    """point_id, code, x, y of points inside the polygons' boxes with a margin."""
     flat = F.flatten(F.col("rings"))
     xs, ys = F.transform(flat, lambda p: p[0]), F.transform(flat, lambda p: p[1])
-    box = polygons.select(code, "rings", F.array_min(xs).alias("w"), F.array_max(xs).alias("e"), F.array_min(ys).alias("s"), F.array_max(ys).alias("n"))
+    box = polygons.select(code, (F.array_min(xs) - margin).alias("w"), (F.array_max(xs) + margin).alias("e"), (F.array_min(ys) - margin).alias("s"), (F.array_max(ys) + margin).alias("n"))
     span = lambda lo, hi: F.sequence(_cell(F.col(lo), cell), _cell(F.col(hi), cell))
-    cells = box.select(code, "w", "e", "s", "n", F.explode(span("w", "e")).alias("cx"), "rings").select(code, "w", "e", "s", "n", "rings", "cx", F.explode(span("s", "n")).alias("cy"))
+    cells = box.select("*", F.explode(span("w", "e")).alias("cx")).select("*", F.explode(span("s", "n")).alias("cy"))
     p = points.select(point_id, "x", "y", _cell(F.col("x"), cell).alias("cx"), _cell(F.col("y"), cell).alias("cy"))
-    near = p.join(cells, ["cx", "cy"]).where("x between w and e and y between s and n").select(point_id, code, "x", "y", "rings")
+    return p.join(cells, ["cx", "cy"]).where("x between w and e and y between s and n").select(point_id, code, "x", "y")
+
+
+#: Parts into which a polygon's points are dealt.
+POLYGON_PARTS = 32
+
+
+def _by_polygon(near: DataFrame, point_id: str, polygons: DataFrame, code: str, measure: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """point_id, code, distance where ``measure`` of a polygon's points and rings gives a number."""
     kinds = dict(near.dtypes)
+    near = cut_lineage(near.withColumn("part", F.pmod(F.xxhash64(point_id), F.lit(POLYGON_PARTS)).cast("int")))
+    own = near.select(F.col(code).alias("ring_code"), F.col("part").alias("ring_part")).distinct()
+    rings = own.join(polygons.select(F.col(code).alias("ring_code"), "rings"), "ring_code")
+
+    def test(of: pd.DataFrame, polygon: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for shape in polygon["rings"] if len(of) else ():  # a code may stand for several
+            got = measure(of[["x", "y"]].to_numpy(dtype=float), [np.array([list(v) for v in ring], dtype=float) for ring in shape])
+            hit = ~np.isnan(got)
+            out.append(of.loc[hit, [point_id, code]].assign(distance=got[hit]))
+        return pd.concat(out) if out else pd.DataFrame({point_id: [], code: [], "distance": []})
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            inside = [even_odd(x, y, rings) for x, y, rings in zip(rows["x"], rows["y"], rows["rings"])]
-            yield rows.loc[inside, [point_id, code]]
+    grouped = near.groupBy(code, "part").cogroup(rings.groupBy("ring_code", "ring_part")).applyInPandas(test, f"{point_id} {kinds[point_id]}, {code} {kinds[code]}, distance double")
+    return grouped.groupBy(point_id, code).agg(F.min("distance").alias("distance"))
 
-    return near.mapInPandas(test, f"{point_id} {kinds[point_id]}, {code} {kinds[code]}")
 
+def _chunks(xy: np.ndarray, edges: int) -> Iterator[slice]:
+    step = max(1, (1 << 21) // max(1, edges))
+    return (slice(lo, lo + step) for lo in range(0, len(xy), step))
 
-def even_odd(x: float, y: float, rings: list) -> bool:
-    """Whether a ray from the point crosses the rings an odd number of times."""
-    odd = False
+
+def even_odd(xy: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Whether a ray from each point crosses the rings an odd number of times."""
+    odd = np.zeros(len(xy), bool)
     for ring in rings:
-        q = np.array([list(v) for v in ring], dtype=float)
-        ax, ay = q[:, 0], q[:, 1]
-        bx, by = np.roll(ax, -1), np.roll(ay, -1)
-        cross = (ay > y) != (by > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = ax + (y - ay) * (bx - ax) / (by - ay)
-        odd ^= bool((cross & (x < at)).sum() % 2)
+        (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
+        for own in _chunks(xy, len(ring)):
+            x, y = xy[own, 0, None], xy[own, 1, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = ax + (y - ay) * (bx - ax) / (by - ay)
+            odd[own] ^= (((ay > y) != (by > y)) & (x < at)).sum(axis=1) % 2 == 1
     return odd
+
+
+def ring_distance(xy: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """The distance from each point to the nearest edge of the rings."""
+    best = np.full(len(xy), np.inf)
+    for ring in rings:
+        a, d = ring, np.roll(ring, -1, axis=0) - ring
+        size = (d * d).sum(axis=1)
+        for own in _chunks(xy, len(ring)):
+            v = xy[own, None, :] - a
+            share = np.clip(np.divide((v * d).sum(axis=2), size, out=np.zeros(v.shape[:2]), where=size > 0), 0, 1)
+            best[own] = np.minimum(best[own], np.hypot(*np.moveaxis(v - share[..., None] * d, 2, 0)).min(axis=1))
+    return best

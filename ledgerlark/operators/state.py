@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,3 +34,13 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, mark: str) -
     s = a.unionByName(b).groupBy(key).agg(F.max("mark_a").alias("mark_a"), F.max("mark_b").alias("mark_b"), F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     change = F.when(F.col("in_a") == 0, "new").when(F.col("in_b") == 0, "gone").when(~F.col("mark_a").eqNullSafe(F.col("mark_b")), "changed")
     return s.select(key, change.alias("change")).where("change is not null")
+
+
+def append_missing(wanted: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    """Q-19: appends what ``make`` gives for the wanted rows whose key the table at ``path`` does not hold; a run cut short is taken up by the next.
+
+    Rows without a key are left out; a repeated one is made once.
+    """
+    held = wanted.sparkSession.read.parquet(path)
+    new = wanted.where(F.col(key).isNotNull()).dropDuplicates([key]).join(held.select(key), key, "left_anti")
+    make(new).select(*held.columns).write.mode("append").parquet(path)

@@ -141,18 +141,19 @@ def sum_min_count(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("user_id").agg(s.isNull().alias("none"), F.round(s, 4).alias("total"))
 
 
-@query("scale_outliers", """WITH f AS (SELECT l_suppkey, l_returnflag, l_partkey % 50 AS file, l_extendedprice AS v FROM lineitem),
-m AS (SELECT l_suppkey, file, v AS file_median, n FROM (SELECT l_suppkey, file, v, row_number() OVER (PARTITION BY l_suppkey, file ORDER BY v) rn, count(*) OVER (PARTITION BY l_suppkey, file) n FROM f) WHERE rn = n // 2 + 1 AND n >= 5),
-s AS (SELECT l_suppkey, file_median AS series_median, n FROM (SELECT l_suppkey, file_median, row_number() OVER (PARTITION BY l_suppkey ORDER BY file_median) rn, count(*) OVER (PARTITION BY l_suppkey) n FROM m) WHERE rn = n // 2 + 1 AND n >= 3)
-SELECT m.l_suppkey, m.file, m.file_median, s.series_median FROM m JOIN s ON s.l_suppkey = m.l_suppkey WHERE series_median > 0 AND file_median >= 1.5 * series_median""")
+@query("scale_outliers", """WITH f AS (SELECT l_suppkey, l_partkey % 10 AS file, CASE WHEN l_partkey % 10 = 7 THEN 200 ELSE 1 END * l_extendedprice AS v FROM lineitem),
+m AS (SELECT l_suppkey, file, list_sort(list(v))[count(*) // 2 + 1] AS file_median FROM f GROUP BY 1, 2 HAVING count(*) >= 20),
+s AS (SELECT l_suppkey, list_sort(list(file_median))[count(*) // 2 + 1] AS series_median FROM m GROUP BY 1 HAVING count(*) >= 3)
+SELECT m.l_suppkey, m.file, m.file_median, s.series_median FROM m JOIN s ON s.l_suppkey = m.l_suppkey WHERE series_median > 0 AND file_median >= 100 * series_median""")
 def scale_outliers(spark: SparkSession, d: str) -> DataFrame:
-    """A-17: files whose median is far above their series'."""
+    """A-17: files of twenty rows or more whose median is a hundred times their series', as of sums in the wrong unit."""
     from ledgerlark.operators.statistics import upper_median as median
 
-    f = t(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("file"), F.col("l_extendedprice").alias("v"))
-    m = median(f, ["l_suppkey", "file"], "v", "file_median", least=5)
+    file = F.col("l_partkey") % 10
+    f = t(spark, d, "lineitem").select("l_suppkey", file.alias("file"), (F.when(file == 7, 200).otherwise(1) * F.col("l_extendedprice")).alias("v"))
+    m = median(f, ["l_suppkey", "file"], "v", "file_median", least=20)
     s = median(m, ["l_suppkey"], "file_median", "series_median", least=3)
-    return m.join(s, "l_suppkey").where("series_median > 0 and file_median >= 1.5 * series_median").select("l_suppkey", "file", "file_median", "series_median")
+    return m.join(s, "l_suppkey").where("series_median > 0 and file_median >= 100 * series_median").select("l_suppkey", "file", "file_median", "series_median")
 
 
 @query("reconciliation", """SELECT count(*) AS raw, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_returnflag <> 'R' AND l_discount = 0) AS blank, count(*) FILTER (l_returnflag <> 'R' AND l_discount > 0) AS clean,

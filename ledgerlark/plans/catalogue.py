@@ -54,27 +54,27 @@ def county_of_district(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").groupBy(F.substring((F.col("c_custkey") + 1_000_000).cast("string"), 1, 5).alias("county")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("least"))
 
 
-@query("receipts", """SELECT l_orderkey, l_linenumber, l_partkey, p_name AS title FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_extendedprice > 90000""")
+@query("receipts", """SELECT l_orderkey, l_linenumber, l_partkey, p_name AS title FROM lineitem LEFT JOIN part ON p_partkey = l_partkey""")
 def receipts(spark: SparkSession, d: str) -> DataFrame:
     """J-31: rows with the title of the file they came from."""
     p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
-    return t(spark, d, "lineitem").where("l_extendedprice > 90000").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left")
 
 
-@query("mentions_place", """SELECT o_orderkey, contains(lower(c_name || ' ' || n_name), lower(r_name)) OR contains(lower(n_name), left(lower(r_name), 2)) AS mentioned FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey <= 2000""")
+@query("mentions_place", """SELECT o_orderkey, contains(lower(c_name || ' ' || n_name), lower(r_name)) OR contains(lower(n_name), left(lower(r_name), 2)) AS mentioned FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def mentions_place(spark: SparkSession, d: str) -> DataFrame:
     """Q-16."""
     n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey").join(n, "c_nationkey")
     said = F.contains(F.lower(F.concat_ws(" ", "c_name", "n_name")), F.lower("r_name")) | F.contains(F.lower("n_name"), F.substring(F.lower("r_name"), 1, 2))
-    return t(spark, d, "orders").where("o_orderkey <= 2000").select("o_orderkey", "o_custkey").join(c, "o_custkey").select("o_orderkey", said.alias("mentioned"))
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey").select("o_orderkey", said.alias("mentioned"))
 
 
-@query("covers_and_hydrates", """SELECT d.doc_id, left(d.text, 280) AS description, d.n_chars, l.quality, coalesce(l.quality, 0) = 1 AS covers FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 50 = 3""")
+@query("covers_and_hydrates", """SELECT d.doc_id, left(d.text, 280) AS description, d.n_chars, l.quality, coalesce(l.quality, 0) = 1 AS covers FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def covers_and_hydrates(spark: SparkSession, d: str) -> DataFrame:
-    """Q-17, J-2: the shown columns of chosen records."""
+    """Q-17, J-2: the shown columns of records."""
     la = t(spark, d, "labels").select("doc_id", "quality")
-    x = t(spark, d, "documents").where("doc_id % 50 = 3").join(la, "doc_id", "left")
+    x = t(spark, d, "documents").join(la, "doc_id", "left")
     return x.select("doc_id", F.substring("text", 1, 280).alias("description"), "n_chars", "quality", (F.coalesce("quality", F.lit(0)) == 1).alias("covers"))
 
 
@@ -86,10 +86,10 @@ def source_quality_report(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("source").agg(n.alias("datasets"), F.count_if(F.coalesce("quality", F.lit(0)) == 0).alias("unlabelled"), F.round(100.0 * F.count_if(F.col("n_chars") < 800) / n, 2).alias("short_pct"), F.max("n_chars").alias("longest"), F.round(F.avg(F.length("text")), 2).alias("mean_chars"))
 
 
-@query("resources_first_wins", """SELECT l_orderkey, l_partkey, min(l_linenumber) AS at FROM lineitem WHERE l_orderkey <= 1000 GROUP BY 1, 2""")
+@query("resources_first_wins", """SELECT l_orderkey, l_partkey, min(l_linenumber) AS at FROM lineitem GROUP BY 1, 2""")
 def resources_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """N-22: of children with one address the first stays."""
-    return t(spark, d, "lineitem").where("l_orderkey <= 1000").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("at"))
+    return t(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("at"))
 
 
 @query("slug_and_alias", """SELECT n_nationkey, split_part(lower('data-' || replace(n_name, ' ', '') || '.opendata.gov.example'), '.', 1) AS label, CASE WHEN length(n_name) > 2 THEN lower(n_name) END AS place FROM nation""")

@@ -46,10 +46,14 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return entity.components(edges, x.select(F.col("doc_id").alias("node")))
 
 
-@query("uuid_pairs", """SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON substring(sha1(CAST(a.o_custkey AS VARCHAR)), 1, 12) = substring(sha1(CAST(b.o_custkey AS VARCHAR)), 1, 12) AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.o_orderkey < b.o_orderkey WHERE a.o_custkey % 20 = 1""")
+@query("uuid_pairs", """WITH r AS (SELECT *, regexp_extract('Layer of ' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || ' and ' || m[1:8], '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS u FROM (SELECT *, md5(CAST(o_custkey AS VARCHAR)) AS m FROM orders))
+SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM r a JOIN r b ON a.u = b.u AND a.u <> '' AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.o_orderkey < b.o_orderkey""")
 def uuid_pairs(spark: SparkSession, d: str) -> DataFrame:
     """X-4, J-16: records of different sources that share an identifier and are corroborated."""
-    o = t(spark, d, "orders").where("o_custkey % 20 = 1").select("o_orderkey", F.substring(F.sha1(F.col("o_custkey").cast("string").cast("binary")), 1, 12).alias("u"), "o_orderpriority", "o_orderstatus")
+    m = F.md5(F.col("o_custkey").cast("string").cast("binary"))
+    cut = [F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    title = F.concat(F.lit("Layer of "), F.concat_ws("-", *cut), F.lit(" and "), cut[0])
+    o = t(spark, d, "orders").select("o_orderkey", entity.first_uuid(F.lit("rec"), title).alias("u"), "o_orderpriority", "o_orderstatus").where("u is not null")
     a, b = o.alias("a"), o.alias("b")
     j = a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.o_orderstatus") == F.col("b.o_orderstatus")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")))
     return j.where("a.o_orderpriority <> b.o_orderpriority").select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))

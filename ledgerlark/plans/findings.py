@@ -162,15 +162,17 @@ def host_candidates(spark: SparkSession, d: str) -> DataFrame:
 def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
     """N-53, 2.16: the bins of a map's legend."""
     c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    cuts = c.agg(F.percentile("c_acctbal", [0.2, 0.4, 0.6, 0.8]).alias("q")).first()["q"]
+    from ledgerlark.operators.ranking import quantiles
+
+    cuts = quantiles(c, "c_acctbal", [0.2, 0.4, 0.6, 0.8])
     return c.select("c_custkey", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < F.col("c_acctbal"))).alias("bin"))
 
 
-@query("spending_selection", """SELECT doc_id FROM documents d WHERE regexp_matches(lower(left(text, 400)), 'licen|password|token|the') AND lang IN ('en', 'de') AND n_chars > 300 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
+@query("spending_selection", """SELECT doc_id FROM documents d WHERE regexp_matches(lower(text), 'licen|password|token|the') AND lang IN ('en', 'de') AND n_chars > 300 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)""")
 def spending_selection(spark: SparkSession, d: str) -> DataFrame:
     """P-8, P-1: findable records by several terms."""
     out = t(spark, d, "labels").where("toxic = 1").select("doc_id")
-    x = t(spark, d, "documents").where(F.col("lang").isin("en", "de") & (F.col("n_chars") > 300) & F.lower(F.substring("text", 1, 400)).rlike("licen|password|token|the"))
+    x = t(spark, d, "documents").where(F.col("lang").isin("en", "de") & (F.col("n_chars") > 300) & F.lower("text").rlike("licen|password|token|the"))
     return x.select("doc_id").join(out, "doc_id", "left_anti")
 
 

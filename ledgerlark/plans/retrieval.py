@@ -203,7 +203,7 @@ def rerank_mult(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(spark, d).select("doc_id", F.round("score", 9).alias("score"))
 
 
-_CANON = "cn AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents), co AS (SELECT coalesce(cn.canonical, sg.doc_id) AS doc_id, max(score) AS score FROM sg LEFT JOIN cn ON cn.doc_id = sg.doc_id WHERE coalesce(cn.canonical, sg.doc_id) % 17 <> 3 GROUP BY 1)"
+_CANON = "cn AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents), co AS (SELECT coalesce(cn.canonical, sg.doc_id) AS doc_id, max(score) AS score FROM sg LEFT JOIN cn ON cn.doc_id = sg.doc_id WHERE coalesce(cn.canonical, sg.doc_id) NOT IN (SELECT doc_id FROM documents WHERE doc_id % 17 = 3) GROUP BY 1)"
 
 
 def canonicals(spark: SparkSession, d: str) -> DataFrame:

@@ -228,7 +228,7 @@ def read_records(spark: SparkSession, path: str, schema: str, at: str | None = N
     """S-1, S-3, S-7, S-13: landed JSON pages; ``at`` is the path of their list of records (null: one record a line)."""
     if at is None:
         return spark.read.schema(schema).json(path)
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     listed = F.from_json(N.dig(F.col("value"), at), f"array<struct<{', '.join(_typed(schema))}>>")
     return pages.select(F.explode(listed).alias("r")).select("r.*")
 

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,3 +85,22 @@ def hours(x: Column) -> Column:
     clock = r"^(?:([0-9]+) days?,? )?([0-9]+):([0-9]{2})(?::([0-9]{2}))?$"
     part = lambda i: F.coalesce(F.regexp_extract(t, clock, i).try_cast("double"), F.lit(0.0))
     return F.when(t.rlike(clock), 24 * part(1) + part(2) + part(3) / 60 + part(4) / 3600).otherwise(t.try_cast("double") * 24)
+
+
+def sheet():  # noqa: ANN201
+    """A workbook of one sheet with a header and a row of texts, as bytes (needs a session)."""
+
+    @F.pandas_udf("binary")
+    def make(head: pd.Series, row: pd.Series) -> pd.Series:
+        def one(lines) -> bytes:  # noqa: ANN001
+            cell = lambda i, r, v: f'<c r="{chr(65 + i)}{r}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+            body = "".join(f'<row r="{r}">{"".join(cell(i, r, v) for i, v in enumerate(values) if v is not None)}</row>' for r, values in enumerate(lines, 1))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("xl/workbook.xml", '<workbook xmlns="m"><sheets><sheet name="One"/></sheets></workbook>')
+                z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="m"><sheetData>{body}</sheetData></worksheet>')
+            return out.getvalue()
+
+        return pd.Series([one(x) for x in zip(head, row)])
+
+    return make

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -28,17 +29,20 @@ def rate_limit(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S
     """Batch form over (event_id, key, at): adds accepted.
 
     Rows are sorted by key and time within partitions and streamed in batches:
-    a key of any size needs no more memory than its last ``limit`` times.
+    a key of any size needs no more memory than its last ``limit`` times.  What
+    is accepted depends on all that came before, so one key is one task's work.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, taken = None, deque()
         for rows in batches:
             flags = []
-            for k, at in zip(rows["key"], rows["at"]):
-                if k != key:
-                    key, taken = k, deque()
-                flags += accept([at], taken, limit, window)
+            codes = pd.factorize(rows["key"], use_na_sentinel=False)[0]
+            runs = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+            for lo, hi in zip(runs, [*runs[1:], len(rows)]):
+                if (own := rows["key"].iat[lo]) != key:
+                    key, taken = own, deque()
+                flags += accept(rows["at"].iloc[lo:hi].tolist(), taken, limit, window)
             rows["accepted"] = flags
             yield rows[["event_id", "accepted"]]
 

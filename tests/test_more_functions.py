@@ -70,8 +70,10 @@ def test_probes(spark):
         f.writestr("a/b.csv", "x")
         f.writestr("c.shp", "x")
     files = [("u/a.zip", z.getvalue()), ("u/t.csv", b"id;name\n1;a\n2;b\n"), ("u/g", b'{"type":"FeatureCollection","features":[{"properties":{"p":1}}]}'), ("u/p", b"%PDF-1.7"), ("u/x", b"words"), ("u/bad.zip", b"PK\x03\x04junk"), ("u/e.csv", b""), ("u/l.json", b'{"a":"' + b"x" * 40_000 + b'"}')]
-    got = {r["url"]: r for r in probe.probe(spark.createDataFrame([(p, bytearray(b)) for p, b in files], "path string, content binary")).collect()}
-    assert (got["u/a.zip"]["kind"], got["u/a.zip"]["real_format"], got["u/a.zip"]["members"]) == ("archive", "CSV,SHP", ["a/b.csv", "c.shp"])
-    assert got["u/t.csv"]["columns"] == ["id", "name"] and got["u/t.csv"]["rows_seen"] == 2 and got["u/g"]["columns"] == ["p"] and got["u/g"]["real_format"] == "GEOJSON"
-    assert got["u/p"]["real_format"] == "PDF" and got["u/x"]["kind"] == "unknown" and got["u/bad.zip"]["kind"] == "unknown" and got["u/e.csv"]["note"] == "empty" and got["u/l.json"]["note"] == "truncated, shape inferred"
-    assert probe.header_of(b"id,name,1\n2") == ["id", "name", "1"] and probe.header_of(b"1,2,3") is None and probe.header_of(b"one") is None
+    got = {r["path"]: r for r in probe.probe(spark.createDataFrame([(p, bytearray(b)) for p, b in files], "path string, content binary")).collect()}
+    assert (got["u/a.zip"]["kind"], got["u/a.zip"]["format"], got["u/a.zip"]["members"]) == ("zip", "CSV,SHP", ["a/b.csv", "c.shp"])
+    assert got["u/t.csv"]["columns"] == ["id", "name"] and got["u/t.csv"]["rows"] == 2 and got["u/g"]["columns"] == ["p"] and got["u/g"]["format"] == "GEOJSON"
+    assert got["u/p"]["format"] == "PDF" and got["u/x"]["kind"] == "unknown" and got["u/bad.zip"]["remark"] == "no readable archive" and got["u/e.csv"]["remark"] == "no bytes"
+    assert got["u/l.json"]["remark"] == "only the first bytes were read" and got["u/l.json"]["format"] == "JSON"
+    cells = lambda x: spark.range(1).select(probe.header_cells(F.lit(x)).alias("c")).first()["c"]
+    assert cells("id,name,1\n2") == ["id", "name", "1"] and cells('"a, b",c') == ["a, b", "c"] and cells("1,2,3") is None and cells("one") is None

@@ -1,6 +1,7 @@
 """Entity resolution, state, streaming and spatial operators; every registered query against its oracle."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,8 +102,15 @@ def test_spatial(spark):
     assert (g[0]["g"]["e"], g[0]["g"]["n"]) == (651409.5, 313177.5) and (g[1]["g"]["e"], g[1]["g"]["n"]) == (445000.0, 125000.0) and g[2]["g"] is not None and g[3]["g"] is None
     d = spark.range(1).select(spatial.segment_distance(F.lit(0.0), F.lit(3.0), F.lit(-1.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("a"), spatial.segment_distance(F.lit(5.0), F.lit(3.0), F.lit(1.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("b")).first()
     assert (d["a"], d["b"]) == (3.0, 5.0)
-    hole = [[[0, 0], [4, 0], [4, 4], [0, 4]], [[1, 1], [3, 1], [3, 3], [1, 3]]]
-    assert spatial.even_odd(0.5, 0.5, hole) and not spatial.even_odd(2, 2, hole)
+    hole = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0]]]
+    rings = [np.array(r, dtype=float) for r in hole]
+    assert spatial.even_odd(np.array([[0.5, 0.5], [2, 2]]), rings).tolist() == [True, False]
+    assert spatial.ring_distance(np.array([[0.5, 2.0], [2, 2], [7, 8]]), rings).tolist() == [0.5, 1.0, 5.0]
+    p = spark.createDataFrame([(1, 0.5, 2.0), (2, 2.0, 2.0), (3, 5.0, 2.0), (4, 50.0, 2.0), (None, None, 1.0)], "i long, x double, y double")
+    shape = spark.createDataFrame([("a", hole)], "code string, rings array<array<array<double>>>")
+    assert sorted((r["i"], r["distance"]) for r in spatial.polygon_distances(p, "i", shape, "code", 1.0, 1.5).collect()) == [(1, 0.0), (2, 1.0), (3, 1.0)]
+    assert sorted((r["i"], r["distance"]) for r in spatial.polygon_distances(p, "i", shape, "code", 1.0, 1.5, boundary=True).collect()) == [(1, 0.5), (2, 1.0), (3, 1.0)]
+    assert [r["i"] for r in spatial.points_in_polygons(p, "i", shape, "code", 1.0).collect()] == [1]
 
 
 def test_search_is_monotone_under_filters(spark, sf):

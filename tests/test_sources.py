@@ -62,7 +62,7 @@ def test_ods_geonode_csw_and_bespoke(spark, tmp_path):
 
 def test_pages_with_a_list(spark, tmp_path):
     p = tmp_path / "p.json"
-    p.write_text(json.dumps({"result": {"results": [{"id": "1", "title": "Abc"}, {"id": "2", "title": "Def"}]}}))
+    p.write_text(json.dumps({"result": {"results": [{"id": "1", "title": "Abc"}, {"id": "2", "title": "Def"}]}}, indent=1))  # of many lines
     assert [r["key"] for r in c.ckan(c.read_records(spark, str(p), c.CKAN, "result.results"), SRC, 2026).orderBy("key").collect()] == ["src:1", "src:2"]
 
 
@@ -81,5 +81,11 @@ def test_ledger_files(spark):
 
 def test_header_and_roles():
     assert ledger.find_header(["title", "Date;Vendor;Total amount", "x"]) == (1, ";")
-    assert ledger.pick_roles(["Total", "Net Amount", "Supplier", "Date"])["amount"] == 1
+    pick = lambda header, *rows: ledger.pick_roles(header.split(","), [r.split(",") for r in rows])
+    assert pick("Total,Net Amount,Supplier,Date", "5,6,x,y")["amount"] == 1
+    # better names first, then equal cells; numbers decide between amounts
+    assert pick("Invoice Amount,Amount,Vendor", "1,2,x")["amount"] == 0 and pick("Amount,Total,Supplier", "0050037090,1.50,x")["amount"] == 1
+    assert pick("Organisation Name,Amount", "x,1").get("supplier") is None and pick("Name,Amount", "x,1")["supplier"] == 0
+    assert pick("Supplier,£,Category", "x,1.50,a", "y,2.50,b", "z,3.00,c") == {"supplier": 0, "amount": 1, "expense_type": 2}
+    assert pick("Payment Date,Supplier Name,Description,Service Area,Amount,Invoice No", "a,b,c,d,1,e") == {"date": 0, "supplier": 1, "expense_type": 2, "expense_area": 3, "amount": 4, "txn": 5}
     assert ledger.sniff(b"PK\x03\x04") == "xlsx-zip" and ledger.sniff(b"  <html>") == "html-or-xml"
