@@ -63,6 +63,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     out[:, k + 2] = (size - share[:, 4] - share[:, 5]) / np.maximum(words, 1) if n else 0
     changed = np.zeros(len(body), bool)
     changed[1:] = cls[1:] != cls[:-1]
+    changed[at[:-1][size > 0]] = False  # not across two texts
     out[:, k + 10] = np.bincount(owner, weights=changed, minlength=n)[:n] / whole
     starts, ends = split_words(body, at)
     word_owner = np.repeat(np.arange(n), words)
@@ -75,6 +76,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         out[:, k + 12] = np.bincount(word_owner, weights=length <= 3, minlength=n) / many
         same = np.zeros(len(hashed), bool)
         same[1:] = hashed[1:] == hashed[:-1]
+        same[w[:-1][words > 0]] = False
         out[:, k + 13] = np.bincount(word_owner, weights=same, minlength=n) / many
     out[:, k + 5] = np.log1p(np.diff(ln))
     out[:, k + 7] = words / np.maximum(np.diff(ln), 1)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: dict[str, str] = {}
-_BATCH, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +34,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        if spark.conf.get(_BATCH) == _DEFAULT_ROWS:  # whole texts are wide: ten thousand of them fill an executor
-            spark.conf.set(_BATCH, _ROWS)
         if not _ROOTS:
             atexit.register(_clean)
         _ROOTS[self.root] = spark
