@@ -1,8 +1,14 @@
 """A training corpus in five stages: language, near duplicates, benchmarks, personal data, packing.
 
 Each stage is a function of (spark, documents, sf_dir).  All but the last
-return the columns of documents; a null doc_id is kept by every filter, as no
-decision can name it.
+return the columns of documents.
+
+Cases: a null doc_id is kept by the near-duplicate stage, as no decision can
+name it, and judged by its text in the others; rows that share a doc_id but not
+the text are all kept or all dropped with their group, and equal rows of one
+doc_id and text stay once (the one with the least other columns); a null or
+empty text is no language and goes in the first stage; an empty table gives an
+empty result; columns with any other name are carried along.
 """
 
 from __future__ import annotations
@@ -26,11 +32,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies; a repeated doc_id stays once."""
+    """Keeps the document with the smallest doc_id of each group of near copies."""
     found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     first = Scratch(spark, "pipeline").save(found, "first")
-    named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi")
+    return once_each(named).unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+def once_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id and text: the one whose other columns come first as JSON.
+
+    Only rows that repeat a doc_id are compared, by a hash of their text.
+    """
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1").select("doc_id")
+    twice = Scratch(docs.sparkSession, "pipeline").save(twice, "twice")
+    some = docs.join(twice, "doc_id", "left_semi")
+    row = F.struct(*map(F.col, docs.columns))
+    kept = some.groupBy("doc_id", F.xxhash64("text").alias("text_of_id")).agg(F.min_by(row, F.to_json(row)).alias("row_of_id")).select("row_of_id.*")
+    return docs.join(twice, "doc_id", "left_anti").unionByName(kept)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
