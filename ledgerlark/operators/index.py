@@ -58,6 +58,11 @@ def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str]) -> Itera
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[lo:hi], pa.int64())), pa.array(terms[lo:hi], pa.string()), pa.array(tf[lo:hi], pa.list_(pa.int32())), pa.array(lengths[lo:hi], pa.int64())], names=["key", "term", "tf", "length"])
 
 
+def term_of(word: str) -> str:
+    """The term under which a word is indexed."""
+    return stem(fold(word))
+
+
 def _folder(term: Column, folders: int) -> Column:
     return (F.crc32(F.encode(term, "utf-8")) % folders).cast("int")
 
@@ -107,7 +112,7 @@ class SearchIndex:
 
     def matches(self, words: Sequence[str], publisher: str | None = None) -> Matches:
         """What the arms of a search ask of these words of a query."""
-        terms = list(dict.fromkeys(map(stem, words)))
+        terms = list(dict.fromkeys(map(term_of, words)))
         weights = F.array(*(F.lit(float(w)) for w in self.fields.values()))
         weighed = F.aggregate(F.zip_with("tf", weights, lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
         place = list(self.fields).index(publisher) if publisher else None
@@ -131,13 +136,13 @@ class Matches:
     found: dict[str, tuple[int, int]]  # how many records hold a term, and how many in the publisher's name
 
     def _has(self, words: Sequence[str]) -> list[Column]:
-        return [F.col(f"tf_{self.terms.index(t)}") > 0 for t in dict.fromkeys(map(stem, words))]
+        return [F.col(f"tf_{self.terms.index(t)}") > 0 for t in dict.fromkeys(map(term_of, words))]
 
     def bm25(self, words: Sequence[str]) -> Column:
         """Okapi BM25 with the reserved constants; counts are weighted by field; idf has a small floor."""
         n, mean = self.index.stats["n"], self.index.stats["mean"] or 1.0
         score = F.lit(0.0)
-        for t in dict.fromkeys(map(stem, words)):
+        for t in dict.fromkeys(map(term_of, words)):
             df, tf = self.found.get(t, (0, 0))[0], F.col(f"tf_{self.terms.index(t)}")
             idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(LEAST_IDF))
             score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
@@ -162,7 +167,7 @@ class Matches:
     def rare(self, words: Sequence[str]) -> Column:
         """Q-4: whether a record has the rarest of two or more words over two letters, unless even that is common."""
         words = [w for w in words if len(w) > 2]
-        seen = sorted((self.found[stem(w)][0], w) for w in set(words) if stem(w) in self.found)
+        seen = sorted((self.found[term_of(w)][0], w) for w in set(words) if term_of(w) in self.found)
         if len(words) < 2 or not seen or seen[0][0] > V.RARE_DF:
             return F.lit(False)
         return self._has([seen[0][1]])[0]
@@ -174,7 +179,7 @@ class Matches:
 
     def publisher(self, words: Sequence[str], most: int = V.PUBLISHER_HITS) -> Column:
         """Q-7: whether the publisher's name has a word over three letters that few enough records' publishers have."""
-        good = [t for t in dict.fromkeys(stem(w) for w in words if len(w) > 3) if 0 < self.found.get(t, (0, 0))[1] <= most]
+        good = [t for t in dict.fromkeys(term_of(w) for w in words if len(w) > 3) if 0 < self.found.get(t, (0, 0))[1] <= most]
         return reduce(lambda a, b: a | b, (F.col(f"pub_{self.terms.index(t)}") for t in good), F.lit(False))
 
 

@@ -175,7 +175,10 @@ def anti_resume(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey").join(done, "p_partkey", "left_anti")
 
 
-@query("rate_limited")
+@query("rate_limited", """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+r AS (SELECT event_id, user_id, rn, [sec] AS taken, true AS accepted FROM o WHERE rn = 1 UNION ALL
+SELECT event_id, user_id, rn, CASE WHEN len(f) < 3 THEN list_append(f, sec) ELSE f END, len(f) < 3 FROM (SELECT o.*, list_filter(r.taken, lambda t: t > o.sec - 86400.0) AS f FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+SELECT event_id, accepted FROM r""")
 def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     """T-1: 30 accepted requests in 60 s for each key; a rejected request does not count."""
     from ledgerlark.streaming.limiter import rate_limit
