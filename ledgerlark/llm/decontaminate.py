@@ -14,7 +14,8 @@ so proposed are cut out of each document once and compared.
 
 Cases: a null or empty text has no words and is clean; an item without words
 has no windows; repeated documents and items, ties in rarity (settled by
-position) and other columns change nothing; rows that share a doc_id are told
+position) and other columns change nothing; very long texts are one array of words
+in a task; an empty table gives an empty result; rows that share a doc_id are told
 apart by their text; a null doc_id keeps its row; items with a null item_id hit
 like others, count as one item in n_items and are left out of items_sha256.
 """

@@ -18,8 +18,9 @@ Neither depends on the posterior, which only names the language of a row:
 Cases: a null or empty text has no evidence of its own, its language is
 ``und`` and it is rejected; null or unknown declarations, hosts and suffixes
 weigh nothing; without any declared language all rows are ``und``, and those
-with language are accepted; ties go to the first language by name; repeated rows count and are judged each; other
-columns are kept by ``keep_language`` and ignored otherwise.
+with language are accepted; ties go to the first language by name; repeated rows
+count and are judged each; very long texts are read whole; an empty table gives an
+empty result; other columns are kept by ``keep_language`` and ignored otherwise.
 """
 
 from __future__ import annotations

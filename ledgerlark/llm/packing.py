@@ -11,8 +11,10 @@ The plan is the same as placing all pieces of the corpus one by one in order
 of length, and no task holds more than its own pieces.
 
 Cases: a null or empty text is one token (the end id); repeated rows are packed
-each; a null doc_id keeps its pieces; other columns are ignored; an empty table
-gives an empty result.
+each; a null doc_id keeps its pieces; a document longer than a window is cut into
+full windows and a rest, very long ones within one task; pieces of equal length
+are placed in order of their task and row; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ numpy steps as a tree is deep.
 
 Cases: a null or empty text has all statistics 0 and is scored as such;
 repeated rows are scored each; labels that are null, or of no document, are
-left out, of repeated labels of a doc_id the greatest counts; without two
+left out, of repeated labels of a doc_id the greatest counts, and of rows that
+share a labelled doc_id the one with the least statistics; of splits of equal
+gain the first feature and lowest threshold wins; very long texts are measured
+whole, a few megabytes of text at a time (one text may have more); an empty table
+gives an empty result; without two
 classes among the labels every score is the share of 1 among them (0.5 without
 labels); doc_id null is held in (it has no remainder); other columns are
 ignored.
@@ -182,7 +186,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     known = scratch.save(known, "labels")
     share = min(1.0, fit_rows / max(1, known.count()))
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    table = x.join(few, "doc_id").toPandas()
+    table = x.join(few, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     table = table.sort_values("doc_id", kind="stable")
     model = fit(np.array(table["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), table["quality"].to_numpy(dtype=np.float64))
     sent = spark.sparkContext.broadcast(model)
