@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 from ledgerlark.operators import retrieval as R
 from ledgerlark.operators.index import LAYOUT, SearchIndex, words_of
 from ledgerlark.registry import query
-from ledgerlark.session import cut_lineage, shared_folder
+from ledgerlark.session import shared_folder
 from ledgerlark.session import table as t
 from ledgerlark.sources.stored import stored
 
@@ -150,16 +151,20 @@ def availability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, d: str):  # noqa: ANN202
-    """key, rank, arm of the three arms (300 rows at most), the matches and the place."""
-    place, point = place_of(spark, d, QUERY)
+    """key, rank, similarity, arm of the three arms (300 rows at most), the matches and the place."""
+    # Three small lookups that do not wait for each other.
+    with ThreadPoolExecutor(3) as pool:
+        at = pool.submit(place_of, spark, d, QUERY)
+        vector = pool.submit(query_vector, spark, d)
+        own = pool.submit(lambda: index(spark, d).matches(R.terms_of(QUERY), "publisher"))
+        (place, point), q, m = at.result(), vector.result(), own.result()
     every, words = words_of(QUERY, place)
-    m = index(spark, d).matches(every, "publisher")
     k = m.keyword_arm((words or every) if point else every)
-    v = R.vector_arm(t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "embedding", query_vector(spark, d))
-    arms = [k.withColumn("arm", F.lit("words")), v.select("key", "rank", F.lit("vector").alias("arm"))]
+    v = R.vector_arm(t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), "key", "embedding", q)
+    arms = [k.withColumn("arm", F.lit("words")), v.withColumn("arm", F.lit("vector"))]
     if point and place:
         arms.append(m.geo_arm([w for w in words if len(w) > 2], inside(spark, d, point)).withColumn("arm", F.lit("geo")))
-    return reduce(lambda a, b: a.unionByName(b), arms), m, place
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), arms), m, place
 
 
 @query("rrf_hybrid", f"WITH {_ARMS} SELECT doc_id, round(score, 9) AS score FROM fu")
@@ -175,14 +180,14 @@ FROM fu LEFT JOIN documents dd ON dd.doc_id = fu.doc_id LEFT JOIN (SELECT doc_id
 LEFT JOIN ga ON ga.doc_id = fu.doc_id LEFT JOIN fl ON fl.doc_id = fu.doc_id)"""
 
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
+def _reranked(spark: SparkSession, d: str, rows: list | None = None, found: tuple | None = None) -> DataFrame:
     """doc_id, score, topic, covers (the geo arm has it), av: of the candidates.
 
     The arms' candidates, 300 at most, are known before their records are looked
     up, so their keys reach the scans as filters and nothing else is shuffled.
     """
-    arms, m, place = _arms(spark, d)
-    rows = arms.collect()
+    arms, m, place = found or _arms(spark, d)
+    rows = arms.collect() if rows is None else rows
     keys = sorted({r["key"] for r in rows})
     near = lambda df, key: df.where(F.col(key).isin(keys)).withColumnRenamed(key, "key")
     fused = spark.createDataFrame([(r["key"], 1.0 / (V.RRF_K + r["rank"] + 1), r["arm"] == "geo") for r in rows], "key long, part double, covers boolean")
@@ -288,17 +293,24 @@ SELECT tp.doc_id, round(round(score, 9), 4) AS score, left(text, 60) AS title, {
 FROM tp LEFT JOIN documents dd ON dd.doc_id = tp.doc_id LEFT JOIN ga ON ga.doc_id = tp.doc_id LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'dead' WHEN quality = 1 THEN 'data' ELSE 'webpage' END AS av FROM labels) la ON la.doc_id = tp.doc_id""")
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: place, three arms fused, re-ranked, collapsed, paged and shown (Q-17), with its confidence (Q-12)."""
-    seen = cut_lineage(_reranked(spark, d))
-    top = R.page(_collapsed(spark, d, seen.select("doc_id", "score")), "doc_id", 10).collect()
+    found = _arms(spark, d)
+    rows = found[0].collect()
+    best = max((r["similarity"] for r in rows if r["similarity"] is not None), default=None)
+    seen = _reranked(spark, d, rows, found).collect()
+    # Candidates, their canonical records and the page are at most as many as the arms have rows.
+    same = {r["doc_id"]: r["canonical"] for r in canonicals(spark, d).where(F.col("doc_id").isin([r["doc_id"] for r in seen])).collect()}
+    ids = sorted({r["doc_id"] for r in seen} | set(same.values()))
+    scored = spark.createDataFrame(seen, "doc_id long, score double, topic boolean, covers boolean, av string")
+    moved = spark.createDataFrame(list(same.items()), "doc_id long, canonical long")
+    retired = t(spark, d, "documents").where("doc_id % 17 = 3").where(F.col("doc_id").isin(ids)).select("doc_id")
+    top = R.page(R.collapse_duplicates(scored.select("doc_id", "score"), "doc_id", moved, retired), "doc_id", 10).collect()
     keys = [r["doc_id"] for r in top]
     near = lambda df: df.where(F.col("doc_id").isin(keys))
-    out = spark.createDataFrame(top, "doc_id long, score double")
     # A canonical record that no arm found has no topic and is not in the geo arm.
-    for part in (near(docs(spark, d).select("doc_id", "title", "publisher", "description")), near(availability(spark, d)), near(seen.select("doc_id", "topic", "covers"))):
-        out = out.join(F.broadcast(part), "doc_id", "left")  # of ten rows
-    best = t(spark, d, "embeddings").agg(F.max(R.cosine(F.col("embedding"), query_vector(spark, d))).alias("s")).first()["s"]
-    at = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # of ten rows
-    met = F.coalesce(F.max(F.when(F.col("at") <= 3, F.col("topic"))).over(Window.partitionBy()), F.lit(False))
-    out = out.withColumn("at", at).withColumn("met", met)
-    said = F.when(F.col("met"), R.confidence(best, True, True)).otherwise(R.confidence(best, True, False))
+    parts = (spark.createDataFrame(top, "doc_id long, score double"), near(docs(spark, d).select("doc_id", "title", "publisher", "description")), near(availability(spark, d)), near(scored.select("doc_id", "topic", "covers")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = every.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("score", "title", "publisher", "description", "av", "topic", "covers")))
+    first = {r["doc_id"] for r in top[:3]}
+    met = any(r["topic"] for r in seen if r["doc_id"] in first)
+    said = F.lit(R.confidence(best, bool(top), met))
     return out.select("doc_id", F.round(F.round("score", 9), 4).alias("score"), "title", "publisher", "description", F.col("av").alias("availability"), F.when(F.col("covers"), True).alias("covers_place"), said.alias("confidence"))
