@@ -26,3 +26,9 @@ def seeded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """The rows with the least hashes of seed and key (a top-k, so no full sort)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     return df.withColumn("sample_hash", h).orderBy("sample_hash", key).limit(rows).drop("sample_hash")
+
+
+def pattern_hits(df: DataFrame, column: str, named: Mapping[str, str]) -> DataFrame:
+    """P-14: name, docs: how many rows each named pattern meets, all in one pass; a null text meets none."""
+    hit = df.agg(*(F.count_if(F.col(column).rlike(p)).alias(n) for n, p in named.items()))
+    return hit.unpivot([], list(named), "name", "docs")

@@ -32,6 +32,21 @@ def global_rank(df: DataFrame, order: str, name: str, rows: int = RANKED_ROWS) -
     return keyed.withColumn("rank_own", own).join(base, "rank_part").withColumn(name, F.col("rank_base") + F.col("rank_own")).drop("rank_part", "rank_own", "rank_base", "rank_row")
 
 
+def competition_rank(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the 1-based rank in descending order of a column over all rows; equal values share the best rank.
+
+    Counts by value are ranked, not rows.
+    """
+    by = global_rank(df.groupBy(order).agg(F.count(F.lit(1)).alias("rank_same")).withColumn("rank_down", -F.col(order)), "rank_down", "rank_at")
+    # How many rows stand before a value: the counts of better values, summed by ranges of rank.
+    part = F.floor(F.col("rank_at") / RANKED_ROWS)
+    sums = by.groupBy(part.alias("rank_part")).agg(F.sum("rank_same").alias("rank_n"))  # a row for each million values
+    base = sums.select("rank_part", F.coalesce(F.sum("rank_n").over(Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rank_base"))
+    own = F.coalesce(F.sum("rank_same").over(Window.partitionBy("rank_part").orderBy("rank_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = by.withColumn("rank_part", part).withColumn("rank_own", own).join(base, "rank_part").select(order, (F.col("rank_base") + F.col("rank_own") + 1).cast("long").alias(name))
+    return df.join(told, order)
+
+
 def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation, nulls left out; empty for a table without values."""
     ranked = cut_lineage(global_rank(df.where(F.col(value).isNotNull()).select(value), value, "quantile_rank"))

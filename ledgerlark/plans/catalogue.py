@@ -112,3 +112,28 @@ def gazetteer_points(spark: SparkSession, d: str) -> DataFrame:
     """Q-14, D-19."""
     k = P.gazetteer_key(F.col("n_name"))
     return t(spark, d, "nation").where(k.isNotNull()).select("n_nationkey", (F.col("n_nationkey") * 3.0 - 20).alias("lon"), (F.col("n_nationkey") * 1.0 + 40).alias("lat"))
+
+
+_CHECKED = "(SELECT l_orderkey, l_linenumber, 'http://p/' || l_partkey AS url FROM lineitem) r JOIN (SELECT 'http://p/' || p_partkey AS url, CASE WHEN p_size > 40 THEN 'dead' ELSE 'data' END AS verdict FROM part WHERE p_partkey % 3 <> 0) k USING (url)"
+
+
+def _resources(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("http://p/"), F.col("l_partkey").cast("string")).alias("url"))
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("http://p/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_size") > 40, "dead").otherwise("data").alias("verdict"))
+
+
+@query("resources_checked", f"SELECT l_orderkey, l_linenumber, verdict FROM {_CHECKED}")
+def resources_checked(spark: SparkSession, d: str) -> DataFrame:
+    """J-1: resources with what the check of their address said."""
+    return _resources(spark, d).join(_checks(spark, d), "url").select("l_orderkey", "l_linenumber", "verdict")
+
+
+@query("dead_links_of_datasets", f"SELECT o_orderpriority AS publisher, count(*) AS dead, count(DISTINCT o_orderkey) AS datasets FROM {_CHECKED} JOIN orders ON o_orderkey = l_orderkey WHERE verdict = 'dead' GROUP BY 1")
+def dead_links_of_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """J-9: resources, checks and datasets; dead links are counted by dataset before they are by publisher."""
+    by = _resources(spark, d).join(_checks(spark, d).where("verdict = 'dead'"), "url").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    x = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("publisher")).join(by, "o_orderkey")
+    return x.groupBy("publisher").agg(F.sum("n").alias("dead"), F.count(F.lit(1)).alias("datasets"))

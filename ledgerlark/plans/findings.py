@@ -179,12 +179,61 @@ def spending_selection(spark: SparkSession, d: str) -> DataFrame:
 @query("pattern_dictionary", """SELECT name, count(*) AS docs FROM documents, (VALUES ('email', '[a-z]+[.][0-9]+@'), ('licence', '(?i)licen[sc]e'), ('phone', '[+]1 [(]'), ('secret', 'password=')) v(name, p) WHERE regexp_matches(text, p) GROUP BY 1""")
 def pattern_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """P-14: named patterns and how many rows each meets, in one pass."""
-    named = {"email": "[a-z]+[.][0-9]+@", "licence": "(?i)licen[sc]e", "phone": "[+]1 [(]", "secret": "password="}
-    hit = t(spark, d, "documents").agg(*(F.count_if(F.col("text").rlike(p)).alias(n) for n, p in named.items()))
-    return hit.unpivot([], list(named), "name", "docs").where("docs > 0")
+    from ledgerlark.operators.findings import pattern_hits
+
+    return pattern_hits(t(spark, d, "documents"), "text", {"email": "[a-z]+[.][0-9]+@", "licence": "(?i)licen[sc]e", "phone": "[+]1 [(]", "secret": "password="}).where("docs > 0")
 
 
 @query("class_by_second_column", """SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%STEEL%' THEN 'metal' WHEN starts_with(p_brand, 'Brand#1') THEN 'one' ELSE 'other' END AS class FROM part""")
 def class_by_second_column(spark: SparkSession, d: str) -> DataFrame:
     """P-15: a row's second column overrides the class of its name."""
-    return t(spark, d, "part").select("p_partkey", F.when(F.col("p_type").contains("BRASS") | F.col("p_type").contains("STEEL"), "metal").when(F.startswith("p_brand", F.lit("Brand#1")), "one").otherwise("other").alias("class"))
+    from ledgerlark.functions.pages import first_rule
+
+    by = F.coalesce(first_rule(F.col("p_type"), [("BRASS|STEEL", "metal")]), first_rule(F.col("p_brand"), [("^Brand#1", "one")]), F.lit("other"))
+    return t(spark, d, "part").select("p_partkey", by.alias("class"))
+
+
+@query("settlement_league", """WITH w AS (SELECT o_custkey, sum(o_totalprice) FILTER (year(o_orderdate) = 1995) AS a, sum(o_totalprice) FILTER (year(o_orderdate) = 1996) AS b FROM orders GROUP BY 1),
+f AS (SELECT o_custkey, round(a, 2) AS y1995, round(b, 2) AS y1996, round(100 * (b - a) / a, 4) AS change, concat_ws(';', CASE WHEN a IS NULL OR b IS NULL THEN 'one year only' END, CASE WHEN b > 3 * a THEN 'more than thrice' END, CASE WHEN a < 1000 THEN 'small base' END) AS checks FROM w)
+SELECT o_custkey, y1995, y1996, change, checks, CASE WHEN checks = '' THEN rank() OVER (PARTITION BY checks = '' ORDER BY change DESC) END AS place_no FROM f WHERE y1995 IS NOT NULL OR y1996 IS NOT NULL""")
+def settlement_league(spark: SparkSession, d: str) -> DataFrame:
+    """C-5: two years side by side, the change, what to check by hand, and a league of the rest."""
+    from ledgerlark.operators.ranking import competition_rank
+
+    years = t(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_totalprice")
+    w = years.groupBy("o_custkey").pivot("y", [1995, 1996]).agg(F.sum("o_totalprice"))
+    a, b = F.col("1995"), F.col("1996")
+    checks = F.concat_ws(";", F.when(a.isNull() | b.isNull(), "one year only"), F.when(b > 3 * a, "more than thrice"), F.when(a < 1000, "small base"))
+    f = w.where(a.isNotNull() | b.isNotNull()).select("o_custkey", F.round(a, 2).alias("y1995"), F.round(b, 2).alias("y1996"), F.round(100 * (b - a) / a, 4).alias("change"), checks.alias("checks"))
+    league = competition_rank(f.where("checks = ''"), "change", "place_no")
+    return league.unionByName(f.where("checks <> ''").withColumn("place_no", F.lit(None).cast("long")))
+
+
+@query("candidate_towns", """WITH x AS (SELECT s_suppkey, s_name, (s_suppkey * 53) % 1000 AS x, (s_suppkey * 17) % 1000 AS y FROM supplier), c AS (SELECT n_nationkey, (n_nationkey * 40) % 1000 AS x, (n_nationkey * 90) % 1000 AS y FROM nation),
+n AS (SELECT s_suppkey, bool_or(power(x.x - c.x, 2) + power(x.y - c.y, 2) <= 3600) AS near FROM x, c GROUP BY 1)
+SELECT s_suppkey, CASE WHEN s_name LIKE '%1' THEN 'listed' WHEN NOT near THEN 'far from the coast' ELSE 'kept' END AS reason FROM x JOIN n USING (s_suppkey)""")
+def candidate_towns(spark: SparkSession, d: str) -> DataFrame:
+    """C-13: exclusions by a list with its reasons, then by distance; what is left are the candidates."""
+    from ledgerlark.operators.spatial import within
+
+    s = t(spark, d, "supplier").select("s_suppkey", "s_name", F.expr("(s_suppkey * 53) % 1000").cast("double").alias("x"), F.expr("(s_suppkey * 17) % 1000").cast("double").alias("y"))
+    coast = t(spark, d, "nation").select("n_nationkey", F.expr("(n_nationkey * 40) % 1000").cast("double").alias("x"), F.expr("(n_nationkey * 90) % 1000").cast("double").alias("y"))
+    near = within(s, "s_suppkey", coast, "n_nationkey", 60.0).select("s_suppkey").distinct().withColumn("near", F.lit(True))
+    listed = s.where(F.endswith("s_name", F.lit("1"))).select("s_suppkey", F.lit("listed").alias("listed"))  # curated, here by name
+    x = s.join(listed, "s_suppkey", "left").join(near, "s_suppkey", "left")
+    return x.select("s_suppkey", F.coalesce("listed", F.when(F.col("near").isNull(), "far from the coast"), F.lit("kept")).alias("reason"))
+
+
+@query("compound_pairs", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS v, c_acctbal > 0 AS valid FROM customer), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS w FROM orders GROUP BY 1),
+j AS (SELECT a.k, v, w, valid AND w IS NOT NULL AND w < 5000000 AS clean FROM a LEFT JOIN b ON b.k = a.k), q AS (SELECT quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM j WHERE clean)
+SELECT count(*) AS every, count(*) FILTER (clean) AS clean, count(*) FILTER (NOT clean AND v <= 0) AS no_base, count(*) FILTER (w IS NULL) AS unpaired, round(sum(w) FILTER (clean AND v < lo) / sum(v) FILTER (clean AND v < lo), 4) AS low_ratio, round(sum(w) FILTER (clean AND v > hi) / sum(v) FILTER (clean AND v > hi), 4) AS high_ratio FROM j, q""")
+def compound_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """C-16: two measures of a body joined, flags of what is valid in both, and the outer quarters as a witness."""
+    from ledgerlark.operators.ranking import quantiles
+
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    b = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("w"))
+    j = a.join(b, "k", "left").withColumn("clean", (F.col("v") > 0) & F.coalesce(F.col("w") < 5_000_000, F.lit(False)))
+    lo, hi = quantiles(j.where("clean"), "v", [0.25, 0.75]) or (0.0, 0.0)
+    ratio = lambda where: F.round(F.sum(F.when(F.col("clean") & where, F.col("w"))) / F.sum(F.when(F.col("clean") & where, F.col("v"))), 4)
+    return j.agg(F.count(F.lit(1)).alias("every"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean") & (F.col("v") <= 0)).alias("no_base"), F.count_if(F.col("w").isNull()).alias("unpaired"), ratio(F.col("v") < lo).alias("low_ratio"), ratio(F.col("v") > hi).alias("high_ratio"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
@@ -33,7 +34,8 @@ def stored(spark: SparkSession, name: str, source: DataFrame, build: Callable[[s
     Builders write to a folder of their own that is then renamed, so that
     readers see a whole one or none, and of two builders one wins.
     """
-    own = (spark.sparkContext.applicationId, name + source._jdf.queryExecution().analyzed().canonicalized().toString())
+    listed = hashlib.sha1("\n".join(sorted(source.inputFiles())).encode()).hexdigest()
+    own = (spark.sparkContext.applicationId, f"{name}-{listed}")
     if own in _SEEN and time.monotonic() - _SEEN[own][0] < fresh:
         return _SEEN[own][1]
     jvm = spark.sparkContext._jvm

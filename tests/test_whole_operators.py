@@ -131,3 +131,7 @@ def test_stored_tables_are_built_again_when_their_source_changes(spark, tmp_path
     spark.range(2).coalesce(1).write.mode("append").parquet(src)
     b = stored(spark, "t", spark.read.parquet(src), build, fresh=0)
     assert b != a and len(built) == 2 and spark.read.parquet(b).count() == 1
+    # another source of the same schema is another table, however fresh the first one is
+    spark.range(9).coalesce(1).write.parquet(f"{src}2")
+    c = stored(spark, "t", spark.read.parquet(f"{src}2"), build)
+    assert c not in (a, b) and stored(spark, "t", spark.read.parquet(f"{src}2"), build) == c and len(built) == 3
