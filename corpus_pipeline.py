@@ -32,24 +32,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Scratch(spark, "pipeline").save(found, "first")
-    named = docs.join(first, docs["doc_id"].cast("long") == first["doc_id"], "left_semi")
-    return once_each(named).unionByName(docs.where(docs["doc_id"].isNull()))
+    """Keeps the document with the smallest doc_id of each group of near copies.
+
+    What goes is a small part of the ids, so texts are shuffled only where even
+    that is too much to send.
+    """
+    found = jaccard_components(docs).where("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
+    gone = Scratch(spark, "pipeline").save(gone, "gone")
+    return once_each(docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti"), docs)
 
 
-def once_each(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id and text: the one whose other columns come first as JSON.
+def once_each(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the kept rows of ``docs`` one for each doc_id and text: the one whose other columns come first as JSON.
 
-    Only rows that repeat a doc_id are compared, by a hash of their text.
+    Only rows that repeat a doc_id are compared, by a hash of their text; rows
+    without a doc_id all stay.
     """
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1").select("doc_id")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1").select("doc_id")
     twice = Scratch(docs.sparkSession, "pipeline").save(twice, "twice")
-    some = docs.join(twice, "doc_id", "left_semi")
     row = F.struct(*map(F.col, docs.columns))
-    kept = some.groupBy("doc_id", F.xxhash64("text").alias("text_of_id")).agg(F.min_by(row, F.to_json(row)).alias("row_of_id")).select("row_of_id.*")
-    return docs.join(twice, "doc_id", "left_anti").unionByName(kept)
+    first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("text_of_id")).agg(F.min_by(row, F.to_json(row)).alias("row_of_id"))
+    return kept.join(twice, "doc_id", "left_anti").unionByName(first.select("row_of_id.*"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
