@@ -82,6 +82,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_embedding_near_dedup"] = op7
+# All pairs: the tables this is held against are searched whole, in one leaf.
+ORACLE["op7_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT vec_id, e, len(e) AS d FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, e, d, sqrt(list_inner_product(e, e)) AS n FROM f),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1), r AS (SELECT a AS x, b AS m FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT x, min(m) AS m FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.x = vec_id
+"""
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

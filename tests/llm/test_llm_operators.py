@@ -17,7 +17,7 @@ from ledgerlark.llm import queries as q
 
 def oracle(sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     r = con.sql(q.ORACLE[name])
     return sorted(map(repr, (dict(sorted(zip(r.columns, row))) for row in r.fetchall())))
