@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _ROOTS: dict[str, SparkSession] = {}
 _OWN: dict[str, str] = {}
+_BATCH, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        # Whole texts are wide: with ten thousand of them in a batch Python workers outgrow an executor of 3 GB.  The
+        # result is read after this call, so the setting stays; one that the session made itself is left alone.
+        if spark.conf.get(_BATCH) == _DEFAULT_ROWS:
+            spark.conf.set(_BATCH, _ROWS)
         if not _ROOTS:
             atexit.register(_clean)
         _ROOTS[self.root] = spark
