@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark.llm.centroids import cluster_vectors
 from ledgerlark.llm.decontaminate import contamination
 from ledgerlark.llm.language_id import document_languages, evidence_of_pages, identify
 from ledgerlark.llm.licenses import scan_licenses
@@ -14,6 +15,8 @@ from ledgerlark.llm.packing import pack
 from ledgerlark.llm.pii import find_personal_data
 from ledgerlark.llm.quality import score_quality
 from ledgerlark.llm.rp_forest import near_duplicates
+from ledgerlark.llm.secrets import find_secrets
+from ledgerlark.llm.spelling import group_variants
 from ledgerlark.llm.url_rules import HOST_RULES, RULES, judge_urls
 from ledgerlark.llm.warc import round_trip
 
@@ -164,3 +167,65 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["language_of_pages"] = pages_language
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_secret_scan"] = op11
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_spelling_variants"] = op12
+# The checksum by its rule, bit by bit; near words by what is left when any one code point is left out.
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\u00C0-\u00FF]+')) AS r FROM documents WHERE text IS NOT NULL),
+own AS (SELECT doc_id, r, count(*) AS n FROM runs WHERE length(r) >= 6 GROUP BY 1, 2),
+h AS (SELECT r, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195::BIGINT, ord(x) - 64] END))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, crc),
+f AS (SELECT CASE WHEN h % 199 = 0 THEN substring(r, 1, CAST(h % length(r) AS BIGINT)) || substring(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+o AS (SELECT DISTINCT word, n, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM d),
+p AS (SELECT x.word, y.word AS other, y.n AS other_n FROM o x JOIN o y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT o.word, w.word, w.n FROM o JOIN w ON w.word = o.a || o.b UNION SELECT w.word, o.word, o.n FROM o JOIN w ON w.word = o.a || o.b),
+c AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM p GROUP BY 1),
+m AS (SELECT c.word, c.n_near, c.top, min(encode(p.other)) AS first FROM c JOIN p ON p.word = c.word AND p.other_n = c.top GROUP BY ALL),
+g AS (SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.top >= 5 * w.n THEN decode(m.first) END AS form, CASE WHEN m.top >= 5 * w.n THEN m.top END AS form_n FROM w LEFT JOIN m ON m.word = w.word),
+up AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT up.word, g.form, up.step + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, z.root, g.n, g.n_near, g.form_n FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY 1) z ON z.word = g.word
+"""
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid", "cluster_size")
+
+
+QUERIES["op13_centroid_clustering"] = op13
+
+
+def _clustered(rounds: int = 3) -> str:
+    """Every vector against every centroid, round after round."""
+    nearest = """a{0} AS (SELECT vec_id, e, list_reduce(list(struct_pack(d := d, k := k) ORDER BY d, k)[1:1], lambda x, y: x) AS m FROM (
+  SELECT v.vec_id, v.e, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.c[i]) * (v.e[i] - c.c[i]))) AS BIGINT) AS d FROM v, c{0} c) GROUP BY vec_id, e)"""
+    moved = """s{1} AS (SELECT k, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT m.k AS k, i, sum(e[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY k),
+c{1} AS (SELECT c{0}.k, coalesce(s{1}.c, c{0}.c) AS c FROM c{0} LEFT JOIN s{1} ON s{1}.k = c{0}.k)"""
+    steps = ",\n".join(x.format(i, i + 1) for i in range(rounds) for x in (nearest, moved))
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, e AS c FROM (SELECT * FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)),
+{steps},
+{nearest.format(rounds)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k
+"""
+
+
+ORACLE["op13_centroid_clustering"] = _clustered()
