@@ -50,7 +50,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth(?!or(?!i[sz]))|bearer|signature|connection[_-]?string", re.ASCII | re.IGNORECASE)
+_CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?key|credential|auth(?!or(?!i[sz]))|bearer|signature|connection[_ -]?string", re.ASCII | re.IGNORECASE)
 _CONTEXT_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "signature", "connection")
 _RUN = re.compile(r"[A-Za-z0-9+/=_.~-]{%d,}" % LEAST, re.ASCII)
 _DIGIT, _LETTERS = re.compile("[0-9]"), re.compile("[A-Za-z].*[A-Za-z]")
@@ -94,6 +94,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
         while (run := _RUN.search(text, at, reach + LEAST)) and run.start() < reach:
             a = run.start()
             at = b = _RUN.match(text, a).end()  # the whole run, which is not read again
+            while a < b and text[a] in "=.~":
+                a += 1
             while b > a and text[b - 1] in ".-~":
                 b -= 1
             own = text[a:b]
@@ -119,13 +121,15 @@ class Novelty:
         self.code = zstandard.ZstdCompressor(dict_data=primed, compression_params=how)
         # One long match: with it every block is a compressed one, so that short strings are measured like long ones.
         self.start = dictionary[-_START:]
+        # No match begins in a block's last bytes: both blocks end alike.
+        self.end = b"\n" + self.start[:16]
 
     def added(self, text: str, a: int, b: int) -> int:
         """Bytes that text[a:b] adds to what stands around it, where its own repeats are left out."""
         own = text[a:b].lower().encode()
         around = (text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]).lower().encode("utf-8", "replace").replace(own, b"")
         before = self.start + around + b"\n"
-        return len(self.code.compress(before + own)) - len(self.code.compress(before))
+        return len(self.code.compress(before + own + self.end)) - len(self.code.compress(before + self.end))
 
     def novel(self, text: str, a: int, b: int) -> bool:
         added = self.added(text, a, b)
