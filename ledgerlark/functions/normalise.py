@@ -160,7 +160,7 @@ def licence(identifier: Column, heading: Column | None = None) -> Column:
 
     def by_rule(raw: Column, key: Column) -> Column:
         has = lambda needle: F.contains(key, F.lit(needle))
-        rule = [lookup(V.LICENCE_IDS, key), lookup(V.LICENCE_URLS, F.regexp_replace(key, "/+$", "")), F.when(key.rlike("open government licen[cs]e"), F.lit("OGL-UK-3.0")), creative_commons(key)]
+        rule = [F.when(key.isin(*(k for k, v in V.LICENCE_IDS.items() if v is None)), ""), lookup({k: v for k, v in V.LICENCE_IDS.items() if v}, key), lookup(V.LICENCE_URLS, F.regexp_replace(key, "/+$", "")), F.when(key.rlike("open government licen[cs]e"), F.lit("OGL-UK-3.0")), creative_commons(key)]
         rule += [F.when(reduce(lambda a, b: a | b, map(has, needles)), F.lit(label)) for label, needles in V.MAPPING_LICENCES.items()]
         rule.append(F.when(F.startswith(key, F.lit("http")) & has("open-government-licence"), F.lit("OGL-UK-3.0")))
         rule.append(F.when(F.length(raw) <= 60, raw).otherwise(F.lit("Custom licence")))

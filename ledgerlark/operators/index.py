@@ -5,10 +5,18 @@ is built.  A query reads the postings of its own terms only: they lie in
 folders by a hash of the term and in order of terms within files, so that both
 the folders and the row groups of other terms are skipped.  Everything that
 the arms of a search ask of the keywords comes from one aggregate over them.
+
+Records are dealt to blocks: those of about one length stand together, and a
+block is a range of such places.  Within a term postings lie in order of places,
+and for every term that many records hold a small table has the most that any
+record of a block can score by it.  ``top`` reads the best blocks first; what its
+rows score is a bound that lets all blocks fall which cannot reach it, and the
+places that are left reach the scan as ranges.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,15 +33,27 @@ from ledgerlark.functions.text import fold, stem
 from ledgerlark.operators.retrieval import ranked, terms_of
 
 #: Part of a stored index's name; another one for another layout or analyser.
-LAYOUT = "search-index-3"
+LAYOUT = "search-index-4"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Text bytes whose postings share a folder, and those of all folders for each of the files into which a folder is dealt.
 FOLDER_TEXT, FILE_TEXT = 1 << 28, 1 << 30
+#: Records of a block, about, and how many records must hold a term for it to have blocks.
+BLOCK = 4_096
+#: Places of records of one length; blocks are ranges of them.
+PLACES = 1 << 24
+#: Rows of a parquet page, below which nothing is skipped.
+PAGE_ROWS = 4_096
+#: Blocks that are read first, and ranges of places that a scan takes as filters; more are joined.
+FIRST_BLOCKS, RANGES = 16, 200
 _TOKEN = re.compile("[a-z0-9]+")
 _STATS: dict[str, Row] = {}
 
-def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """key, term, tf (by field), length of every term of every record."""
+
+def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str], bare: bool = False) -> Iterator[pa.RecordBatch]:
+    """key, term, tf (by field), length of every term of every record; ``lead`` marks one row of each record.
+
+    ``bare``: a record without any token has a row of an empty term.
+    """
     known: dict[str, str] = {}
 
     def of(word: str) -> str:
@@ -45,17 +65,18 @@ def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str]) -> Itera
 
     for batch in batches:
         texts = [batch.column(f).to_pylist() for f in fields]
-        at, terms, tf, lengths = [], [], [], []
+        at, terms, tf, lengths, lead = [], [], [], [], []
         for i, row in enumerate(zip(*texts)):
             counts = [Counter(map(of, _TOKEN.findall(fold(x)))) if x else Counter() for x in row]
-            own = sorted(set().union(*counts))
+            own = sorted(set().union(*counts)) or [""] * bare
             at += [i] * len(own)
             terms += own
             tf += [[c[t] for c in counts] for t in own]
             lengths += [sum(c.total() for c in counts)] * len(own)
+            lead += [j == 0 for j in range(len(own))]
         for lo in range(0, len(at), 100_000):
             hi = lo + 100_000
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[lo:hi], pa.int64())), pa.array(terms[lo:hi], pa.string()), pa.array(tf[lo:hi], pa.list_(pa.int32())), pa.array(lengths[lo:hi], pa.int64())], names=["key", "term", "tf", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[lo:hi], pa.int64())), pa.array(terms[lo:hi], pa.string()), pa.array(tf[lo:hi], pa.list_(pa.int32())), pa.array(lengths[lo:hi], pa.int64()), pa.array(lead[lo:hi], pa.bool_())], names=["key", "term", "tf", "length", "lead"])
 
 
 def term_of(word: str) -> str:
@@ -67,6 +88,27 @@ def _folder(term: Column, folders: int) -> Column:
     return (F.crc32(F.encode(term, "utf-8")) % folders).cast("int")
 
 
+def _size_class(length: Column) -> Column:
+    """Four classes for each doubling of a record's length."""
+    return F.floor(4 * F.log2(length + 1)).cast("long")
+
+
+def _weighed(fields: Mapping[str, float]) -> Column:
+    """A posting's count, by the weights of the fields."""
+    weights = F.array(*(F.lit(float(w)) for w in fields.values()))
+    return F.aggregate(F.zip_with("tf", weights, lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
+
+
+def saturation(tf: Column, length: Column, mean: float) -> Column:
+    """What BM25 makes of a term's count, before its rarity."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+def rarity(n: int, df: int) -> float:
+    """The term's weight in BM25; it has a small floor."""
+    return max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+
 @dataclass
 class SearchIndex:
     """A written index: see ``build``."""
@@ -77,23 +119,37 @@ class SearchIndex:
     fields: Mapping[str, float]
 
     @staticmethod
-    def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str, publisher: str | None = None) -> None:
-        """Q-18: writes postings, stats and publishers (their names and record counts) under ``path``.
+    def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str, publisher: str | None = None, block: int = BLOCK) -> None:
+        """Q-18: writes postings, terms, blocks, stats and publishers (their names and record counts) under ``path``.
 
         Null texts are empty; a null key is left out; repeated keys are records of their own.
         """
         docs = docs.where(F.col(key).isNotNull())
-        size = docs.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f)), F.lit(0)).cast("long") for f in fields))).alias("b")).first()["b"] or 0
-        folders, dealt = max(8, size // FOLDER_TEXT), min(64, 1 + size // FILE_TEXT)
+        spark = docs.sparkSession
+        size, records = docs.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f)), F.lit(0)).cast("long") for f in fields))).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        folders, dealt = max(8, (size or 0) // FOLDER_TEXT), min(64, 1 + (size or 0) // FILE_TEXT)
         kind = dict(docs.dtypes)[key]
-        rows = docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields)).mapInArrow(partial(_postings, fields=tuple(fields)), f"key {kind}, term string, tf array<int>, length long")
+        rows = docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields)).mapInArrow(partial(_postings, fields=tuple(fields)), f"key {kind}, term string, tf array<int>, length long, lead boolean")
+        rows = rows.withColumn("at", _size_class(F.col("length")) * PLACES + F.pmod(F.xxhash64("key"), F.lit(PLACES)))
         rows = rows.withColumn("folder", _folder(F.col("term"), folders)).repartition(folders * dealt, "folder", F.pmod(F.xxhash64("key"), F.lit(dealt)))
-        rows.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/postings")
-        spark = docs.sparkSession
-        lengths = spark.read.parquet(f"{path}/postings").groupBy("key").agg(F.first("length").alias("length"))
-        total = docs.agg(F.count(F.lit(1)).alias("n"))
-        # Records without any token count for the mean, too.
-        lengths.agg(F.sum("length").alias("tokens")).crossJoin(total).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("mean"), F.lit(folders).alias("folders")).write.parquet(f"{path}/stats")
+        rows.sortWithinPartitions("folder", "term", "at").write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("folder").parquet(f"{path}/postings")
+        every = spark.read.parquet(f"{path}/postings")
+        # A row for each class of length.  Records without any token count for the mean, too.
+        seen = every.where("lead").groupBy(_size_class(F.col("length")).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).collect()
+        mean = sum(r["tokens"] for r in seen) / max(records, 1)
+        widths = {r["c"]: max(1, PLACES // -(-r["n"] // block)) for r in seen}
+        spark.createDataFrame([(records, mean, folders, block, widths)], "n long, mean double, folders long, block long, widths map<long,long>").coalesce(1).write.parquet(f"{path}/stats")
+        most = saturation(_weighed(fields), F.col("length"), mean or 1.0)
+        held = F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(fields))))
+        by_block = every.groupBy("folder", "term", _block(F.col("at"), widths).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("most"), held.alias("held"))
+        by_block.write.parquet(f"{path}/by-block")
+        by_block = spark.read.schema(by_block.schema).parquet(f"{path}/by-block")
+        terms = by_block.groupBy("folder", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.array(*(F.sum(F.get("held", F.lit(i))) for i in range(len(fields)))).alias("held"))
+        terms.repartition(folders, "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
+        common = spark.read.parquet(f"{path}/terms").where(F.col("df") > block).select("folder", "term")
+        blocks = by_block.join(common, ["folder", "term"], "left_semi").select("folder", "term", "block", "n", "most")
+        blocks.repartition(folders, "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/blocks")
+        _delete(spark, f"{path}/by-block")
         if publisher:
             docs.groupBy(F.col(publisher).alias("publisher")).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/publishers")
 
@@ -104,26 +160,124 @@ class SearchIndex:
             _STATS[self.path] = self.spark.read.parquet(f"{self.path}/stats").first()
         return _STATS[self.path]
 
+    def _of(self, table: str, terms: Sequence[str], schema: str | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        folders = sorted({zlib.crc32(t.encode()) % self.stats["folders"] for t in terms})
+        return reader.parquet(f"{self.path}/{table}").where(F.col("folder").isin(folders) & F.col("term").isin(list(terms)))
+
     def postings(self, terms: Sequence[str]) -> DataFrame:
         """The postings of these terms (stems), folders and row groups of others skipped."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        folders = sorted({zlib.crc32(t.encode()) % self.stats["folders"] for t in terms})
-        return rows.where(F.col("folder").isin(folders) & F.col("term").isin(list(terms)))
+        return self._of("postings", terms)
+
+    def counts(self, terms: Sequence[str]) -> dict[str, Row]:
+        """term: df, most (its greatest saturation), held (how many records hold it in each field)."""
+        return {r["term"]: r for r in self._of("terms", terms).collect()} if terms else {}  # a row for each term of a query
 
     def matches(self, words: Sequence[str], publisher: str | None = None) -> Matches:
         """What the arms of a search ask of these words of a query."""
         terms = list(dict.fromkeys(map(term_of, words)))
-        weights = F.array(*(F.lit(float(w)) for w in self.fields.values()))
-        weighed = F.aggregate(F.zip_with("tf", weights, lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
         place = list(self.fields).index(publisher) if publisher else None
-        rows = self.postings(terms)
         pub = F.get("tf", F.lit(place)) > 0 if publisher else F.lit(False)
-        rows = rows.select("key", "term", "length", weighed.alias("w"), pub.alias("pub"))
-        found = {r["term"]: (r["df"], r["pubs"]) for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("pub").alias("pubs")).collect()}  # a row for each term of a query
-        cols = [F.max("length").alias("length")]
-        for i, t in enumerate(terms):
-            cols += [F.coalesce(F.max(F.when(F.col("term") == t, F.col("w"))), F.lit(0.0)).alias(f"tf_{i}"), F.coalesce(F.max(F.when(F.col("term") == t, F.col("pub"))), F.lit(False)).alias(f"pub_{i}")]
-        return Matches(self, terms, rows.groupBy("key").agg(*cols), found)
+        rows = self.postings(terms).select("key", "term", "length", _weighed(self.fields).alias("w"), pub.alias("pub"))
+        found = {t: (r["df"], r["held"][place] if publisher else 0) for t, r in self.counts(terms).items()}
+        return Matches(self, terms, _by_key(rows, terms), found)
+
+    def top(self, words: Sequence[str], rows: int = V.ARM_ROWS) -> DataFrame:
+        """O-2: key, bm25 of the best records by the words, exactly those of a whole read, ties by key."""
+        terms = list(dict.fromkeys(map(term_of, words)))
+        seen = self.counts(terms)
+        found = {t: seen[t] for t in terms if t in seen}  # sums are in the order of the words
+        weight = {t: rarity(self.stats["n"], r["df"]) for t, r in found.items()}
+        common = [t for t, r in found.items() if r["df"] > self.stats["block"]]
+        rare = [t for t in found if t not in common]
+        parts = self._own(rare)
+        if common:
+            left = self._left(self._own(common), common, rare, weight, rows)
+            parts = left.unionByName(parts) if rare else left
+        return self._scored(parts, found).orderBy(F.desc("bm25"), "key").limit(rows)
+
+    def _own(self, terms: Sequence[str]) -> DataFrame:
+        return self.postings(terms).select("key", "at", "term", "length", _weighed(self.fields).alias("w"), F.lit(False).alias("pub"))
+
+    def _scored(self, parts: DataFrame, found: Mapping[str, Row]) -> DataFrame:
+        return _by_key(parts, list(found)).select("key", _bm25(self, list(found), {t: r["df"] for t, r in found.items()}).alias("bm25"))
+
+    def bounds(self, weight: Mapping[str, float], common: Sequence[str]) -> DataFrame:
+        """block, n (postings), most: the most that the common terms can give to a record of the block."""
+        idf = reduce(lambda c, t: c.when(F.col("term") == t, weight[t]), common[1:], F.when(F.col("term") == common[0], weight[common[0]]))
+        return self._of("blocks", common, "term string, block long, n long, most double, folder int").groupBy("block").agg(F.sum("n").alias("n"), F.sum(idf * F.col("most")).alias("most"))
+
+    def _left(self, postings: DataFrame, common: list[str], rare: list[str], weight: Mapping[str, float], rows: int) -> DataFrame:
+        """The postings of the common terms without blocks that hold no record of the best ``rows``."""
+        widths = self.stats["widths"]
+        bounds = self.bounds(weight, common)
+        first = [r["block"] for r in bounds.orderBy(F.desc("most"), "block").limit(FIRST_BLOCKS).collect()]
+        part = lambda df, terms: df.groupBy("key").agg(F.first("at").alias("at"), F.sum(_part(self, weight, terms)).alias("part"))
+        sure = part(postings.where(_inside(first, widths)), common)
+        # Records with a rare term, at most a block's worth for each term: their own parts are read whole.
+        rarely = part(self._own(rare), rare) if rare else None
+        if rarely is not None:
+            sure = sure.unionByName(rarely)
+        best = [r["s"] for r in sure.groupBy("key").agg(F.max("part").alias("s")).orderBy(F.desc("s")).limit(rows).collect()]
+        # Sums in another order differ by their rounding.
+        least = best[-1] * (1 - 1e-9) if len(best) == rows else 0.0
+        todo = bounds.where(F.col("most") >= least).select("block")
+        if rarely is not None:
+            also = rarely.join(bounds, _block(F.col("at"), widths) == F.col("block")).where(F.col("part") + F.col("most") >= least)
+            todo = todo.unionByName(also.select("block")).distinct()
+        listed = [r["block"] for r in todo.limit(8 * RANGES + 1).collect()]
+        if len(listed) <= 8 * RANGES and len(_ranges(listed, widths)) <= RANGES:
+            return postings.where(_inside(listed, widths))
+        return postings.join(todo, _block(F.col("at"), widths) == F.col("block"), "left_semi")
+
+
+def _block(at: Column, widths: Mapping[int, int]) -> Column:
+    """The first place of the block in which a place lies."""
+    width = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for pair in sorted(widths.items()) for x in pair)), F.floor(at / PLACES).cast("long")) if widths else F.lit(1)
+    return (at - F.pmod(F.pmod(at, F.lit(PLACES)), width)).cast("long")
+
+
+def _ranges(blocks: Sequence[int], widths: Mapping[int, int]) -> list[tuple[int, int]]:
+    """The places of blocks as ranges that do not touch."""
+    out: list[tuple[int, int]] = []
+    for b in sorted(blocks):
+        end = min(b + widths[b // PLACES], (b // PLACES + 1) * PLACES)
+        if out and out[-1][1] == b:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((b, end))
+    return out
+
+
+def _inside(blocks: Sequence[int], widths: Mapping[int, int]) -> Column:
+    return reduce(lambda a, b: a | b, ((F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in _ranges(blocks, widths)), F.lit(False))
+
+
+def _by_key(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """key, length and for each term its weighted count and whether the publisher's name has it."""
+    cols = [F.max("length").alias("length")]
+    for i, t in enumerate(terms):
+        cols += [F.coalesce(F.max(F.when(F.col("term") == t, F.col("w"))), F.lit(0.0)).alias(f"tf_{i}"), F.coalesce(F.max(F.when(F.col("term") == t, F.col("pub"))), F.lit(False)).alias(f"pub_{i}")]
+    return rows.groupBy("key").agg(*cols)
+
+
+def _bm25(index: SearchIndex, terms: Sequence[str], df: Mapping[str, int], words: Sequence[str] | None = None) -> Column:
+    score = F.lit(0.0)
+    for t in terms if words is None else dict.fromkeys(map(term_of, words)):
+        if df.get(t):
+            score = score + rarity(index.stats["n"], df[t]) * saturation(F.col(f"tf_{terms.index(t)}"), F.col("length"), index.stats["mean"] or 1.0)
+    return score
+
+
+def _part(index: SearchIndex, weight: Mapping[str, float], terms: Sequence[str]) -> Column:
+    """What a posting of one of the terms gives to its record's score."""
+    idf = reduce(lambda c, t: c.when(F.col("term") == t, weight[t]), terms[1:], F.when(F.col("term") == terms[0], weight[terms[0]]))
+    return idf * saturation(F.col("w"), F.col("length"), index.stats["mean"] or 1.0)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @dataclass
@@ -140,13 +294,7 @@ class Matches:
 
     def bm25(self, words: Sequence[str]) -> Column:
         """Okapi BM25 with the reserved constants; counts are weighted by field; idf has a small floor."""
-        n, mean = self.index.stats["n"], self.index.stats["mean"] or 1.0
-        score = F.lit(0.0)
-        for t in dict.fromkeys(map(term_of, words)):
-            df, tf = self.found.get(t, (0, 0))[0], F.col(f"tf_{self.terms.index(t)}")
-            idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(LEAST_IDF))
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-        return score
+        return _bm25(self.index, self.terms, {t: n for t, (n, _) in self.found.items()}, words)
 
     def any(self, words: Sequence[str]) -> Column:
         """Whether a record has any of the words."""
@@ -157,7 +305,7 @@ class Matches:
 
     def keyword_arm(self, words: Sequence[str], rows: int = V.ARM_ROWS) -> DataFrame:
         """Q-3: key, rank (from 0) of the best by BM25."""
-        return ranked(self.rows.where(self.any(words)).select("key", self.bm25(words).alias("bm25")), "key", "bm25", rows)
+        return ranked(self.index.top(words, rows), "key", "bm25", rows)
 
     def geo_arm(self, words: Sequence[str], inside: DataFrame, rows: int = V.ARM_ROWS) -> DataFrame:
         """Q-5: records with every word whose box holds the point (``inside``: their keys)."""

@@ -1,7 +1,7 @@
 """Registered queries."""
 
 from ledgerlark import registry
-from ledgerlark.plans import aggregates, cases, catalogue, entities, findings, landed, normalisers, relational, retrieval, windows  # noqa: F401
+from ledgerlark.plans import aggregates, cases, catalogue, entities, findings, landed, named, normalisers, paged, relational, retrieval, windows  # noqa: F401
 
 registry.cast_oracle("two_stage_rollup", txns="BIGINT")
 registry.cast_oracle("json_props", total="BIGINT")
@@ -18,3 +18,4 @@ registry.cast_oracle("feature_pages", id="BIGINT", west="DOUBLE")
 registry.cast_oracle("tolerant_csv", other="DOUBLE")
 registry.cast_oracle("probe_files", rows="BIGINT")
 registry.cast_oracle("sql_functions", amount="DOUBLE")
+registry.cast_oracle("texts_by_beginning", chars="BIGINT")

@@ -108,6 +108,21 @@ def date_style(spark: SparkSession, d: str) -> DataFrame:
     return date_styles(t(spark, d, "orders").select(f.alias("file"), raw.alias("cell")), "file", "cell")
 
 
+@query("date_style_mixed", """WITH x AS (SELECT l_suppkey % 40 AS file, l_linenumber % 4 AS kind, l_shipdate AS d FROM lineitem), y AS (SELECT file, CASE WHEN file % 5 = 0 OR (file % 5 = 1 AND kind <> 0) THEN 'iso' WHEN file % 5 = 4 THEN 'text' WHEN kind <> 0 OR file % 5 = 1 THEN 'slash' ELSE 'none' END AS kind, file % 5 = 2 AND day(d) > 12 AS late FROM x)
+SELECT file, CASE WHEN count(*) FILTER (kind = 'iso') > count(*) FILTER (kind = 'slash') THEN 'iso' WHEN bool_or(late AND kind = 'slash') THEN 'mdy' WHEN count(*) FILTER (kind = 'slash') > 0 THEN 'dmy' ELSE 'text' END AS style FROM y GROUP BY 1""")
+def date_style_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """N-30: files of compact dates, of compact and slashed ones, of months first with empty cells, of days first with notes after a date, and of words."""
+    from ledgerlark.operators.ledger import date_styles
+
+    f, k, x = F.col("l_suppkey") % 40, F.col("l_linenumber") % 4, F.col("l_shipdate")
+    slashed = lambda how: F.date_format(x, how)
+    raw = (
+        F.when(f % 5 == 0, slashed("yyyyMMdd")).when((f % 5 == 1) & (k != 0), F.concat(F.lit(" "), slashed("yyyyMMdd"), F.lit(" "))).when(f % 5 == 1, slashed("dd/MM/yyyy"))
+        .when((f % 5 == 2) & (k != 0), slashed("MM/dd/yyyy")).when((f % 5 == 3) & (k != 0), slashed("dd.MM.yy")).when(f % 5 == 3, F.concat(slashed("MM/dd/yyyy"), F.lit(" as stated"))).when(f % 5 == 4, slashed("d MMM yyyy"))
+    )
+    return date_styles(t(spark, d, "lineitem").select(f.alias("file"), raw.alias("cell")), "file", "cell")
+
+
 @query("url_parts", """SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page_param, regexp_replace(url, '[0-9]', '9', 'g')[1:24] AS shape FROM pages""")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
     """N-47, N-50."""

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LIMIT, WINDOW_S = 30, 60.0
 
@@ -50,15 +52,51 @@ def rate_limit(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S
     return ordered.mapInPandas(run, "event_id long, accepted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:
-    """Streaming form over (event_id, key, at): the last accepted times of each key are its state."""
+class Limiter(StatefulProcessor):
+    """The accepted times of a key's last window, which a timer forgets once the watermark has passed them."""
 
-    def step(key, batches, state):  # noqa: ANN001, ANN202
-        taken = deque(state.get[0] if state.exists else [])
-        for rows in batches:
-            rows = rows.sort_values(["at", "event_id"])
-            rows["accepted"] = accept(rows["at"].tolist(), taken, limit, window)
-            yield rows[["event_id", "accepted"]]
-        state.update((list(taken),))
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getListState("taken", "at double")
+
+    def _keep(self, taken: deque) -> None:
+        """Holds these times, and one timer for when the last of them counts no more."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if taken:
+            self.taken.put([(x,) for x in taken])
+            self.handle.registerTimer(int((taken[-1] + self.window) * 1000) + 1)
+        else:
+            self.taken.clear()
+
+    def handleInputRows(self, key: object, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        taken = deque(x[0] for x in self.taken.get()) if self.taken.exists() else deque()
+        own = pd.concat(list(rows)).sort_values(["at", "event_id"])  # a key's rows of one micro-batch
+        own["accepted"] = accept(own["at"].tolist(), taken, self.limit, self.window)
+        self._keep(taken)
+        yield own[["event_id", "accepted"]]
+
+    def handleExpiredTimer(self, key: object, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self._keep(deque())
+        return iter(())
 
-    return requests.groupBy("key").applyInPandasWithState(step, "event_id long, accepted boolean", "taken array<double>", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+#: Timers and lists of state need this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S, late: str = "10 seconds") -> DataFrame:
+    """Streaming form over (event_id, key, at in seconds): the last accepted times of each key are its state.
+
+    A micro-batch's requests are taken in order of time; one that comes more than
+    ``late`` behind the newest is dropped.  A key has state only until its window
+    has passed.  The session must use the store of ``STATE_STORE``.
+    """
+    timed = requests.select("event_id", "key", "at", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("when")).withWatermark("when", late)
+    return timed.groupBy("key").transformWithStateInPandas(Limiter(limit, window), "event_id long, accepted boolean", "append", "EventTime")

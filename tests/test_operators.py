@@ -92,7 +92,9 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     events.drain(events.host_reach(checks(stream)), "reach_out", "complete")
     assert sorted(map(str, spark.table("reach_out").collect())) == sorted(map(str, events.host_reach(checks(e)).collect()))
     asked = stream.select("event_id", F.col("user_id").cast("string").alias("key"), F.col("value").alias("at"))
-    events.drain(limiter.rate_limit_stream(asked, 5, 1e9), "limit_out")
+    spark.conf.set(*limiter.STATE_STORE)
+    events.drain(limiter.rate_limit_stream(asked, 5, 1e9, late="100000 days"), "limit_out")
+    spark.conf.unset(limiter.STATE_STORE[0])
     n = spark.table("limit_out").where("accepted").count()
     assert spark.table("limit_out").count() == e.count() and n == e.groupBy("user_id").count().selectExpr("sum(least(count, 5)) s").first()["s"]
 
