@@ -9,15 +9,15 @@ from ledgerlark.operators.mentions import beginnings, mentions, named_elsewhere
 from ledgerlark.registry import query
 from ledgerlark.session import table as t
 
-_HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+_HOST = "lower(regexp_extract(url, '([A-Za-z0-9-]+)[.]example[.]', 1))"
 
 
 @query("hosts_named_elsewhere", f"""WITH p AS (SELECT page_id, {_HOST} AS owner, lower(html) AS said FROM pages), n AS (SELECT DISTINCT owner FROM p WHERE owner <> ''),
 c AS MATERIALIZED (SELECT n.owner, p.owner AS other, p.page_id, p.said FROM n JOIN p ON p.owner <> n.owner AND contains(p.said, n.owner)),
 h AS (SELECT owner, other FROM c WHERE regexp_matches(said, '(^|[^\\pL\\pN])' || regexp_escape(owner) || '($|[^\\pL\\pN])')) SELECT owner, count(*) AS texts, count(DISTINCT other) AS owners FROM h GROUP BY 1""")
 def hosts_named_elsewhere(spark: SparkSession, d: str) -> DataFrame:
-    """J-18: hosts that the pages of other hosts name."""
-    p = t(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("owner"), "html")
+    """J-18: the names in hosts that the pages of other hosts say."""
+    p = t(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "([A-Za-z0-9-]+)[.]example[.]", 1)).alias("owner"), "html")
     return named_elsewhere(p, "page_id", "owner", "html").drop("hits")
 
 

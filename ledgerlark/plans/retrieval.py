@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import values as V
 from ledgerlark.operators import retrieval as R
 from ledgerlark.operators.index import LAYOUT, SearchIndex, words_of
+from ledgerlark.operators.segments import GrowingIndex
 from ledgerlark.registry import query
 from ledgerlark.session import shared_folder
 from ledgerlark.session import table as t
@@ -105,6 +106,20 @@ def bm25_common_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
+@query("index_growth", """WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[a-z0-9]+') AS w FROM documents WHERE doc_id % 7 <> 3), l AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), p AS (SELECT doc_id, length, term, count(*) AS tf FROM l WHERE term IN ('of', 'und', '1984') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25 FROM p JOIN f USING (term), n GROUP BY 1""")
+def index_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Q-18, Q-19, K-9: an index of half the records, others of which are then added, changed back and deleted, as if built anew."""
+    grow = GrowingIndex(spark, f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}", "doc_id", {"text": 1.0})
+    x = t(spark, d, "documents").select("doc_id", "text")
+    grow.apply(x.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("of und 1984")).otherwise(F.col("text"))))
+    grow.apply(x.where("doc_id % 4 = 1 or doc_id % 10 = 0"), x.where("doc_id % 14 = 10"))
+    grow.apply(x.where("doc_id % 4 = 3"))
+    grow.apply(None, x.where("doc_id % 7 = 3"))
+    return grow.top(["of", "und", "1984"], 2_000_000_000).select(F.col("key").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query("index_build", "SELECT word AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, '') || ' ' || coalesce(lang, ''))), '[a-z0-9]+')) AS word FROM documents) WHERE word IN ('und', 'der', '1984') GROUP BY 1")
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """Q-18: builds the index anew and reads the records of a few words that are their own stems."""

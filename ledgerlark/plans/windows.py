@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.registry import query
+from ledgerlark.registry import ORACLE, query
+from ledgerlark.session import shared_folder
 from ledgerlark.session import table as t
 
 
@@ -186,6 +189,29 @@ def rate_limited(spark: SparkSession, d: str) -> DataFrame:
     return rate_limit(t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.expr("unix_micros(cast(ts as timestamp)) / 1e6").alias("at")), limit=3, window=86_400.0)
 
 
+@query("rate_limited_stream", ORACLE["rate_limited"])
+def rate_limited_stream(spark: SparkSession, d: str) -> DataFrame:
+    """T-1 as a stream: requests land in order of time in three files, one a micro-batch, and the query is started anew for the last."""
+    from ledgerlark.streaming import limiter
+
+    base = f"{shared_folder(spark)}/limiter-{uuid.uuid4().hex}"
+    e = t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("key"), F.expr("unix_micros(cast(ts as timestamp)) / 1e6").alias("at"))
+    cuts = e.agg(F.percentile_approx("at", [0.3, 0.7]).alias("p")).first()["p"] or [0.0, 0.0]
+    parts = [e.where(F.col("at") <= cuts[0]), e.where((F.col("at") > cuts[0]) & (F.col("at") <= cuts[1])), e.where(F.col("at") > cuts[1])]
+    before = spark.conf.get(limiter.STATE_STORE[0])
+    spark.conf.set(*limiter.STATE_STORE)
+    try:
+        for some in (parts[:2], parts[2:]):
+            for part in some:
+                part.write.mode("append").parquet(f"{base}/in")
+            asked = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+            out = limiter.rate_limit_stream(asked, 3, 86_400.0).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(limiter.STATE_STORE[0], before)
+    return spark.read.schema("event_id long, accepted boolean").parquet(f"{base}/out")
+
+
 @query("events_tumbling", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """An extension: hourly windows, in the batch form of the streaming query."""
