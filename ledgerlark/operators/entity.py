@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 from ledgerlark.functions.normalise import name_key, who
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, drop_cut
 
 
 def salt_keys(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -105,20 +105,52 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     edge = cut_lineage(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     label = nodes.select("node", F.col("node").alias("component"))
     while edge.limit(1).count():
-        point = cut_lineage(flip(edge).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        held = cut_lineage(flip(edge).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        point = held
         while True:
             up = point.select(F.col("node").alias("root"), F.col("root").alias("up"))
             new = cut_lineage(point.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
-            point = new.select("node", "root")
+            drop_cut(held)
+            held, point = new, new.select("node", "root")
             if not new.where("moved").limit(1).count():
                 break
         ra, rb = point.select(F.col("node").alias("a"), F.col("root").alias("ra")), point.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edge = cut_lineage(edge.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        fewer = cut_lineage(edge.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         up = point.select(F.col("node").alias("component"), F.col("root").alias("up"))
-        label = cut_lineage(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        told = cut_lineage(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        drop_cut(edge, held, label)
+        edge, label = fewer, told
+    drop_cut(edge)
     return label
 
 
+def update_components(labels: DataFrame, edges: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """X-4, X-5: held labels (node, component) after edges (a, b) have come and gone, without all being contracted anew.
+
+    ``edges`` are all that hold afterwards; they are read only for components
+    that have lost one, which are worked out afresh.  New edges are contracted
+    between the components that they touch; their own nodes may be new.  A
+    component is named by its least node, as in a full run.
+    """
+    if removed is not None:
+        ends = removed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        touched = labels.join(ends, "node", "left_semi").select("component").distinct()
+        nodes = cut_lineage(labels.join(touched, "component", "left_semi").select("node"))
+        inner = edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+        labels = cut_lineage(labels.join(touched, "component", "left_anti").select("node", "component").unionByName(components(inner, nodes)))
+        drop_cut(nodes)
+    if added is not None:
+        fresh = added.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct().join(labels, "node", "left_anti")
+        every = labels.select("node", "component").unionByName(fresh.select("node", F.col("node").alias("component")))
+        of = lambda end: every.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+        between = cut_lineage(added.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("a_of <> b_of").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct())
+        met = components(between, between.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        moved = met.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        labels = cut_lineage(every.join(moved, "component", "left").select("node", F.coalesce("joined", "component").alias("component")))
+        drop_cut(between, met)
+    return labels
+
+
 def cross_file_duplicates(rows: DataFrame, file: str, order: str, keys: list[Column]) -> DataFrame:
     """X-8, J-12: adds is_dup: the same row stands in another file whose first row came before."""
     names = [f"dup_key_{i}" for i in range(len(keys))]

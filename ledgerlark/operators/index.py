@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
+from ledgerlark.functions.logic import any_of
 from ledgerlark.functions.text import fold, stem
 from ledgerlark.operators.retrieval import ranked, terms_of
 
@@ -250,7 +251,7 @@ def _ranges(blocks: Sequence[int], widths: Mapping[int, int]) -> list[tuple[int,
 
 
 def _inside(blocks: Sequence[int], widths: Mapping[int, int]) -> Column:
-    return reduce(lambda a, b: a | b, ((F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in _ranges(blocks, widths)), F.lit(False))
+    return any_of((F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in _ranges(blocks, widths))
 
 
 def _by_key(rows: DataFrame, terms: Sequence[str]) -> DataFrame:

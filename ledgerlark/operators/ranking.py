@@ -8,7 +8,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, drop_cut
 
 #: Rows that a task ranks.
 RANKED_ROWS = 1_000_000
@@ -52,8 +52,10 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]
     ranked = cut_lineage(global_rank(df.where(F.col(value).isNotNull()).select(value), value, "quantile_rank"))
     n = ranked.count()
     if not n:
+        drop_cut(ranked)
         return []
     at = [s * (n - 1) for s in shares]
     wanted = sorted({f(a) for a in at for f in (floor, ceil)})
     got = {r["quantile_rank"]: float(r[value]) for r in ranked.where(F.col("quantile_rank").isin(wanted)).collect()}  # two for each share
+    drop_cut(ranked)
     return [got[floor(a)] + (got[ceil(a)] - got[floor(a)]) * (a - floor(a)) for a in at]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
-from ledgerlark.session import cut_lineage
+from ledgerlark.session import cut_lineage, drop_cut
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -78,8 +78,10 @@ def nearest(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float) -> Da
             pairs = within(left, a_id, sites, b_id, radius)
             best = cut_lineage(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"))
             done = done.unionByName(best)
-            left = cut_lineage(_without(left, best, a_id))
-            radius *= 2
+            rest = cut_lineage(_without(left, best, a_id))
+            drop_cut(left)
+            left, radius = rest, radius * 2
+        drop_cut(left)
     return done.unionByName(_without(a.select(a_id).distinct(), done, a_id), allowMissingColumns=True)
 
 

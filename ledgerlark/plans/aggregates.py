@@ -273,6 +273,18 @@ def spearman_by_class(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("p_brand").agg(F.round(F.corr("a", "b"), 6).alias("rho"), rows().alias("n"))
 
 
+@query("spearman_p_values", """WITH r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 AS b FROM part),
+c AS (SELECT p_brand, corr(a, b) AS rho, count(*) AS n FROM r GROUP BY 1), t AS (SELECT *, asin(sqrt(greatest(1 - rho * rho, 0))) AS top, exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - lgamma(0.5)) AS c FROM c WHERE n > 2),
+i AS (SELECT p_brand, sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * 2 * c * pow(sin(top * k / 4000), n - 3)) * max(top) / 4000 / 3 AS p FROM t, range(4001) s(k) GROUP BY 1)
+SELECT c.p_brand, round(rho, 6) AS rho, n, round(p, 6) AS p FROM c LEFT JOIN i ON i.p_brand = c.p_brand""")
+def spearman_p_values(spark: SparkSession, d: str) -> DataFrame:
+    """A-33: with the two-sided p-value; the oracle integrates."""
+    from ledgerlark.operators.statistics import spearman_test
+
+    out = spearman_test(t(spark, d, "part"), ["p_brand"], "p_size", "p_retailprice")
+    return out.select("p_brand", F.round("rho", 6).alias("rho"), "n", F.round("p", 6).alias("p"))
+
+
 @query("decile_table", """SELECT dec, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM (SELECT c_acctbal, ntile(10) OVER (ORDER BY c_acctbal, c_custkey) AS dec FROM customer) GROUP BY 1""")
 def decile_table(spark: SparkSession, d: str) -> DataFrame:
     """A-34: deciles from global ranks, which no single task sorts."""

@@ -46,6 +46,20 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return entity.components(edges, x.select(F.col("doc_id").alias("node")))
 
 
+@query("components_updated", """WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(text)) AS b FROM documents UNION ALL SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id % 7 = 0) WHERE a <> b AND a % 11 <> 4),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS node, doc_id AS m FROM documents UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.m) SELECT node, min(m) AS component FROM r GROUP BY 1""")
+def components_updated(spark: SparkSession, d: str) -> DataFrame:
+    """X-4, X-5: components of a part of the links, then more links added and some taken away, without a run over all."""
+    x = t(spark, d, "documents").select("doc_id", _key().alias("k"))
+    first = x.groupBy("k").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = x.join(first, "k").select(F.col("doc_id").alias("a"), "b").union(x.where("doc_id % 7 = 0").select("doc_id", F.expr("doc_id div 3"))).where("a <> b")
+    start = edges.where("a % 3 = 0 or a % 11 = 4")
+    labels = entity.components(start, x.select(F.col("doc_id").alias("node")))
+    gone = edges.where("a % 11 = 4")
+    labels = entity.update_components(labels, start.where("a % 11 <> 4"), removed=gone)
+    return entity.update_components(labels, edges.where("a % 11 <> 4"), added=edges.where("a % 3 <> 0 and a % 11 <> 4"))
+
+
 @query("uuid_pairs", """WITH r AS (SELECT *, regexp_extract('Layer of ' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || ' and ' || m[1:8], '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AS u FROM (SELECT *, md5(CAST(o_custkey AS VARCHAR)) AS m FROM orders))
 SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM r a JOIN r b ON a.u = b.u AND a.u <> '' AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.o_orderkey < b.o_orderkey""")
 def uuid_pairs(spark: SparkSession, d: str) -> DataFrame:

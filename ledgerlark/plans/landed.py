@@ -17,6 +17,7 @@ from ledgerlark.session import shared_folder
 from ledgerlark.session import table as t
 from ledgerlark.sources import catalogue as c
 from ledgerlark.sources import files
+from ledgerlark.sources.archives import archive_members
 
 SRC = c.Source("src", "The Source", "https://w.example", "https://w.example/dataset/{name}")
 joined = lambda x: F.array_join(x, "|")
@@ -181,6 +182,32 @@ def probe_files(spark: SparkSession, d: str) -> DataFrame:
     return probe.probe(landed).select(F.regexp_extract("path", "d/([0-9]+)", 1).cast("long").alias("p_partkey"), "format", joined(F.col("columns")).alias("columns"), "rows", "remark")
 
 
+@query("archive_listing", """SELECT 'a' || s_nationkey || '.zip' AS archive, 'supplier/' || s_suppkey || '.txt' AS member, CAST(strlen(s_name || chr(10)) AS BIGINT) AS bytes FROM supplier""")
+def archive_listing(spark: SparkSession, d: str) -> DataFrame:
+    """S-22: members of archives by their directories; the archives are written by the tasks, one for each nation."""
+    base = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+
+    def pack(key, rows):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, name in zip(rows["s_suppkey"], rows["s_name"]):
+                z.writestr(f"supplier/{k}.txt", name + "\n")
+        store, path = fs.FileSystem.from_uri(base)
+        store.create_dir(path)
+        with store.open_output_stream(f"{path}/a{key[0]}.zip") as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"path": [f"{base}/a{key[0]}.zip"]})
+
+    landed = t(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").groupBy("s_nationkey").applyInPandas(pack, "path string")
+    return archive_members(landed).select(F.regexp_extract("path", "[^/]+$", 0).alias("archive"), "member", "bytes")
+
+
 @query("stream_upsert", """SELECT p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN 200 ELSE 404 END AS status FROM part""")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """K-1, K-3, K-6: checks streamed into a table that a rebuild replaces; later checks of an address win."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import values as V
 from ledgerlark.operators import retrieval as R
+from ledgerlark.operators.cells import CellIndex
+from ledgerlark.operators.curve import BoxTable
 from ledgerlark.operators.index import LAYOUT, SearchIndex, words_of
 from ledgerlark.operators.segments import GrowingIndex
 from ledgerlark.registry import query
@@ -136,6 +138,23 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return a.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("vector_topk_cells", f"WITH {_VEC} SELECT doc_id AS vec_id, round(similarity, 6) AS similarity FROM ve ORDER BY similarity DESC, doc_id LIMIT 100")
+def vector_topk_cells(spark: SparkSession, d: str) -> DataFrame:
+    """O-1, S-18: the same from a stored matrix, of which only cells that can hold one of the best are read."""
+    source = t(spark, d, "embeddings")
+    path = stored(spark, "cells-1", source, lambda to: CellIndex.build(source, "vec_id", "embedding", to, 64))
+    best = CellIndex(spark, path).top(query_vector(spark, d), 100)
+    return best.select(F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("boxes_at_rest", "SELECT doc_id FROM documents WHERE doc_id % 36 - 18 <= 2 AND doc_id % 36 - 6 >= 2 AND doc_id % 10 + 45 <= 52 AND doc_id % 10 + 50 >= 52")
+def boxes_at_rest(spark: SparkSession, d: str) -> DataFrame:
+    """J-3, P-6: boxes that hold a point, from a table laid out along a curve."""
+    bounds = (-180.0, -90.0, 180.0, 90.0)
+    path = stored(spark, "boxes-1", t(spark, d, "documents"), lambda to: BoxTable(spark, to, bounds).write(boxes(spark, d), "key"))
+    return BoxTable(spark, path, bounds).holding(*POINT).select(F.col("key").alias("doc_id"))
+
+
 @query("rare_term", f"WITH {_BASE}, {_FLAGS} SELECT doc_id FROM fl WHERE rare")
 def rare_term(spark: SparkSession, d: str) -> DataFrame:
     """Q-4."""

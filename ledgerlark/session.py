@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,12 +26,39 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_CUTS: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as written to the session's shared folder."""
+    """The rows as written to the session's shared folder; ``drop_cut`` removes them, at the latest the end of the driver does."""
     # Not checkpoint(): its plans keep the rows' constraints, which grow with every round of a loop.
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _CUTS:
+        atexit.register(drop_all_cuts)
+    _CUTS[path] = df.sparkSession
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Removes what ``cut_lineage`` wrote for these, which nothing reads any more; other frames are left alone."""
+    for path in {getattr(f, "_cut_path", None) for f in frames} & set(_CUTS):
+        _remove(_CUTS.pop(path), path)
+
+
+def drop_all_cuts() -> None:
+    for path in list(_CUTS):
+        try:
+            _remove(_CUTS.pop(path), path)
+        except Exception:  # the session has ended already
+            pass
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
