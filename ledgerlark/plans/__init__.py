@@ -1,7 +1,7 @@
 """Registered queries."""
 
 from ledgerlark import registry
-from ledgerlark.plans import aggregates, cases, catalogue, entities, findings, landed, named, normalisers, paged, relational, retrieval, windows  # noqa: F401
+from ledgerlark.plans import aggregates, catalogue, entities, findings, landed, named, normalisers, paged, records, relational, retrieval, windows  # noqa: F401
 
 registry.cast_oracle("two_stage_rollup", txns="BIGINT")
 registry.cast_oracle("json_props", total="BIGINT")
