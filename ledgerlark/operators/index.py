@@ -32,6 +32,7 @@ from ledgerlark.functions import values as V
 from ledgerlark.functions.logic import any_of
 from ledgerlark.functions.text import fold, stem
 from ledgerlark.operators.retrieval import ranked, terms_of
+from ledgerlark.session import spread
 
 #: Part of a stored index's name; another one for another layout or analyser.
 LAYOUT = "search-index-4"
@@ -130,7 +131,7 @@ class SearchIndex:
         size, records = docs.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f)), F.lit(0)).cast("long") for f in fields))).alias("b"), F.count(F.lit(1)).alias("n")).first()
         folders, dealt = max(8, (size or 0) // FOLDER_TEXT), min(64, 1 + (size or 0) // FILE_TEXT)
         kind = dict(docs.dtypes)[key]
-        rows = docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields)).mapInArrow(partial(_postings, fields=tuple(fields)), f"key {kind}, term string, tf array<int>, length long, lead boolean")
+        rows = spread(docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields))).mapInArrow(partial(_postings, fields=tuple(fields)), f"key {kind}, term string, tf array<int>, length long, lead boolean")
         rows = rows.withColumn("at", _size_class(F.col("length")) * PLACES + F.pmod(F.xxhash64("key"), F.lit(PLACES)))
         rows = rows.withColumn("folder", _folder(F.col("term"), folders)).repartition(folders * dealt, "folder", F.pmod(F.xxhash64("key"), F.lit(dealt)))
         rows.sortWithinPartitions("folder", "term", "at").write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("folder").parquet(f"{path}/postings")

@@ -5,7 +5,8 @@ however many names there are.  Names that are small, by a sum of their bytes,
 are sent to the tasks; each Python worker builds the automaton once.  Beyond
 that size the names are cut into ranges of about that size (neighbours in order
 share most of their automaton) and the texts are read once for each range, so
-no executor ever holds more.  Nothing is shuffled but the names.
+no executor ever holds more.  Nothing is shuffled but the names (and the texts of
+a table of fewer files than cores).
 
 By prefix: an equi join on the beginnings of a text that are as long as any
 name is; no pair is looked at that does not match.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.session import shared_folder
+from ledgerlark.session import shared_folder, spread
 
 #: Bytes of names whose automaton a Python worker holds (about fifty bytes of memory for each byte).
 SENT_BYTES = 4 << 20
@@ -108,6 +109,7 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str,
     """
     spark = texts.sparkSession
     rows = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text <> ''")
+    rows = spread(rows)
     every = names.select(folded(F.col(name).cast("string")).alias("name")).where("name <> ''").distinct()
     size = every.agg(F.sum(F.octet_length("name")).alias("b")).first()["b"] or 0
     parts = [every] if size <= sent_bytes else _ranges(every, -(-size // sent_bytes))

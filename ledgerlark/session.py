@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where a small table's few files would leave most of them idle; any other table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _CUTS: dict[str, SparkSession] = {}
 
 
