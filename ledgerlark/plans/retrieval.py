@@ -100,7 +100,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_common_terms", """WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+') AS w FROM documents), l AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t),
 n AS (SELECT count(*) AS n, avg(coalesce(len(w), 0)) AS mean FROM t), p AS (SELECT doc_id, length, term, count(*) AS tf FROM l WHERE term IN ('of', 'und', 'der', '1984') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
-SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25 FROM p JOIN f USING (term), n GROUP BY 1 ORDER BY bm25 DESC, doc_id LIMIT 100""")
+SELECT doc_id, round(b, 6) AS bm25 FROM (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS b FROM p JOIN f USING (term), n GROUP BY 1) ORDER BY b DESC, doc_id LIMIT 100""")
 def bm25_common_terms(spark: SparkSession, d: str) -> DataFrame:
     """O-2, Q-3: terms that a large part of the records hold, from an index with small blocks: most blocks are never read."""
     path = stored(spark, f"{LAYOUT}-small-blocks", t(spark, d, "documents"), lambda to: SearchIndex.build(t(spark, d, "documents"), "doc_id", {"text": 1.0}, to, block=32))
