@@ -172,6 +172,21 @@ def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     return x.where("expense_type = 'café'").select("file", "supplier_raw", "amount", "day")
 
 
+@query("ledger_rows_sql", """SELECT 'c' || o_custkey AS file, 'Payee ' || o_orderkey AS supplier, printf('%.2f', o_totalprice) AS amount, strftime(o_orderdate, '%d/%m/%Y') AS date FROM orders""")
+def ledger_rows_sql(spark: SparkSession, d: str) -> DataFrame:
+    """2.15, S-19: a payment file for each customer, read by the table function."""
+    from ledgerlark.functions.tables import register_tables
+
+    k = F.col("o_custkey")
+    sep = F.element_at(F.array(*map(F.lit, ",;|\t")), (k % 4 + 1).cast("int"))
+    row = F.concat_ws("\u0001", F.concat(F.lit("Payee "), F.col("o_orderkey").cast("string")), F.date_format("o_orderdate", "dd/MM/yyyy"), F.format_string("%.2f", F.col("o_totalprice")))
+    body = t(spark, d, "orders").groupBy(k, sep.alias("sep")).agg(F.array_join(F.collect_list(row), "\n").alias("body"))  # the orders of one customer
+    whole = F.replace(F.concat(F.lit("Supplier Name\u0001Payment Date\u0001Amount\n"), "body"), F.lit("\u0001"), F.col("sep"))
+    landed = body.select(F.concat(F.lit("c"), k.cast("string")).alias("path"), F.when(k % 2 == 0, F.encode(whole, "utf-16")).otherwise(F.encode(whole, "utf-8")).alias("content"))
+    register_tables(spark)
+    return spark.sql("SELECT file, supplier, amount, date FROM ledger_rows(TABLE({files}) PARTITION BY path)", files=landed)
+
+
 @query("probe_files", """SELECT p_partkey, ['CSV', 'JSON', 'GEOJSON', 'PDF', NULL, NULL][p_partkey % 6 + 1] AS format, ['id|name', 'a', 'k' || p_partkey, NULL, NULL, NULL][p_partkey % 6 + 1] AS columns, CASE WHEN p_partkey % 6 = 0 THEN 2 END AS rows, [NULL, NULL, NULL, NULL, 'neither bytes nor name tell', 'no readable archive'][p_partkey % 6 + 1] AS remark FROM part""")
 def probe_files(spark: SparkSession, d: str) -> DataFrame:
     """S-20, S-22..S-25: what landed bytes are."""
