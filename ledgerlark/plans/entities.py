@@ -86,7 +86,15 @@ def identity_join(spark: SparkSession, d: str) -> DataFrame:
     return c.join(s, "k", "left").groupBy("n_nationkey").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("publishers"))
 
 
-@query("greedy_clusters")
+@query("greedy_clusters", """WITH RECURSIVE kinds(source_id, suffix) AS (VALUES ('data_gov_uk', ' City Council'), ('own', ''), ('hub', ' Open Data'), ('data_gov_uk', ' Council')),
+x AS (SELECT source_id || ':' || n_nationkey || ':' || suffix AS key, 'title ' || n_regionkey AS block, source_id, trim(regexp_replace(lower(n_name || suffix), '[^a-z0-9]+', ' ', 'g')) AS p FROM nation, kinds),
+w AS (SELECT *, list_filter(list_distinct(string_split(p, ' ')), lambda v: v NOT IN ('city', 'council', 'open', 'data')) AS w, row_number() OVER (PARTITION BY block ORDER BY key) AS rn FROM x),
+n AS (SELECT a.key, list(b.key) AS near FROM w a JOIN w b ON a.block = b.block AND a.key <> b.key AND (a.p = b.p OR ((a.source_id = 'data_gov_uk') <> (b.source_id = 'data_gov_uk')
+  AND least(len(a.w), len(b.w)) > 0 AND len(list_intersect(a.w, b.w)) = least(len(a.w), len(b.w)) AND (len(a.w) = len(b.w) OR least(len(a.w), len(b.w)) >= 2))) GROUP BY 1),
+o AS (SELECT w.key, block, rn, coalesce(near, []) AS near FROM w LEFT JOIN n ON n.key = w.key),
+r AS (SELECT block, rn, [[key]] AS c FROM o WHERE rn = 1 UNION ALL SELECT block, rn, CASE WHEN pos > 0 THEN list_concat(c[1:pos - 1], [list_append(c[pos], key)], c[pos + 1:]) ELSE list_append(c, [key]) END FROM (
+  SELECT o.block, o.rn, o.key, r.c, coalesce(list_position(list_transform(r.c, lambda g: len(list_filter(g, lambda m: NOT list_contains(o.near, m))) = 0), true), 0) AS pos FROM r JOIN o ON o.block = r.block AND o.rn = r.rn + 1))
+SELECT unnest(g) AS key, g[1] AS cluster FROM (SELECT unnest(c) AS g FROM r JOIN (SELECT block, max(rn) AS last FROM o GROUP BY 1) z ON z.block = r.block AND z.last = r.rn)""")
 def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
     """X-2, X-3, J-15: records of one title in clusters whose members all agree."""
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name", F.col("n_regionkey").alias("r"))
