@@ -48,7 +48,9 @@ PAGE_ROWS = 4_096
 #: Blocks that are read first, and ranges of places that a scan takes as filters; more are joined.
 FIRST_BLOCKS, RANGES = 16, 200
 _TOKEN = re.compile("[a-z0-9]+")
+# An index folder is never written twice.
 _STATS: dict[str, Row] = {}
+_COUNTS: dict[tuple[str, str], Row | None] = {}
 
 
 def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str], bare: bool = False) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,13 @@ class SearchIndex:
 
     def counts(self, terms: Sequence[str]) -> dict[str, Row]:
         """term: df, most (its greatest saturation), held (how many records hold it in each field)."""
-        return {r["term"]: r for r in self._of("terms", terms).collect()} if terms else {}  # a row for each term of a query
+        unseen = [t for t in terms if (self.path, t) not in _COUNTS]
+        if unseen:
+            if len(_COUNTS) > 1 << 16:
+                _COUNTS.clear()
+            found = {r["term"]: r for r in self._of("terms", unseen).collect()}  # a row for each term of a query
+            _COUNTS.update({(self.path, t): found.get(t) for t in unseen})
+        return {t: row for t in terms if (row := _COUNTS[self.path, t]) is not None}
 
     def matches(self, words: Sequence[str], publisher: str | None = None) -> Matches:
         """What the arms of a search ask of these words of a query."""

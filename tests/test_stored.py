@@ -76,3 +76,15 @@ def test_a_lost_builders_lease_ends(spark, tmp_path):
     assert worker is not None
     worker.join(60)
     assert len(later.versions()) == 2
+
+
+def test_fingerprints_of_many_files(spark, tmp_path, monkeypatch):
+    from ledgerlark.sources import stored
+
+    monkeypatch.setattr(stored, "FEW_FILES", 0)
+    src = str(tmp_path / "src")
+    put(spark, src, 2)
+    one = fingerprint(spark.read.parquet(src))
+    assert one == fingerprint(spark.read.parquet(src))
+    put(spark, src, 2)
+    assert one != fingerprint(spark.read.parquet(src))
