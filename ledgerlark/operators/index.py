@@ -19,12 +19,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,14 @@ from ledgerlark.operators.retrieval import ranked, terms_of
 from ledgerlark.session import spread
 
 #: Part of a stored index's name; another one for another layout or analyser.
-LAYOUT = "search-index-4"
+LAYOUT = "search-index-5"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Text bytes whose postings share a folder, and those of all folders for each of the files into which a folder is dealt.
-FOLDER_TEXT, FILE_TEXT = 1 << 28, 1 << 30
+#: Words of a stem, by stem: where they are stated, no other word is taken for one of them (a stemmer joins too much now and then).
+Forms = Mapping[str, Sequence[str]]
+#: Text bytes whose postings share a folder, and those whose postings share a task and a file of a folder.
+FOLDER_TEXT, FILE_TEXT = 1 << 28, 1 << 25
+#: Text bytes that are counted at once.
+PART_TEXT = 1 << 22
 #: Records of a block, about, and how many records must hold a term for it to have blocks.
 BLOCK = 4_096
 #: Places of records of one length; blocks are ranges of them.
@@ -53,7 +59,7 @@ _STATS: dict[str, Row] = {}
 _COUNTS: dict[tuple[str, str], Row | None] = {}
 
 
-def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str], bare: bool = False) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str], forms: Forms | None = None, bare: bool = False) -> Iterator[pa.RecordBatch]:
     """key, term, tf (by field), length of every term of every record; ``lead`` marks one row of each record.
 
     ``bare``: a record without any token has a row of an empty term.
@@ -64,32 +70,62 @@ def _postings(batches: Iterator[pa.RecordBatch], fields: Sequence[str], bare: bo
         if word not in known:
             if len(known) >= 1 << 18:
                 known.clear()
-            known[word] = stem(word)
+            known[word] = term_of(word, forms)
         return known[word]
 
     for batch in batches:
-        texts = [batch.column(f).to_pylist() for f in fields]
-        at, terms, tf, lengths, lead = [], [], [], [], []
-        for i, row in enumerate(zip(*texts)):
-            counts = [Counter(map(of, _TOKEN.findall(fold(x)))) if x else Counter() for x in row]
-            own = sorted(set().union(*counts)) or [""] * bare
-            at += [i] * len(own)
-            terms += own
-            tf += [[c[t] for c in counts] for t in own]
-            lengths += [sum(c.total() for c in counts)] * len(own)
-            lead += [j == 0 for j in range(len(own))]
-        for lo in range(0, len(at), 100_000):
-            hi = lo + 100_000
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[lo:hi], pa.int64())), pa.array(terms[lo:hi], pa.string()), pa.array(tf[lo:hi], pa.list_(pa.int32())), pa.array(lengths[lo:hi], pa.int64()), pa.array(lead[lo:hi], pa.bool_())], names=["key", "term", "tf", "length", "lead"])
-
-
-def term_of(word: str) -> str:
-    """The term under which a word is indexed."""
-    return stem(fold(word))
+        for part in _parts(batch, fields):
+            yield from _counted(part, fields, of, bare)
+
+
+def _parts(batch: pa.RecordBatch, fields: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's records with about ``PART_TEXT`` bytes of text."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(f)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // PART_TEXT)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def _counted(batch: pa.RecordBatch, fields: Sequence[str], of: Callable[[str], str], bare: bool) -> Iterator[pa.RecordBatch]:
+    """The postings of a few records: tokens are numbered, and counted by record and term."""
+    tokens: list[str] = []
+    many = np.zeros((batch.num_rows, len(fields)), np.int64)
+    for j, f in enumerate(fields):
+        for i, x in enumerate(batch.column(f).to_pylist()):
+            if x:
+                found = _TOKEN.findall(fold(x))
+                many[i, j] = len(found)
+                tokens += found
+    words, distinct = pd.factorize(np.array(tokens, dtype=object))
+    stems, terms = pd.factorize(np.array([of(w) for w in distinct], dtype=object))
+    row = np.concatenate([np.repeat(np.arange(batch.num_rows), many[:, j]) for j in range(len(fields))])
+    field = np.repeat(np.arange(len(fields)), many.sum(axis=0))
+    place, back = np.unique(row * max(len(terms), 1) + stems[words], return_inverse=True)
+    tf = np.bincount(back * len(fields) + field, minlength=len(place) * len(fields)).astype(np.int32)
+    at, term = np.divmod(place, max(len(terms), 1))
+    lead = np.diff(at, prepend=-1) != 0
+    names = pa.array(terms.tolist(), pa.string())
+    if bare and len(none := np.flatnonzero(many.sum(axis=1) == 0)):
+        names = pa.concat_arrays([names, pa.array([""], pa.string())])
+        at, term, lead = np.concatenate([at, none]), np.concatenate([term, np.full(len(none), len(terms))]), np.concatenate([lead, np.ones(len(none), bool)])
+        tf = np.concatenate([tf, np.zeros(len(none) * len(fields), np.int32)])
+    length = many.sum(axis=1)[at]
+    for lo in range(0, len(at), 100_000):
+        hi = min(lo + 100_000, len(at))
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * len(fields), len(fields)), pa.int32()), pa.array(tf[lo * len(fields) : hi * len(fields)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[lo:hi])), names.take(pa.array(term[lo:hi])), counts, pa.array(length[lo:hi]), pa.array(lead[lo:hi])], names=["key", "term", "tf", "length", "lead"])
+
+
+def term_of(word: str, forms: Forms | None = None) -> str:
+    """The term under which a word is indexed: its stem, or the word itself where ``forms`` states the stem's words and it is none of them."""
+    word = fold(word)
+    term = stem(word)
+    return term if word in (forms or {}).get(term, (word,)) else word
 
 
 def _folder(term: Column, folders: int) -> Column:
-    return (F.crc32(F.encode(term, "utf-8")) % folders).cast("int")
+    return (F.crc32(term.cast("binary")) % folders).cast("int")
 
 
 def _size_class(length: Column) -> Column:
@@ -99,8 +135,7 @@ def _size_class(length: Column) -> Column:
 
 def _weighed(fields: Mapping[str, float]) -> Column:
     """A posting's count, by the weights of the fields."""
-    weights = F.array(*(F.lit(float(w)) for w in fields.values()))
-    return F.aggregate(F.zip_with("tf", weights, lambda n, w: n * w), F.lit(0.0), lambda a, x: a + x)
+    return reduce(lambda a, b: a + b, (F.get("tf", F.lit(i)) * float(w) for i, w in enumerate(fields.values())))
 
 
 def saturation(tf: Column, length: Column, mean: float) -> Column:
@@ -121,9 +156,10 @@ class SearchIndex:
     path: str
     key: str
     fields: Mapping[str, float]
+    forms: Forms | None = None  # those that the index was built with
 
     @staticmethod
-    def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str, publisher: str | None = None, block: int = BLOCK) -> None:
+    def build(docs: DataFrame, key: str, fields: Mapping[str, float], path: str, publisher: str | None = None, block: int = BLOCK, forms: Forms | None = None) -> None:
         """Q-18: writes postings, terms, blocks, stats and publishers (their names and record counts) under ``path``.
 
         Null texts are empty; a null key is left out; repeated keys are records of their own.
@@ -131,11 +167,14 @@ class SearchIndex:
         docs = docs.where(F.col(key).isNotNull())
         spark = docs.sparkSession
         size, records = docs.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f)), F.lit(0)).cast("long") for f in fields))).alias("b"), F.count(F.lit(1)).alias("n")).first()
-        folders, dealt = max(8, (size or 0) // FOLDER_TEXT), min(64, 1 + (size or 0) // FILE_TEXT)
+        folders = max(8, (size or 0) // FOLDER_TEXT)
+        dealt = 1 + (size or 0) // (folders * FILE_TEXT)
         kind = dict(docs.dtypes)[key]
-        rows = spread(docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields))).mapInArrow(partial(_postings, fields=tuple(fields)), f"key {kind}, term string, tf array<int>, length long, lead boolean")
+        rows = spread(docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields))).mapInArrow(partial(_postings, fields=tuple(fields), forms=forms), f"key {kind}, term string, tf array<int>, length long, lead boolean")
         rows = rows.withColumn("at", _size_class(F.col("length")) * PLACES + F.pmod(F.xxhash64("key"), F.lit(PLACES)))
-        rows = rows.withColumn("folder", _folder(F.col("term"), folders)).repartition(folders * dealt, "folder", F.pmod(F.xxhash64("key"), F.lit(dealt)))
+        # Numbered partitions: a hash of folder and share would put several of them into one.
+        share = F.col("folder") * dealt + F.pmod(F.xxhash64("key"), F.lit(dealt)).cast("int")
+        rows = rows.withColumn("folder", _folder(F.col("term"), folders)).repartitionById(folders * dealt, share)
         rows.sortWithinPartitions("folder", "term", "at").write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("folder").parquet(f"{path}/postings")
         every = spark.read.parquet(f"{path}/postings")
         # A row for each class of length.  Records without any token count for the mean, too.
@@ -145,15 +184,11 @@ class SearchIndex:
         spark.createDataFrame([(records, mean, folders, block, widths)], "n long, mean double, folders long, block long, widths map<long,long>").coalesce(1).write.parquet(f"{path}/stats")
         most = saturation(_weighed(fields), F.col("length"), mean or 1.0)
         held = F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(fields))))
-        by_block = every.groupBy("folder", "term", _block(F.col("at"), widths).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("most"), held.alias("held"))
-        by_block.write.parquet(f"{path}/by-block")
-        by_block = spark.read.schema(by_block.schema).parquet(f"{path}/by-block")
-        terms = by_block.groupBy("folder", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.array(*(F.sum(F.get("held", F.lit(i))) for i in range(len(fields)))).alias("held"))
+        terms = every.groupBy("folder", "term").agg(F.count(F.lit(1)).alias("df"), F.max(most).alias("most"), held.alias("held"))
         terms.repartition(folders, "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
         common = spark.read.parquet(f"{path}/terms").where(F.col("df") > block).select("folder", "term")
-        blocks = by_block.join(common, ["folder", "term"], "left_semi").select("folder", "term", "block", "n", "most")
+        blocks = every.join(common, ["folder", "term"], "left_semi").groupBy("folder", "term", _block(F.col("at"), widths).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("most"))
         blocks.repartition(folders, "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/blocks")
-        _delete(spark, f"{path}/by-block")
         if publisher:
             docs.groupBy(F.col(publisher).alias("publisher")).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/publishers")
 
@@ -183,9 +218,13 @@ class SearchIndex:
             _COUNTS.update({(self.path, t): found.get(t) for t in unseen})
         return {t: row for t in terms if (row := _COUNTS[self.path, t]) is not None}
 
+    def terms(self, words: Sequence[str]) -> list[str]:
+        """The terms of a query's words, each once."""
+        return list(dict.fromkeys(term_of(w, self.forms) for w in words))
+
     def matches(self, words: Sequence[str], publisher: str | None = None) -> Matches:
         """What the arms of a search ask of these words of a query."""
-        terms = list(dict.fromkeys(map(term_of, words)))
+        terms = self.terms(words)
         place = list(self.fields).index(publisher) if publisher else None
         pub = F.get("tf", F.lit(place)) > 0 if publisher else F.lit(False)
         rows = self.postings(terms).select("key", "term", "length", _weighed(self.fields).alias("w"), pub.alias("pub"))
@@ -194,7 +233,7 @@ class SearchIndex:
 
     def top(self, words: Sequence[str], rows: int = V.ARM_ROWS) -> DataFrame:
         """O-2: key, bm25 of the best records by the words, exactly those of a whole read, ties by key."""
-        terms = list(dict.fromkeys(map(term_of, words)))
+        terms = self.terms(words)
         seen = self.counts(terms)
         found = {t: seen[t] for t in terms if t in seen}  # sums are in the order of the words
         weight = {t: rarity(self.stats["n"], r["df"]) for t, r in found.items()}
@@ -273,7 +312,7 @@ def _by_key(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 def _bm25(index: SearchIndex, terms: Sequence[str], df: Mapping[str, int], words: Sequence[str] | None = None) -> Column:
     score = F.lit(0.0)
-    for t in terms if words is None else dict.fromkeys(map(term_of, words)):
+    for t in terms if words is None else index.terms(words):
         if df.get(t):
             score = score + rarity(index.stats["n"], df[t]) * saturation(F.col(f"tf_{terms.index(t)}"), F.col("length"), index.stats["mean"] or 1.0)
     return score
@@ -285,11 +324,6 @@ def _part(index: SearchIndex, weight: Mapping[str, float], terms: Sequence[str])
     return idf * saturation(F.col("w"), F.col("length"), index.stats["mean"] or 1.0)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 @dataclass
 class Matches:
     """The records with any of a query's terms: key, length and for each term its weighted count."""
@@ -300,7 +334,7 @@ class Matches:
     found: dict[str, tuple[int, int]]  # how many records hold a term, and how many in the publisher's name
 
     def _has(self, words: Sequence[str]) -> list[Column]:
-        return [F.col(f"tf_{self.terms.index(t)}") > 0 for t in dict.fromkeys(map(term_of, words))]
+        return [F.col(f"tf_{self.terms.index(t)}") > 0 for t in self.index.terms(words)]
 
     def bm25(self, words: Sequence[str]) -> Column:
         """Okapi BM25 with the reserved constants; counts are weighted by field; idf has a small floor."""
@@ -325,7 +359,8 @@ class Matches:
     def rare(self, words: Sequence[str]) -> Column:
         """Q-4: whether a record has the rarest of two or more words over two letters, unless even that is common."""
         words = [w for w in words if len(w) > 2]
-        seen = sorted((self.found[term_of(w)][0], w) for w in set(words) if term_of(w) in self.found)
+        of = lambda w: term_of(w, self.index.forms)
+        seen = sorted((self.found[of(w)][0], w) for w in set(words) if of(w) in self.found)
         if len(words) < 2 or not seen or seen[0][0] > V.RARE_DF:
             return F.lit(False)
         return self._has([seen[0][1]])[0]
@@ -337,7 +372,7 @@ class Matches:
 
     def publisher(self, words: Sequence[str], most: int = V.PUBLISHER_HITS) -> Column:
         """Q-7: whether the publisher's name has a word over three letters that few enough records' publishers have."""
-        good = [t for t in dict.fromkeys(term_of(w) for w in words if len(w) > 3) if 0 < self.found.get(t, (0, 0))[1] <= most]
+        good = [t for t in self.index.terms([w for w in words if len(w) > 3]) if 0 < self.found.get(t, (0, 0))[1] <= most]
         return reduce(lambda a, b: a | b, (F.col(f"pub_{self.terms.index(t)}") for t in good), F.lit(False))
 
 

@@ -46,8 +46,8 @@ class Version:
 class GrowingIndex:
     """See the module; ``fields`` maps text columns to their weights."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, fields: Mapping[str, float], kind: str = "long", fan: int = FAN) -> None:
-        self.spark, self.path, self.key, self.fields, self.kind, self.fan = spark, path.rstrip("/"), key, fields, kind, fan
+    def __init__(self, spark: SparkSession, path: str, key: str, fields: Mapping[str, float], kind: str = "long", fan: int = FAN, forms: I.Forms | None = None) -> None:
+        self.spark, self.path, self.key, self.fields, self.kind, self.fan, self.forms = spark, path.rstrip("/"), key, fields, kind, fan, forms
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -118,7 +118,7 @@ class GrowingIndex:
             fields = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in self.fields]
             rows = changed.select(F.col(self.key).cast(self.kind).alias("key"), F.struct(*fields).alias("f")).where("key is not null").groupBy("key").agg(F.max("f").alias("f")).select("key", "f.*")
             rows = rows if gone is None else rows.join(gone, "key", "left_anti")
-            made = rows.mapInArrow(partial(I._postings, fields=tuple(self.fields), bare=True), f"key {self.kind}, term string, tf array<int>, length long, lead boolean")
+            made = rows.mapInArrow(partial(I._postings, fields=tuple(self.fields), forms=self.forms, bare=True), f"key {self.kind}, term string, tf array<int>, length long, lead boolean")
             name = f"{nxt.number:08d}-{uuid.uuid4().hex[:8]}"
             records, tokens = self._write(made, name)
             if records:
@@ -198,7 +198,7 @@ class GrowingIndex:
         v = self.version()
         n, tokens = sum(x[0] for x in v.segments.values()), sum(x[1] for x in v.segments.values())
         mean = tokens / n if n and tokens else 1.0
-        terms = list(dict.fromkeys(map(I.term_of, words)))
+        terms = list(dict.fromkeys(I.term_of(w, self.forms) for w in words))
         own = self.postings(terms, v).select("key", "term", "length", I._weighed(self.fields).alias("w"))
         df = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each term of a query
         score = F.lit(0.0)
