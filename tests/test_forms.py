@@ -22,3 +22,9 @@ def test_only_stated_words_share_a_stem(built):
     assert [term_of(w, FORMS) for w in ("under", "Unders", "underou", "roads")] == ["under", "under", "underou", "road"]
     assert {r["key"] for r in built.top(["under"]).collect()} == {1, 2, 4}
     assert [r["key"] for r in built.top(["underou"]).collect()] == [3]
+
+
+def test_the_geo_arm_has_only_stated_words(spark, built):
+    inside = spark.createDataFrame([(k,) for k, _ in TEXTS], "key long")
+    got = built.matches(["under"]).geo_arm(["under"], inside)
+    assert {r["key"] for r in got.collect()} == {1, 2, 4}
