@@ -28,3 +28,10 @@ def test_the_geo_arm_has_only_stated_words(spark, built):
     inside = spark.createDataFrame([(k,) for k, _ in TEXTS], "key long")
     got = built.matches(["under"]).geo_arm(["under"], inside)
     assert {r["key"] for r in got.collect()} == {1, 2, 4}
+
+
+def test_topic_and_publisher_have_only_stated_words(built):
+    m = built.matches(["under"], "publisher")
+    assert m.found == {"under": (3, 3)}
+    assert {r["key"] for r in m.rows.where(m.topic(["under"])).collect()} == {1, 2, 4}
+    assert {r["key"] for r in m.rows.where(m.publisher(["under"])).collect()} == {1, 2, 4}
