@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,40 +49,78 @@ def _cell(x: Column, cell: float) -> Column:
     return F.floor(x / cell).cast("long")
 
 
-def within(a: DataFrame, a_id: str, b: DataFrame, b_id: str, radius: float) -> DataFrame:
-    """Pairs of points (x, y) at most ``radius`` apart: a_id, b_id, distance.
+def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """ax, ay, bx, by, distance of two tables' places (x, y; each once) at most ``radius`` apart.
 
-    Cells are as wide as the radius; each point of ``b`` stands in its nine
+    Cells are as wide as the radius; each place of ``b`` stands in its nine
     neighbouring cells, so the join is by equality.
     """
-    pa = a.select(F.col(a_id), F.col("x").alias("ax"), F.col("y").alias("ay"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
+    pa = a.select(F.col("x").alias("ax"), F.col("y").alias("ay"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
     around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    pb = b.select(F.col(b_id), F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    pb = pb.select(b_id, "bx", "by", (_cell(F.col("bx"), radius) + F.col("dx")).alias("cx"), (_cell(F.col("by"), radius) + F.col("dy")).alias("cy"))
+    pb = b.select(F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    pb = pb.select("bx", "by", (_cell(F.col("bx"), radius) + F.col("dx")).alias("cx"), (_cell(F.col("by"), radius) + F.col("dy")).alias("cy"))
     j = pa.join(pb, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
-    return j.where(F.col("distance") <= radius).select(a_id, b_id, "distance")
+    return j.where(F.col("distance") <= radius).select("ax", "ay", "bx", "by", "distance")
+
+
+def _places(points: DataFrame) -> DataFrame:
+    return points.select("x", "y").distinct()
+
+
+def within(a: DataFrame, a_id: str, b: DataFrame, b_id: str, radius: float) -> DataFrame:
+    """Pairs of points (x, y) at most ``radius`` apart: a_id, b_id, distance.
+
+    Distances are taken between places; the points that stand there follow by equal coordinates.
+    """
+    near = _near(_places(a), _places(b), radius)
+    pa = a.select(F.col(a_id), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    pb = b.select(F.col(b_id), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return pa.join(near, ["ax", "ay"]).join(pb, ["bx", "by"]).select(a_id, b_id, "distance")
+
+
+#: Sites of the fullest cell of a first search, about, and how often its radius is halved for that.
+CELL_SITES, HALVINGS = 64, 20
+
+
+def _first_radius(sites: DataFrame, cell: float) -> float:
+    """``cell``, or the largest of its halves whose cells hold few sites."""
+    level = sites.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level")).withColumn("w", cell / F.pow(F.lit(2.0), F.col("level")))
+    held = level.groupBy("level", F.floor(F.col("x") / F.col("w")).alias("cx"), F.floor(F.col("y") / F.col("w")).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    most = dict(held.groupBy("level").agg(F.max("n")).collect())  # a row for each level
+    return cell / 2 ** next((i for i in range(HALVINGS + 1) if most.get(i, 0) <= CELL_SITES), HALVINGS)
 
 
 def nearest(a: DataFrame, a_id: str, b: DataFrame, b_id: str, cell: float) -> DataFrame:
     """The nearest point of ``b`` for each of ``a``: a_id, b_id, distance; ties by b_id.
 
-    Radii double until every point has a neighbour: within a radius the first
-    one found is the nearest of all, so found points leave the search.  Points
-    without a place (null or not finite) are near to none; what has no
+    The search is between places, each once, of which those of ``b`` keep their
+    least b_id.  Radii double until every place has a neighbour: within a radius
+    the first one found is the nearest of all, so found places leave the search.
+    Points without a place (null or not finite) are near to none; what has no
     neighbour, as when ``b`` has no point, gets null b_id and distance.
     """
     placed = "abs(x) < double('infinity') and abs(y) < double('infinity')"
-    sites, left, done, radius = b.where(placed), a.where(placed), a.select(a_id).limit(0), cell
-    done = done.withColumn(b_id, F.lit(None).cast(b.schema[b_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    points = a.where(placed)
+    sites = cut_lineage(b.where(placed).groupBy("x", "y").agg(F.min(F.struct(b_id)).alias("s")).select("x", "y", f"s.{b_id}"))
+    left = cut_lineage(_places(points))
+    parts: list[DataFrame] = []
     if sites.limit(1).count():
+        radius = _first_radius(sites, cell)
+        own = sites.select(F.col("x").alias("bx"), F.col("y").alias("by"), b_id)
         while left.limit(1).count():
-            pairs = within(left, a_id, sites, b_id, radius)
-            best = cut_lineage(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"))
-            done = done.unionByName(best)
-            rest = cut_lineage(_without(left, best, a_id))
+            # Squares first: roots of equal sums may differ in their last place.
+            square = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+            pairs = _near(left, sites, radius).join(own, ["bx", "by"])
+            best = cut_lineage(pairs.groupBy("ax", "ay").agg(F.min(F.struct(square.alias("square"), "distance", b_id)).alias("m")).select(F.col("ax").alias("x"), F.col("ay").alias("y"), "m.square", "m.distance", f"m.{b_id}"))
+            parts.append(best)
+            rest = cut_lineage(left.join(best, ["x", "y"], "left_anti"))
             drop_cut(left)
             left, radius = rest, radius * 2
-        drop_cut(left)
+    drop_cut(left)
+    done = a.select(a_id).limit(0).withColumn(b_id, F.lit(None).cast(b.schema[b_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    if parts:
+        found = points.select(a_id, "x", "y").join(reduce(DataFrame.unionByName, parts), ["x", "y"])
+        done = found.groupBy(a_id).agg(F.min(F.struct("square", "distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance")
     return done.unionByName(_without(a.select(a_id).distinct(), done, a_id), allowMissingColumns=True)
 
 
