@@ -40,21 +40,17 @@ def _landed(spark: SparkSession, d: str, lost: int | None = None) -> list[dict]:
     out = []
     for name, make, key, rows, wrap in (("ckan", _parts, "p_partkey", 50, CKAN), ("ods", _customers, "c_custkey", 40, ODS), ("geonode", _suppliers, "s_suppkey", 10, GEONODE)):
         table, record = make(spark, d)
-        P.land_pages(table, key, record, f"{base}/{name}", rows, wrap)
+        gone = F.col("start") / rows % lost == 1 if lost and name == "ckan" else None
+        P.land_pages(table, key, record, f"{base}/{name}", rows, wrap, gone)
         out.append({"id": name, "api": f"{base}/{name}", "protocol": name, "address": P.LANDED, "rows": rows})
-    if lost:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for n in range(1, -(-t(spark, d, "part").count() // 50), lost):
-            fs.delete(path(f"{base}/ckan/start={50 * n}"), True)
     return out
 
 
 @query("paged_catalogues", """SELECT 'src:' || p_partkey AS key, 'Survey of ' || p_name AS title, p_brand AS publisher FROM part WHERE p_partkey % 10 <> 9 UNION ALL SELECT 'src:c' || c_custkey, 'Ledger of ' || c_name, c_mktsegment FROM customer UNION ALL SELECT 'src:s' || s_suppkey, 'Layer ' || s_name, 'The Source' FROM supplier""")
 def paged_catalogues(spark: SparkSession, d: str) -> DataFrame:
-    """S-1, S-7, S-13: one scan of three portals, its pages planned from their stated counts."""
-    rows = P.read_paged(spark, _landed(spark, d))
-    of = (c.ckan(P.records_as(rows, "ckan", c.CKAN), SRC, 2026), c.ods(P.records_as(rows, "ods", c.ODS), SRC, 2026), c.geonode(P.records_as(rows, "geonode", c.GEONODE), SRC, 2026))
+    """S-1, S-7, S-13: a scan of each of three portals, its pages planned from their stated counts."""
+    rows = {x["id"]: P.read_paged(spark, [x]) for x in _landed(spark, d)}
+    of = (c.ckan(P.records_as(rows["ckan"], "ckan", c.CKAN), SRC, 2026), c.ods(P.records_as(rows["ods"], "ods", c.ODS), SRC, 2026), c.geonode(P.records_as(rows["geonode"], "geonode", c.GEONODE), SRC, 2026))
     one, two, three = (x.select("key", "title", "publisher") for x in of)
     return one.unionByName(two).unionByName(three)
 

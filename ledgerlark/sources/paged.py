@@ -42,6 +42,8 @@ SCHEMA = "source string, start long, total long, place long, record string, erro
 _FIELDS = (("source", pa.string()), ("start", pa.int64()), ("total", pa.int64()), ("place", pa.int64()), ("record", pa.string()), ("error", pa.string()))
 #: A source of which so many pages failed is given up.
 MOST_ERRORS = 3
+#: Pages of a task at least, and tasks of a source at most, about: a large source has longer tasks, not more of them.
+LEAST_PAGES, MOST_TASKS = 8, 256
 
 
 @dataclass(frozen=True)
@@ -211,7 +213,13 @@ def _tasks(source: Source, begin: int, end: int, each: int, cut: bool) -> list[T
     """The pages that hold the records from ``begin`` to ``end``; pages start at multiples of their size."""
     rows = source.protocol.rows
     starts = list(range(begin // rows * rows, end, rows)) if end > begin else []
-    return [Task(source, tuple(starts[i : i + each]), begin=begin, end=end if cut else None) for i in range(0, len(starts), each)]
+    return [Task(source, own, begin=begin, end=end if cut else None) for own in _dealt(starts, each)]
+
+
+def _dealt(starts: Sequence[int], each: int) -> list[tuple[int, ...]]:
+    """Pages of one task each; ``each`` is 0 where their number is not stated."""
+    each = each or max(LEAST_PAGES, -(-len(starts) // MOST_TASKS))
+    return [tuple(starts[i : i + each]) for i in range(0, len(starts), each)]
 
 
 class _Batch(DataSourceReader):
@@ -219,14 +227,14 @@ class _Batch(DataSourceReader):
         self.options = options
 
     def partitions(self) -> Sequence[InputPartition]:
-        ask, each, sources = _Asker(self.options), int(self.options.get("pages_of_task", 8)), _sources(self.options)
+        ask, each, sources = _Asker(self.options), int(self.options.get("pages_of_task", 0)), _sources(self.options)
         limit = int(self.options.get("limit", 0))
         with ThreadPoolExecutor(16) as pool:
             seen = list(pool.map(ask.first, sources))
         out: list[Task] = []
         for source, (total, step, error) in zip(sources, seen):
             if source.only is not None:
-                out += [Task(source, source.only[i : i + each]) for i in range(0, len(source.only), each)]
+                out += [Task(source, own) for own in _dealt(source.only, each)]
             elif error or not step or (total is not None and total <= step):
                 out.append(Task(source, (0,), end=limit or None))
             elif total is None:
@@ -260,7 +268,7 @@ class _Stream(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        each = int(self.options.get("pages_of_task", 8))
+        each = int(self.options.get("pages_of_task", 0))
         return [t for s in _sources(self.options) for t in _tasks(s, start.get(s.id, 0), end.get(s.id, 0), each, True)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -320,12 +328,17 @@ def failed_pages(rows: DataFrame, sources: Sequence[Mapping[str, object]]) -> li
     return [{**s, "only": by[s["id"]]} for s in sources if s["id"] in by]
 
 
-def land_pages(records: DataFrame, place: str, record: Column, path: str, rows: int, wrap: Callable[[Column, Column], Column]) -> None:
-    """Writes records as pages of ``rows``, a folder ``start=<n>`` for each; ``wrap`` makes an answer of the count and the joined records."""
+def land_pages(records: DataFrame, place: str, record: Column, path: str, rows: int, wrap: Callable[[Column, Column], Column], lost: Column | None = None) -> None:
+    """Writes records as pages of ``rows``, a folder ``start=<n>`` for each; ``wrap`` makes an answer of the count and the joined records.
+
+    Pages of which ``lost`` (of their ``start``) holds are counted and not written.
+    """
     total = records.count()
     page = records.groupBy((F.floor(F.col(place) / rows) * rows).alias("start")).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), record.alias("r")))).alias("l"))
     listed = F.array_join(F.transform("l", lambda x: x["r"]), ",")
-    page.select("start", wrap(F.lit(total), listed).alias("value")).write.mode("append").partitionBy("start").text(path)
+    page = page if lost is None else page.where(~lost)
+    # Tasks put their pages in place themselves; the driver would move a folder for each page.
+    page.select("start", wrap(F.lit(total), listed).alias("value")).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("start").text(path)
 
 
 #: The address of a landed page.
