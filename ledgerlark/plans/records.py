@@ -45,11 +45,12 @@ per_row("repair_mojibake", "customer", "c_custkey", "c_name || '’s list – '
         lambda: turns("c_custkey", say(F.col("c_name"), "â€™s list â€“ ", F.col("c_mktsegment")), say(F.col("c_name"), "’s list – ", F.col("c_mktsegment"))), lambda x: text.mojibake()(x))
 
 
-@query("porter_stems", "SELECT DISTINCT w AS word, true AS y FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) WHERE NOT regexp_matches(w, '(s|ie|sse)$')")
+@query("porter_stems", "SELECT DISTINCT w AS word, CASE WHEN length(w) >= 3 AND NOT regexp_matches(w, '(s|ie|sse)$') THEN true END AS y FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
 def porter_stems(spark: SparkSession, d: str) -> DataFrame:
-    """Q-18: a plural has its word's stem, for every word of the documents."""
-    words = t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("word")).distinct().where(~F.col("word").rlike("(s|ie|sse)$"))
-    return words.select("word", (text.stems()(say(F.col("word"), "s")) == text.stems()(F.col("word"))).alias("y"))
+    """Q-18: a plural has its word's stem, for every word of the documents; null where the rules do not promise it."""
+    words = t(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    same = text.stems()(say(F.col("word"), "s")) == text.stems()(F.col("word"))
+    return words.select("word", F.when((F.length("word") >= 3) & ~F.col("word").rlike("(s|ie|sse)$"), same).alias("y"))
 
 
 def _dates() -> Column:
@@ -149,7 +150,7 @@ per_row("header_peek", "part", "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'id|
 per_row("answer_shape", "orders", "o_orderkey", "['ckan:' || o_orderkey, 'dcat:1', 'ods:' || o_orderkey, 'geonode:' || o_orderkey, 'json:2', 'csw'][o_orderkey % 6 + 1]", "S-32: which protocol an answer speaks, and its count.",
         lambda: turns("o_orderkey", say('{"result":{"count":', word("o_orderkey"), ',"results":[]}}'), say('{"dataset":[', word("o_custkey"), "]}"), say('{"total_count":', word("o_orderkey"), ',"results":[1]}'), say('{"total":', word("o_orderkey"), ',"resources":[]}'), say("[", word("o_orderkey"), ",2]"), say("<csw:GetRecordsResponse>", word("o_orderkey"), "</csw:GetRecordsResponse>")),
         lambda x: F.concat_ws(":", shapes.protocol(x), shapes.stated_count(x).cast("string")))
-per_row("platform_labels", "supplier", "s_suppkey", "['opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster', '', 'london_datastore'][s_suppkey % 3 + 1]", "X-7.", lambda: turns("s_suppkey", "OpenDataNI", F.col("s_name"), "Greater  London Authority"), lambda x: joined(entity.platform(x)))
+per_row("platform_labels", "part", "p_partkey", "['opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster', '', 'london_datastore'][p_partkey % 3 + 1]", "X-7.", lambda: turns("p_partkey", "OpenDataNI", F.col("p_name"), "Greater  London Authority"), lambda x: joined(entity.platform(x)))
 per_row("retired_text", "documents", "doc_id", "doc_id % 3 = 1 OR (doc_id % 3 <> 2 AND contains(lower(coalesce(text, '')), 'this record is retired'))", "P-3.", lambda: turns("doc_id", F.col("text"), say(F.coalesce("text", F.lit("")), " NB: THIS DATASET HAS BEEN WITHDRAWN."), None), P.retired)
 
 # The survey's own series in powers of the longitude, which the library does not use.
