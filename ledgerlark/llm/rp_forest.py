@@ -7,8 +7,8 @@ fitted on samples of at most ``FIT_ROWS`` rows and deal every row into buckets;
 a bucket still larger than ``BUCKET_ROWS`` is fitted and dealt again, to any
 depth, and inside a bucket numpy goes on down to leaves: nodes of few rows, or
 of rows that mostly link with each other.  All rows of a leaf are compared in
-double precision, in blocks.  A length with no more rows than a bucket is
-compared whole instead, in one leaf.
+double precision, in blocks.  All lengths go down all trees, however few rows
+they have.
 
 A row carries the list of its leaves, and a pair is counted only in the first
 leaf that both rows are in.  So a bucket gives one row for each vector in it:
@@ -138,9 +138,7 @@ def _deal(batches: Iterator[pa.RecordBatch], sent: object, wide: bool, trees: in
         for dim in np.unique(dims).tolist():
             part = batch.take(pa.array(np.flatnonzero(dims == dim)))
             x, rep = _matrix(part.column("v"), dim, wide), part.column("rep").to_numpy()
-            split = any((dim, tree) in fitted for tree in range(trees))
-            # A length without splits is one bucket that is compared whole; other trees would repeat it.
-            shares = [(tree, node, own) for tree in range(trees if split else 1) for node, own in _drop_down(x, rep, tree, 1, fitted.get((dim, tree), {}))]
+            shares = [(tree, node, own) for tree in range(trees) for node, own in _drop_down(x, rep, tree, 1, fitted.get((dim, tree), {}))]
             yield pa.RecordBatch.from_arrays(_dealt(part, dim, shares), names=["dim", "tree", "node", "rep", "v"])
 
 
@@ -264,7 +262,7 @@ def near_duplicates(embeddings: DataFrame, trees: int = TREES) -> DataFrame:
     def leaves(k, table):  # noqa: ANN001, ANN202
         dim, tree, node = (x.as_py() for x in k)
         rep = table.column("rep").to_numpy()
-        got = [(node, np.arange(len(rep)))] if node == 1 else list(_leaves(_matrix(table.column("v").combine_chunks(), dim, wide), rep, tree, node))
+        got = list(_leaves(_matrix(table.column("v").combine_chunks(), dim, wide), rep, tree, node))
         leaf = np.concatenate([np.full(len(own), n * trees + tree) for n, own in got])
         return pa.table({"rep": pa.array(rep[np.concatenate([own for _, own in got])]), "tree": pa.array(np.full(len(leaf), tree)), "node": pa.array(np.full(len(leaf), node)), "leaf": pa.array(leaf)})
 
