@@ -49,6 +49,8 @@ PART_TEXT = 1 << 22
 BLOCK = 4_096
 #: Places of records of one length; blocks are ranges of them.
 PLACES = 1 << 24
+#: Terms with blocks, in bytes, that every task holds; more are joined by a shuffle.
+COMMON_BYTES = 1 << 26
 #: Rows of a parquet page, below which nothing is skipped.
 PAGE_ROWS = 4_096
 #: Blocks that are read first, and ranges of places that a scan takes as filters; more are joined.
@@ -170,10 +172,10 @@ class SearchIndex:
         folders = max(8, (size or 0) // FOLDER_TEXT)
         dealt = 1 + (size or 0) // (folders * FILE_TEXT)
         kind = dict(docs.dtypes)[key]
-        rows = spread(docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields))).mapInArrow(partial(_postings, fields=tuple(fields), forms=forms), f"key {kind}, term string, tf array<int>, length long, lead boolean")
+        rows = spread(docs.select(F.col(key).alias("key"), *(F.col(f).cast("string").alias(f) for f in fields)), -(-(size or 0) // FILE_TEXT)).mapInArrow(partial(_postings, fields=tuple(fields), forms=forms), f"key {kind}, term string, tf array<int>, length long, lead boolean")
         rows = rows.withColumn("at", _size_class(F.col("length")) * PLACES + F.pmod(F.xxhash64("key"), F.lit(PLACES)))
-        # Numbered partitions: a hash of folder and share would put several of them into one.
-        share = F.col("folder") * dealt + F.pmod(F.xxhash64("key"), F.lit(dealt)).cast("int")
+        # Numbered partitions: a hash of folder and share would put several of them into one.  Shares are ranges of places, so that a term's block lies in one or two files.
+        share = F.col("folder") * dealt + F.floor(F.pmod("at", F.lit(PLACES)) * dealt / PLACES).cast("int")
         rows = rows.withColumn("folder", _folder(F.col("term"), folders)).repartitionById(folders * dealt, share)
         rows.sortWithinPartitions("folder", "term", "at").write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("folder").parquet(f"{path}/postings")
         every = spark.read.parquet(f"{path}/postings")
@@ -185,10 +187,13 @@ class SearchIndex:
         most = saturation(_weighed(fields), F.col("length"), mean or 1.0)
         held = F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(fields))))
         terms = every.groupBy("folder", "term").agg(F.count(F.lit(1)).alias("df"), F.max(most).alias("most"), held.alias("held"))
-        terms.repartition(folders, "folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
+        terms.repartitionById(folders, F.col("folder")).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
         common = spark.read.parquet(f"{path}/terms").where(F.col("df") > block).select("folder", "term")
+        # Shuffled, all postings of a term would meet in one task.
+        if (common.agg(F.sum(F.octet_length("term") + 16).alias("b")).first()["b"] or 0) <= COMMON_BYTES:
+            common = F.broadcast(common)
         blocks = every.join(common, ["folder", "term"], "left_semi").groupBy("folder", "term", _block(F.col("at"), widths).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("most"))
-        blocks.repartition(folders, "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/blocks")
+        blocks.repartitionById(folders, F.col("folder")).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/blocks")
         if publisher:
             docs.groupBy(F.col(publisher).alias("publisher")).agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/publishers")
 

@@ -26,10 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt to all cores where a small table's few files would leave most of them idle; any other table as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, least: int = 1) -> DataFrame:
+    """The rows dealt to all cores, and to ``least`` tasks, where a table's few files would make fewer; any other table as it is."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, least)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 _CUTS: dict[str, SparkSession] = {}

@@ -62,3 +62,31 @@ def test_block_maxima_are_true(spark, built):
     pairs = [{(r["term"], r["block"]): (r["n"], round(r["most"], 9)) for r in x.collect()} for x in (real, kept)]
     assert pairs[0] == pairs[1]
     assert reduce(lambda a, b: a + b, (n for n, _ in pairs[0].values())) == rows.count()
+
+
+def test_files_of_a_folder_hold_ranges_of_places(spark, tmp_path, monkeypatch):
+    """A term's block lies in one or two files of its folder, not in all of them."""
+    monkeypatch.setattr(I, "FILE_TEXT", 2_000)
+    docs = spark.createDataFrame([(i, "water road " * 20) for i in range(400)], "k long, body string")
+    SearchIndex.build(docs, "k", {"body": 1.0}, f"file://{tmp_path}/i", block=40)
+    every = spark.read.parquet(f"file://{tmp_path}/i/postings").where("term = 'water'").withColumn("file", F.input_file_name())
+    ends = sorted((r["lo"], r["hi"]) for r in every.groupBy("file").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).collect())
+    assert len(ends) > 3 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_build_reads_texts_by_tasks_of_one_size(spark):
+    from ledgerlark.session import spread
+
+    rows = spark.range(100).coalesce(1)
+    assert spread(rows, 40).rdd.getNumPartitions() == max(40, spark.sparkContext.defaultParallelism)
+    assert spread(spark.range(0, 100, 1, 64), 40).rdd.getNumPartitions() == 64
+
+
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_blocks_are_the_same_with_common_terms_joined_by_a_shuffle(spark, built, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(I, "COMMON_BYTES", most)
+    docs = spark.createDataFrame([(i, f"water road word{i % 7}") for i in range(300)], "k long, body string")
+    SearchIndex.build(docs, "k", {"body": 1.0}, f"file://{tmp_path}/i", block=40)
+    got = spark.read.parquet(f"file://{tmp_path}/i/blocks").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    want = {I.term_of(w): n for w, n in [("water", 300), ("road", 300)] + [(f"word{j}", len(range(j, 300, 7))) for j in range(7)] if n > 40}
+    assert {r["term"]: r["n"] for r in got} == want
