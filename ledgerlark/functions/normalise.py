@@ -52,8 +52,12 @@ def title(x: Column) -> Column:
 
 def distinct_folded(items: Column) -> Column:
     """Items in order, each spelling once whatever its case; the first spelling stays."""
-    low = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    def first(own: Column) -> Column:
+        return let(F.transform(own, F.lower), lambda low: F.filter(own, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    # An expression in a lambda's body is worked out again for each item.
+    return let(items, first)
 
 
 def tags(x: Column) -> Column:

@@ -63,7 +63,8 @@ def finish(records: DataFrame, src: Source, now_year: int, c: Mapping[str, Colum
     none = F.lit(None).cast("string")
     children = c.get("resources", F.array().cast("array<struct<url:string,name:string,format:string>>"))
     web = F.filter(children, lambda r: F.startswith(r["url"], F.lit("http")))
-    once = F.filter(web, lambda r, i: F.array_position(F.transform(web, lambda x: x["url"]), r["url"]) == i + 1)
+    first = lambda own: N.let(F.transform(own, lambda x: x["url"]), lambda urls: F.filter(own, lambda r, i: F.array_position(urls, r["url"]) == i + 1))
+    once = N.let(web, first)
     shown = F.transform(once, lambda r: F.struct(r["url"].alias("url"), F.substring(F.coalesce(r["name"], F.lit("")), 1, 200).alias("name"), N.file_format(r["format"]).alias("format_norm")))
     publisher = c["publisher"]
     extras = c.get("extras")
@@ -208,7 +209,8 @@ def bespoke(records: DataFrame, src: Source, now_year: int, record: str = "value
     lic = at("license")
     lic = F.when(~F.lower(N.clean(lic)).isin("other", "none", "unknown", ""), lic)
     paths = cfg.get("tags") or []
-    listed = lambda path: F.coalesce(F.from_json(dig(path), "array<string>"), F.when(_full(dig(path)).isNotNull(), F.array(dig(path))), F.array().cast("array<string>"))
+    one_or_more = lambda x: F.coalesce(F.from_json(x, "array<string>"), F.when(_full(x).isNotNull(), F.array(x)), F.array().cast("array<string>"))
+    listed = lambda path: N.let(dig(path), one_or_more)
     tags = F.concat(F.array().cast("array<string>"), *(listed(p) for p in ([paths] if isinstance(paths, str) else paths)))
     links = []
     for url, fmt in cfg.get("resources") or []:

@@ -86,3 +86,20 @@ def test_link_verdicts(spark):
     rows = [("http://x/a", 403, "text/csv", None, "blocked"), ("http://x/a", 422, "", None, "blocked"), ("http://x/a", 0, "", None, "unreachable"), ("http://x/a", 404, "", None, "dead"), ("http://x/arcgis/rest/1", 200, "text/csv; charset=x", None, "data"), ("http://x/arcgis/1", 200, "application/json", None, "api"), ("http://x/f", 200, "application/json", None, "data"), ("http://x", 200, "text/html", "WMS", "api"), ("http://x", 200, None, None, "webpage"), ("http://x", 200, "image/png", None, "data"), ("http://x", 200, "video/mp4", None, "webpage")]
     got = spark.createDataFrame([(*r[:4], i) for i, r in enumerate(rows)], "u string, s int, c string, f string, i int").select("i", N.link_verdict(F.col("u"), F.col("s"), F.col("c"), F.col("f")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in got] == [r[4] for r in rows]
+
+
+def test_tags_work_out_their_source_once(spark):
+    """What stands in a lambda's body is worked out again for each item."""
+    assert str(N.distinct_folded(F.reverse("t"))).count("reverse") == 1
+    assert str(N.tags(F.reverse("t"))).count("reverse") == 1
+    got = spark.createDataFrame([("b,A,a,B,c",), ("",), (None,)], "t string").select(N.distinct_folded(F.split("t", ",")).alias("x")).collect()
+    assert [r["x"] for r in got] == [["b", "A", "c"], [""], None]
+
+
+def test_bespoke_tags_of_any_shape(spark):
+    from ledgerlark.sources import catalogue as C
+
+    rows = ['{"id":"1","title":"Some title","tags":["x","y","X"]}', '{"id":"2","title":"Some title","tags":"z"}', '{"id":"3","title":"Some title","tags":" [\\"p\\"]"}', '{"id":"4","title":"Some title","tags":{"a":1}}', '{"id":"5","title":"Some title"}', '{"id":"6","title":"Some title","tags":"[broken"}']
+    cfg = {"id": "id", "title": "title", "tags": "tags"}
+    out = C.bespoke(spark.createDataFrame([(r,) for r in rows], "value string"), C.Source("s", "S", "https://s", fields=cfg), 2026)
+    assert {r["key"]: r["tags"] for r in out.select("key", "tags").collect()} == {"s:1": ["x", "y"], "s:2": ["z"], "s:3": ["p"], "s:4": ['{"a":1}'], "s:5": [], "s:6": ["[broken"]}
