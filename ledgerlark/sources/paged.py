@@ -29,9 +29,11 @@ import re
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,8 @@ SCHEMA = "source string, start long, total long, place long, record string, erro
 _FIELDS = (("source", pa.string()), ("start", pa.int64()), ("total", pa.int64()), ("place", pa.int64()), ("record", pa.string()), ("error", pa.string()))
 #: A source of which so many pages failed is given up.
 MOST_ERRORS = 3
+#: Pages that a task lands, about.
+PAGES_WRITTEN = 256
 #: Pages of a task at least, and tasks of a source at most, about: a large source has longer tasks, not more of them.
 LEAST_PAGES, MOST_TASKS = 8, 256
 
@@ -334,11 +338,41 @@ def land_pages(records: DataFrame, place: str, record: Column, path: str, rows:
     Pages of which ``lost`` (of their ``start``) holds are counted and not written.
     """
     total = records.count()
-    page = records.groupBy((F.floor(F.col(place) / rows) * rows).alias("start")).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), record.alias("r")))).alias("l"))
+    spark = records.sparkSession
+    tasks = landing_tasks(total, rows, spark.sparkContext.defaultParallelism)
+    # Stated, as what a page costs does not follow from its bytes.
+    dealt = records.select((F.floor(F.col(place) / rows) * rows).alias("start"), F.col(place).alias("p"), record.alias("r")).repartition(tasks, "start")
+    page = dealt.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("p", "r"))).alias("l"))
     listed = F.array_join(F.transform("l", lambda x: x["r"]), ",")
     page = page if lost is None else page.where(~lost)
-    # Tasks put their pages in place themselves; the driver would move a folder for each page.
-    page.select("start", wrap(F.lit(total), listed).alias("value")).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("start").text(path)
+    page.select("start", wrap(F.lit(total), listed).alias("value")).mapInArrow(partial(_put, path=path), "pages long").agg(F.sum("pages")).collect()
+
+
+def landing_tasks(total: int, rows: int, cores: int) -> int:
+    """Tasks that land so many records: one for each core, and more of about ``PAGES_WRITTEN`` pages."""
+    pages = -(-total // rows)
+    return max(1, min(pages, max(cores, pages // PAGES_WRITTEN)))
+
+
+def _put(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Puts pages in place: each is written aside and renamed, so that it is there whole, and a task that runs again replaces it."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    for batch in batches:
+        for start, text in zip(*(c.to_pylist() for c in batch.columns)):
+            folder = f"{base}/start={start}"
+            store.create_dir(folder, recursive=True)
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as s:
+                s.write(text.encode() + b"\n")
+            try:
+                store.move(draft, f"{folder}/page.json")
+            except OSError:  # a store that never replaces a file, which has the page from another try
+                if store.get_file_info(f"{folder}/page.json").type == fs.FileType.NotFound:
+                    raise
+                store.delete_file(draft)
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["pages"])
 
 
 #: The address of a landed page.
