@@ -20,7 +20,7 @@ import uuid
 import zlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,16 @@ FAN = 4
 FOLDERS = 32
 
 
+#: Bytes of text for each token of a segment that is merged, about.
+TOKEN_TEXT = 8
+
+
+def tasks_of(size: int) -> tuple[int, int]:
+    """Tasks that write the postings of so many bytes of text, and the shares of a folder: large folders are cut, small ones share a task."""
+    dealt = 1 + size // (FOLDERS * I.FILE_TEXT)
+    return max(1, min(FOLDERS * dealt, -(-4 * size // I.FILE_TEXT))), dealt
+
+
 @dataclass
 class Version:
     number: int = 0
@@ -81,10 +91,11 @@ class GrowingIndex:
 
     # ---- writing --------------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, name: str) -> list[int]:
-        """Writes a segment of postings; returns its records and tokens."""
-        n = max(1, min(FOLDERS, rows.rdd.getNumPartitions()))
-        placed = rows.withColumn("folder", I._folder(F.col("term"), FOLDERS)).repartition(n, "folder").sortWithinPartitions("folder", "term")
+    def _write(self, rows: DataFrame, name: str, size: int) -> list[int]:
+        """Writes a segment of the postings of so many bytes of text; returns its records and tokens."""
+        tasks, dealt = tasks_of(size)
+        share = F.col("folder") * dealt + F.pmod(F.xxhash64("key"), F.lit(dealt)).cast("int")
+        placed = rows.withColumn("folder", I._folder(F.col("term"), FOLDERS)).repartitionById(tasks, F.pmod(share, F.lit(tasks))).sortWithinPartitions("folder", "term")
         placed.write.option("parquet.page.row.count.limit", I.PAGE_ROWS).partitionBy("folder").parquet(f"{self.path}/postings/segment={name}")
         own = self.spark.read.parquet(f"{self.path}/postings/segment={name}").where("lead").select("key", "length")
         own.write.parquet(f"{self.path}/records/segment={name}")
@@ -120,7 +131,8 @@ class GrowingIndex:
             rows = rows if gone is None else rows.join(gone, "key", "left_anti")
             made = rows.mapInArrow(partial(I._postings, fields=tuple(self.fields), forms=self.forms, bare=True), f"key {self.kind}, term string, tf array<int>, length long, lead boolean")
             name = f"{nxt.number:08d}-{uuid.uuid4().hex[:8]}"
-            records, tokens = self._write(made, name)
+            size = changed.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)).cast("long") for f in self.fields))).alias("b")).first()["b"] or 0
+            records, tokens = self._write(made, name, size)
             if records:
                 nxt.segments[name] = [records, tokens, 0]
                 nxt.written.append(name)
@@ -161,7 +173,7 @@ class GrowingIndex:
             nxt = Version(v.number + 1, {n: x for n, x in v.segments.items() if n not in todo}, list(v.written))
             name = f"{nxt.number:08d}-{uuid.uuid4().hex[:8]}"
             rows = self._alive(self._table("postings", todo, self._shape()), v, todo)
-            records, tokens = self._write(rows.select("key", "term", "tf", "length", "lead"), name)
+            records, tokens = self._write(rows.select("key", "term", "tf", "length", "lead"), name, TOKEN_TEXT * sum(v.segments[n][1] for n in todo))
             nxt.segments[name] = [records, tokens, 0]
             nxt.written.append(name)
             v = self._put(nxt)
@@ -204,7 +216,9 @@ class GrowingIndex:
         score = F.lit(0.0)
         for t in df:
             score = score + F.coalesce(F.max(F.when(F.col("term") == t, I.rarity(n, df[t]) * I.saturation(F.col("w"), F.col("length"), mean))), F.lit(0.0))
-        return own.groupBy("key").agg(score.alias("bm25")).orderBy(F.desc("bm25"), "key").limit(rows)
+        out = own.groupBy("key").agg(score.alias("bm25")).orderBy(F.desc("bm25"), "key")
+        # The best of fewer records than are asked for are all of them: sorted by many tasks, where a limit takes one.
+        return out if rows >= n else out.limit(rows)
 
 
 def stream_into(index: GrowingIndex, changes: DataFrame, checkpoint: str, deleted: str = "deleted"):  # noqa: ANN201

@@ -107,3 +107,25 @@ def test_stream_of_changes(spark, tmp_path):
         stream_into(index, spark.readStream.schema("k long, title string, body string, deleted boolean").parquet(src), f"{tmp_path}/ck").awaitTermination()
     assert sorted(r["key"] for r in index.top(["water"]).collect()) == [1, 3]
     assert index.postings([term_of("water")]).agg(F.count("*")).first()[0] == 2
+
+
+def test_a_large_segment_is_written_by_more_tasks_than_folders(spark, tmp_path, monkeypatch):
+    from ledgerlark.operators import segments as S
+
+    assert [S.tasks_of(n) for n in (0, 1, 1 << 25, 1 << 30, 6 << 30)] == [(1, 1), (1, 1), (4, 1), (64, 2), (224, 7)]
+    monkeypatch.setattr(S.I, "FILE_TEXT", 2_000)
+    grow = S.GrowingIndex(spark, f"file://{tmp_path}/g", "k", {"body": 1.0})
+    grow.apply(spark.createDataFrame([(i, "water road " * 20) for i in range(400)], "k long, body string"))
+    files = list(tmp_path.glob("g/postings/segment=*/folder=*/*.parquet"))
+    assert len(files) > len({f.parent for f in files})
+
+
+def test_all_records_are_not_sorted_by_one_task(spark, tmp_path):
+    from ledgerlark.operators import segments as S
+
+    grow = S.GrowingIndex(spark, f"file://{tmp_path}/g", "k", {"body": 1.0})
+    grow.apply(spark.createDataFrame([(i, "water " * (i % 7 + 1) + "road") for i in range(50)], "k long, body string"))
+    every, few = grow.top(["water"], 2_000_000_000), grow.top(["water"], 5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan(few) and "TakeOrdered" not in plan(every) and "Limit" not in plan(every)
+    assert len(every.collect()) == 50 and every.collect()[:5] == few.collect()
