@@ -75,10 +75,10 @@ def fuse(arms: Sequence[DataFrame], key: str) -> DataFrame:
     return every.groupBy(key).agg(F.sum("part").alias("score"))
 
 
-def multiplier(rare: Column, publisher: Column, geo: Column, place_only: Column, availability: Column, resources: Column, foreign: Column) -> Column:
-    """Q-9: the product of all boosts and demotions; null signals count as false."""
+def multiplier(rare: Column, publisher: Column, geo: Column, place_only: Column, availability: Column, resources: Column, foreign: Column, score: Column | float = 1.0) -> Column:
+    """Q-9: the score times all boosts and demotions, one after the other (another order rounds otherwise); null signals count as false."""
     true = lambda c: F.coalesce(c, F.lit(False))
-    m = F.when(true(rare), V.BOOST_RARE).otherwise(1.0) * F.when(true(publisher), V.BOOST_PUBLISHER).otherwise(1.0)
+    m = score * F.when(true(rare), V.BOOST_RARE).otherwise(1.0) * F.when(true(publisher), V.BOOST_PUBLISHER).otherwise(1.0)
     m = m * F.when(true(geo) & (F.coalesce(availability, F.lit("")) != "dead") & ~true(place_only), V.BOOST_GEO).otherwise(1.0)
     m = m * F.when(true(place_only), V.PLACE_ONLY).otherwise(1.0)
     checked = reduce(lambda w, kv: w.when(availability == kv[0], kv[1]), list(V.AVAILABILITY_BOOST.items())[1:], F.when(availability == "data", V.AVAILABILITY_BOOST["data"]))

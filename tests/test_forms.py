@@ -35,3 +35,14 @@ def test_topic_and_publisher_have_only_stated_words(built):
     assert m.found == {"under": (3, 3)}
     assert {r["key"] for r in m.rows.where(m.topic(["under"])).collect()} == {1, 2, 4}
     assert {r["key"] for r in m.rows.where(m.publisher(["under"])).collect()} == {1, 2, 4}
+
+
+def test_scores_are_multiplied_in_the_order_of_the_sql(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlark.operators import retrieval as R
+
+    f, t = F.lit(False), F.lit(True)
+    rows = spark.range(300).select("id", (1.0 / (61 + F.col("id"))).alias("s"))
+    got = rows.select("id", R.multiplier(t, f, f, f, F.lit("data"), F.lit(0), t, F.col("s")).alias("x")).collect()
+    assert all(r["x"] == 1.0 / (61 + r["id"]) * 1.3 * 1 * 1 * 1 * 1.15 * 0.5 for r in got)
