@@ -37,7 +37,7 @@ from ledgerlark.operators.retrieval import ranked, terms_of
 from ledgerlark.session import spread
 
 #: Part of a stored index's name; another one for another layout or analyser.
-LAYOUT = "search-index-5"
+LAYOUT = "search-index-6"
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words of a stem, by stem: where they are stated, no other word is taken for one of them (a stemmer joins too much now and then).
 Forms = Mapping[str, Sequence[str]]
@@ -120,10 +120,15 @@ def _counted(batch: pa.RecordBatch, fields: Sequence[str], of: Callable[[str], s
 
 
 def term_of(word: str, forms: Forms | None = None) -> str:
-    """The term under which a word is indexed: its stem, or the word itself where ``forms`` states the stem's words and it is none of them."""
+    """The term under which a word is indexed: its stem, or the word itself where ``forms`` states the stem's words and it is none of them.
+
+    Such a word that is spelled as the stem is marked, so that it is not taken for the stem.
+    """
     word = fold(word)
     term = stem(word)
-    return term if word in (forms or {}).get(term, (word,)) else word
+    if word in (forms or {}).get(term, (word,)):
+        return term
+    return word if word != term else f"={word}"
 
 
 def _folder(term: Column, folders: int) -> Column:
