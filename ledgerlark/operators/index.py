@@ -241,8 +241,8 @@ class SearchIndex:
         found = {t: (r["df"], r["held"][place] if publisher else 0) for t, r in self.counts(terms).items()}
         return Matches(self, terms, _by_key(rows, terms), found)
 
-    def top(self, words: Sequence[str], rows: int = V.ARM_ROWS) -> DataFrame:
-        """O-2: key, bm25 of the best records by the words, exactly those of a whole read, ties by key."""
+    def top(self, words: Sequence[str], rows: int = V.ARM_ROWS, digits: int | None = None) -> DataFrame:
+        """O-2: key, bm25 (rounded to ``digits``) of the best records by the words, exactly those of a whole read, ties by key."""
         terms = self.terms(words)
         seen = self.counts(terms)
         found = {t: seen[t] for t in terms if t in seen}  # sums are in the order of the words
@@ -251,9 +251,9 @@ class SearchIndex:
         rare = [t for t in found if t not in common]
         parts = self._own(rare)
         if common:
-            left = self._left(self._own(common), common, rare, weight, rows)
+            left = self._left(self._own(common), common, rare, weight, rows, 0.0 if digits is None else 10.0**-digits)
             parts = left.unionByName(parts) if rare else left
-        return self._scored(parts, found).orderBy(F.desc("bm25"), "key").limit(rows)
+        return _rounded(self._scored(parts, found), digits).orderBy(F.desc("bm25"), "key").limit(rows)
 
     def _own(self, terms: Sequence[str]) -> DataFrame:
         return self.postings(terms).select("key", "at", "term", "length", _weighed(self.fields).alias("w"), F.lit(False).alias("pub"))
@@ -266,8 +266,8 @@ class SearchIndex:
         idf = reduce(lambda c, t: c.when(F.col("term") == t, weight[t]), common[1:], F.when(F.col("term") == common[0], weight[common[0]]))
         return self._of("blocks", common, "term string, block long, n long, most double, folder int").groupBy("block").agg(F.sum("n").alias("n"), F.sum(idf * F.col("most")).alias("most"))
 
-    def _left(self, postings: DataFrame, common: list[str], rare: list[str], weight: Mapping[str, float], rows: int) -> DataFrame:
-        """The postings of the common terms without blocks that hold no record of the best ``rows``."""
+    def _left(self, postings: DataFrame, common: list[str], rare: list[str], weight: Mapping[str, float], rows: int, slack: float = 0.0) -> DataFrame:
+        """The postings of the common terms without blocks that hold no record of the best ``rows``, or of less than ``slack`` below them."""
         widths = self.stats["widths"]
         bounds = self.bounds(weight, common)
         first = [r["block"] for r in bounds.orderBy(F.desc("most"), "block").limit(FIRST_BLOCKS).collect()]
@@ -279,7 +279,7 @@ class SearchIndex:
             sure = sure.unionByName(rarely)
         best = [r["s"] for r in sure.groupBy("key").agg(F.max("part").alias("s")).orderBy(F.desc("s")).limit(rows).collect()]
         # Sums in another order differ by their rounding.
-        least = best[-1] * (1 - 1e-9) if len(best) == rows else 0.0
+        least = best[-1] * (1 - 1e-9) - slack if len(best) == rows else 0.0
         todo = bounds.where(F.col("most") >= least).select("block")
         if rarely is not None:
             also = rarely.join(bounds, _block(F.col("at"), widths) == F.col("block")).where(F.col("part") + F.col("most") >= least)
@@ -312,6 +312,10 @@ def _inside(blocks: Sequence[int], widths: Mapping[int, int]) -> Column:
     return any_of((F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in _ranges(blocks, widths))
 
 
+def _rounded(scored: DataFrame, digits: int | None) -> DataFrame:
+    return scored if digits is None else scored.withColumn("bm25", F.round("bm25", digits))
+
+
 def _by_key(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
     """key, length and for each term its weighted count and whether the publisher's name has it."""
     cols = [F.max("length").alias("length")]
@@ -361,10 +365,13 @@ class Matches:
         """Q-3: key, rank (from 0) of the best by BM25."""
         return ranked(self.index.top(words, rows), "key", "bm25", rows)
 
-    def geo_arm(self, words: Sequence[str], inside: DataFrame, rows: int = V.ARM_ROWS) -> DataFrame:
-        """Q-5: records with every word whose box holds the point (``inside``: their keys)."""
+    def geo_arm(self, words: Sequence[str], inside: DataFrame, rows: int = V.ARM_ROWS, digits: int | None = None, keep: bool = False) -> DataFrame:
+        """Q-5: key, rank of records with every word whose box holds the point (``inside``: their keys).
+
+        With ``digits`` the ranks are those of rounded scores, ties by key; ``keep``: with bm25.
+        """
         held = self.rows.where(self.all(words)).select("key", self.bm25(words).alias("bm25") if words else F.lit(0.0).alias("bm25"))
-        return ranked(held.join(inside, "key", "left_semi"), "key", "bm25", rows)
+        return ranked(_rounded(held, digits).join(inside, "key", "left_semi"), "key", "bm25", rows, keep)
 
     def rare(self, words: Sequence[str]) -> Column:
         """Q-4: whether a record has the rarest of two or more words over two letters, unless even that is common."""
