@@ -49,6 +49,13 @@ def _cell(x: Column, cell: float) -> Column:
     return F.floor(x / cell).cast("long")
 
 
+def _around(points: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Each row in its own cell and the eight around it: cx, cy."""
+    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    every = points.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+    return every.select(*points.columns, (_cell(F.col(x), radius) + F.col("dx")).alias("cx"), (_cell(F.col(y), radius) + F.col("dy")).alias("cy"))
+
+
 def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """ax, ay, bx, by, distance of two tables' places (x, y; each once) at most ``radius`` apart.
 
@@ -56,9 +63,7 @@ def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     neighbouring cells, so the join is by equality.
     """
     pa = a.select(F.col("x").alias("ax"), F.col("y").alias("ay"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    pb = b.select(F.col("x").alias("bx"), F.col("y").alias("by")).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    pb = pb.select("bx", "by", (_cell(F.col("bx"), radius) + F.col("dx")).alias("cx"), (_cell(F.col("by"), radius) + F.col("dy")).alias("cy"))
+    pb = _around(b.select(F.col("x").alias("bx"), F.col("y").alias("by")), radius, "bx", "by")
     j = pa.join(pb, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))
     return j.where(F.col("distance") <= radius).select("ax", "ay", "bx", "by", "distance")
 
@@ -67,15 +72,49 @@ def _places(points: DataFrame) -> DataFrame:
     return points.select("x", "y").distinct()
 
 
+#: Points of a place that travel as one list, about; pairs of neighbouring cells for which there is a task; and distances that one task takes in a cell.
+LIST_POINTS, TASK_PAIRS, CELL_TESTS = 1_024, 1 << 24, 1 << 26
+#: Tasks of a result, however large.
+MOST_TASKS = 20_000
+
+
+def _lists(points: DataFrame, of: str, held: DataFrame) -> DataFrame:
+    """x, y, part, ids: the points of each place (``held``: x, y, n) in lists of about ``LIST_POINTS``."""
+    parts = F.ceil(F.col("n") / LIST_POINTS)
+    dealt = points.select(of, "x", "y").join(held, ["x", "y"]).groupBy("x", "y", F.pmod(F.xxhash64(of), parts).alias("part"))
+    none = F.array_repeat(F.lit(None).cast(points.schema[of].dataType), F.count_if(F.col(of).isNull()).cast("int"))  # lists take no nulls
+    return dealt.agg(F.concat(F.collect_list(of), none).alias("ids"))
+
+
+def _shares(a: DataFrame, b: DataFrame, radius: float) -> tuple[int, int]:
+    """The tasks for the pairs of two tables of places (x, y, n), and those among which the lists of a cell are dealt."""
+    sums = F.sum(F.col("n").cast("double")), F.sum(F.ceil(F.col("n") / LIST_POINTS).cast("double"))
+    ca = a.groupBy(_cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy")).agg(sums[0].alias("na"), sums[1].alias("la"))
+    cb = _around(b, radius).groupBy("cx", "cy").agg(sums[0].alias("nb"), sums[1].alias("lb"))
+    row = ca.join(cb, ["cx", "cy"]).agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.max(F.col("la") * F.col("lb")).alias("tests")).first()
+    return min(MOST_TASKS, int((row["pairs"] or 0) // TASK_PAIRS) + 1), min(MOST_TASKS, int((row["tests"] or 0) // CELL_TESTS) + 1)
+
+
 def within(a: DataFrame, a_id: str, b: DataFrame, b_id: str, radius: float) -> DataFrame:
     """Pairs of points (x, y) at most ``radius`` apart: a_id, b_id, distance.
 
-    Distances are taken between places; the points that stand there follow by equal coordinates.
+    Distances are taken between places, whose points travel as lists.  Two near
+    lists are dealt to one of as many tasks as the pairs need, and become
+    pairs only there, so that no pair is shuffled.
     """
-    near = _near(_places(a), _places(b), radius)
-    pa = a.select(F.col(a_id), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pb = b.select(F.col(b_id), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return pa.join(near, ["ax", "ay"]).join(pb, ["bx", "by"]).select(a_id, b_id, "distance")
+    held_a, held_b = (x.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")) for x in (a, b))
+    tasks, shares = _shares(held_a, held_b, radius)
+    la = _lists(a, a_id, held_a).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("part").alias("ap"), F.col("ids").alias("ai"), _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"))
+    lb = _around(_lists(b, b_id, held_b).select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("part").alias("bp"), F.col("ids").alias("bi")), radius, "bx", "by")
+    keys = ["cx", "cy"]
+    if shares > 1:
+        la = la.withColumn("share", F.pmod(F.xxhash64("ax", "ay", "ap"), F.lit(shares)).cast("int"))
+        lb, keys = lb.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), [*keys, "share"]
+    j = la.join(lb, keys).withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("distance") <= radius)
+    j = j.select("ai", "bi", "distance", F.xxhash64("ax", "ay", "ap", "bx", "by", "bp").alias("deal"))
+    if tasks > 1:
+        j = j.repartition(tasks, "deal")
+    return j.select(F.explode("ai").alias(a_id), "bi", "distance").select(a_id, F.explode("bi").alias(b_id), "distance")
 
 
 #: Sites of the fullest cell of a first search, about, and how often its radius is halved for that.
