@@ -150,7 +150,19 @@ per_row("header_peek", "part", "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'id|
 per_row("answer_shape", "orders", "o_orderkey", "['ckan:' || o_orderkey, 'dcat:1', 'ods:' || o_orderkey, 'geonode:' || o_orderkey, 'json:2', 'csw'][o_orderkey % 6 + 1]", "S-32: which protocol an answer speaks, and its count.",
         lambda: turns("o_orderkey", say('{"result":{"count":', word("o_orderkey"), ',"results":[]}}'), say('{"dataset":[', word("o_custkey"), "]}"), say('{"total_count":', word("o_orderkey"), ',"results":[1]}'), say('{"total":', word("o_orderkey"), ',"resources":[]}'), say("[", word("o_orderkey"), ",2]"), say("<csw:GetRecordsResponse>", word("o_orderkey"), "</csw:GetRecordsResponse>")),
         lambda x: F.concat_ws(":", shapes.protocol(x), shapes.stated_count(x).cast("string")))
-per_row("platform_labels", "part", "p_partkey", "['opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster', '', 'london_datastore'][p_partkey % 3 + 1]", "X-7.", lambda: turns("p_partkey", "OpenDataNI", F.col("p_name"), "Greater  London Authority"), lambda x: joined(entity.platform(x)))
+
+
+def _publishers() -> Column:
+    named = turns("p_partkey", "OpenDataNI", "Greater London Authority", say(F.col("p_name"), " County Council"), None)
+    spelled = turns("p_size", "OPENDATANI.", "Marine Environmental Data – Information Network", " greater-london  AUTHORITY")
+    return F.struct(named.alias("y"), F.col("p_name").alias("own"), spelled.alias("spelled"))
+
+
+per_row("platform_labels", "part", "p_partkey",
+        dict(y="CASE p_partkey % 4 WHEN 0 THEN 'opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster' WHEN 1 THEN 'london_datastore' ELSE '' END",
+             own="CASE trim(regexp_replace(lower(replace(p_name, 'İ', 'i ')), '[^a-z0-9]+', ' ', 'g')) WHEN 'opendatani' THEN 'opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster' WHEN 'marine environmental data information network' THEN 'cefas' WHEN 'greater london authority' THEN 'london_datastore' ELSE '' END",
+             spelled="CASE p_size % 3 WHEN 0 THEN 'opendatani|daera_ni|agol_daera_agol|causeway_coast|mid_ulster' WHEN 1 THEN 'cefas' WHEN 2 THEN 'london_datastore' ELSE '' END"),
+        "X-7: of a label, a council or no name in turn, of every row's own name, and of all labels in other spellings.", _publishers, lambda x: {c: joined(entity.platform(x[c])) for c in ("y", "own", "spelled")})
 per_row("retired_text", "documents", "doc_id", "doc_id % 3 = 1 OR (doc_id % 3 <> 2 AND contains(lower(coalesce(text, '')), 'this record is retired'))", "P-3.", lambda: turns("doc_id", F.col("text"), say(F.coalesce("text", F.lit("")), " NB: THIS DATASET HAS BEEN WITHDRAWN."), None), P.retired)
 
 # The survey's own series in powers of the longitude, which the library does not use.
